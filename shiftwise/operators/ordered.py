@@ -1,12 +1,13 @@
 """Positions, running totals, ranks and exact quantiles over groups of any size.
 
 A plain ``Window.partitionBy(label).orderBy(value)`` sorts a whole group in one task. Labels are few, so one
-group can hold a third of the table. Here a large group is first cut into ordered slices (cut points come from
-a hash sample, so a recomputed task gets the same ones), every slice is scanned by its own task, and the totals
-of the earlier slices are added. Groups below ``rows_per_slice`` keep one slice and cost one plain window.
+group can hold a third of the table. So a group's size is checked first, on a hash sample of its order key (the
+filter reaches the scan, so this costs one column-pruned scan). Groups beyond ``rows_per_slice`` rows are cut into
+ordered slices at sampled points, every slice is scanned by its own task, and the totals of the earlier slices
+are added. When no group is that large the plan is the plain window.
 
-Only groups with more than ``rows_per_slice`` rows get cut points, at most one per ``rows_per_slice`` rows, so
-the two broadcast tables hold about a millionth of the input rows.
+Cut points number about one per ``rows_per_slice`` rows (at most ``MAX_SLICES`` a group): a millionth of the
+input. They are fixed when the plan is built, so a recomputed task sees the same ones.
 """
 
 from __future__ import annotations
@@ -28,29 +29,33 @@ def _key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return left.join(right, F.lit(True), how)
 
 
-def with_slices(
+def cut_points(
     df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int | None = None
-) -> DataFrame:
-    """Add ``_slice`` (and ``_cut``: whether the group is cut at all); slices are ordered by ``order``."""
-    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
+) -> DataFrame | None:
+    """``(keys, _cuts)`` for the groups beyond ``rows_per_slice`` rows, or None when there is none."""
+    rate = SAMPLE_PER_SLICE / (rows_per_slice or ROWS_PER_SLICE)
     at = F.struct(*order)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_slice)
-    wanted = F.least(F.lit(MAX_SLICES), F.ceil(F.col("_rows") / rows_per_slice))
-    sizes = sizes.withColumn("_wanted", wanted.cast("int"))
+    sample = df.select(*keys, at.alias("_at")).where(hash_uniform(*order) < rate)
+    wanted = F.least(F.lit(MAX_SLICES), F.floor(F.col("_seen_n") / SAMPLE_PER_SLICE)).cast("int")
     points = (
-        _key_join(df.select(*keys, at.alias("_at")), sizes, keys, "inner")
-        .where(hash_uniform(F.col("_at")) < F.col("_wanted") * SAMPLE_PER_SLICE / F.col("_rows"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_at")).alias("_seen"), F.max("_wanted").alias("_wanted"))
-        .where((F.size("_seen") > 0) & (F.col("_wanted") > 1))
+        sample.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_seen_n"), F.sort_array(F.collect_list("_at")).alias("_seen"))
+        .where(F.col("_seen_n") >= 2 * SAMPLE_PER_SLICE)
         .select(
             *keys,
             F.transform(
-                F.sequence(F.lit(1), F.col("_wanted") - 1),
-                lambda i: F.get("_seen", F.floor(i * F.size("_seen") / F.col("_wanted")).cast("int")),
+                F.sequence(F.lit(1), wanted - 1),
+                lambda i: F.get("_seen", F.floor(i * F.col("_seen_n") / wanted).cast("int")),
             ).alias("_cuts"),
         )
     )
+    rows = points.collect()
+    return df.sparkSession.createDataFrame(rows, points.schema) if rows else None
+
+
+def with_slices(df: DataFrame, points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``_slice`` (0 in groups without cut points); slices of a group are ordered by ``order``."""
+    at = F.struct(*order)
     # Lower bound by halving steps: slice = number of cut points below the row.
     halvings = F.array(*[F.lit(MAX_SLICES >> k) for k in range(1, MAX_SLICES.bit_length())])
     slice_no = F.aggregate(
@@ -59,12 +64,8 @@ def with_slices(
         lambda pos, step: pos
         + F.when(F.coalesce(F.get("_cuts", pos + step - 1) < at, F.lit(False)), step).otherwise(0),
     )
-    return (
-        _key_join(df, points, keys, "left")
-        .withColumn("_cut", F.col("_cuts").isNotNull())
-        .withColumn("_slice", F.when(F.col("_cut"), slice_no).otherwise(0))
-        .drop("_cuts")
-    )
+    out = _key_join(df, points, keys, "left")
+    return out.withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(slice_no))
 
 
 def prefix_sums(
@@ -79,38 +80,43 @@ def prefix_sums(
 
     ``order`` must be unique within a group. ``following`` names a column for the next value of ``order[0]``.
     """
-    sliced = with_slices(
-        df.select("*", *[c.alias(f"_w_{w}") for w, c in weights.items()]), keys, order, rows_per_slice
+    weighed = df.select("*", *[c.alias(f"_w_{w}") for w, c in weights.items()])
+    points = cut_points(df, keys, order, rows_per_slice)
+    cut = points is not None
+    sliced = with_slices(weighed, points, keys, order) if cut else weighed
+    inside = Window.partitionBy(*keys, *(["_slice"] if cut else []))
+    upto = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = sliced.select(
+        "*",
+        *[F.sum(f"_w_{w}").over(upto).alias(f"{w}_upto") for w in weights],
+        *[F.sum(f"_w_{w}").over(inside).alias(f"{w}_total") for w in weights],
+        *([F.lead(order[0]).over(inside.orderBy(*order)).alias(following)] if following else []),
     )
-    # Totals of the slices of large groups only; their number is bounded (see module text).
+    added = [f"{w}_{c}" for c in ("upto", "total") for w in weights] + ([following] if following else [])
+    if not cut:
+        return scanned.select(*df.columns, *added)
+    # Totals per slice of the cut groups; their number is bounded (see module text).
     per_slice = (
-        sliced.where("_cut")
+        sliced.where(F.col("_cuts").isNotNull())
         .groupBy(*keys, "_slice")
         .agg(F.min(order[0]).alias("_first"), *[F.sum(f"_w_{w}").alias(f"_s_{w}") for w in weights])
     )
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    by_slice = Window.partitionBy(*keys).orderBy("_slice")
     offsets = per_slice.select(
         *keys,
         "_slice",
-        F.lead("_first").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_first_later"),
-        *[F.coalesce(F.sum(f"_s_{w}").over(before), F.lit(0)).alias(f"_b_{w}") for w in weights],
-        *[F.sum(f"_s_{w}").over(whole).alias(f"_t_{w}") for w in weights],
-    )
-    inside = Window.partitionBy(*keys, "_slice")
-    upto = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = sliced.select(
-        "*",
-        *[F.sum(f"_w_{w}").over(upto).alias(f"_u_{w}") for w in weights],
-        *[F.sum(f"_w_{w}").over(inside).alias(f"_i_{w}") for w in weights],
-        *([F.lead(order[0]).over(inside.orderBy(*order)).alias("_lead")] if following else []),
+        F.lead("_first").over(by_slice).alias("_first_later"),
+        *[
+            F.sum(f"_s_{w}").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_b_{w}")
+            for w in weights
+        ],
+        *[F.sum(f"_s_{w}").over(Window.partitionBy(*keys)).alias(f"_t_{w}") for w in weights],
     )
-    joined = _key_join(scanned, offsets, [*keys, "_slice"], "left")
-    return joined.select(
+    return _key_join(scanned, offsets, [*keys, "_slice"], "left").select(
         *df.columns,
-        *[(F.col(f"_u_{w}") + F.coalesce(f"_b_{w}", F.lit(0))).alias(f"{w}_upto") for w in weights],
-        *[F.coalesce(f"_t_{w}", f"_i_{w}").alias(f"{w}_total") for w in weights],
-        *([F.coalesce("_lead", "_first_later").alias(following)] if following else []),
+        *[(F.col(f"{w}_upto") + F.coalesce(f"_b_{w}", F.lit(0))).alias(f"{w}_upto") for w in weights],
+        *[F.coalesce(f"_t_{w}", f"{w}_total").alias(f"{w}_total") for w in weights],
+        *([F.coalesce(following, "_first_later").alias(following)] if following else []),
     )
 
 

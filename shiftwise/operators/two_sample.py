@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftwise.functions.columns import unpivot_stats
 from shiftwise.functions.numeric import anderson_darling_sigma
@@ -205,7 +206,7 @@ AD_B2 = [-0.105, -0.305, -0.362, -0.391, -0.396, -0.345, -0.154]
 AD_CRITICAL = [round(x + y + z, 6) for x, y, z in zip(AD_B0, AD_B1, AD_B2)]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ad_sigma(n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([anderson_darling_sigma(int(a), int(b)) for a, b in zip(n1, n2)])
 

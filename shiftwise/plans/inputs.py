@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftwise.functions.columns import clean_double
@@ -98,3 +98,46 @@ VECTOR_WINDOWS = f"""vw AS (
   SELECT CAST(floor(vec_id / {WINDOW_SIZE}) AS BIGINT) AS window_id, vec_id AS idx,
          CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS features
   FROM embeddings)"""
+
+TREES = 16
+
+
+def with_cell_leaves(rows: DataFrame) -> DataFrame:
+    """A given leaf table: 16 two-level trees, each splitting two coordinates at 0."""
+    return rows.withColumn(
+        "leaves",
+        F.transform(
+            F.sequence(F.lit(0), F.lit(TREES - 1)),
+            lambda t: (F.get("features", 2 * t) > 0).cast("int") + 2 * (F.get("features", 2 * t + 1) > 0).cast("int"),
+        ),
+    ).withColumn("model_label", F.when(F.col("features")[0] > 0, F.col("label")).otherwise("0"))
+
+
+def first_prototypes(rows: DataFrame, k: int = 3) -> DataFrame:
+    """Known prototypes: the first ``k`` rows of every class of every window."""
+    place = F.row_number().over(Window.partitionBy("window_id", "label").orderBy("idx"))
+    return rows.withColumn("proto_rank", place - 1).where(F.col("proto_rank") < k)
+
+
+def tree_windows_sql(size: int = WINDOW_SIZE) -> str:
+    return f"""vw AS (
+  SELECT CAST(floor(vec_id / {size}) AS BIGINT) AS window_id, vec_id AS idx,
+         CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS features
+  FROM embeddings),
+tw AS (
+  SELECT *, list_transform(range({TREES}), lambda t: CAST(features[2 * t + 1] > 0 AS INTEGER)
+                                                + 2 * CAST(features[2 * t + 2] > 0 AS INTEGER)) AS leaves,
+         CASE WHEN features[1] > 0 THEN label ELSE '0' END AS model_label
+  FROM vw),
+pr AS (
+  SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY label, proto_rank) - 1 AS proto_id
+  FROM (SELECT *, row_number() OVER (PARTITION BY window_id, label ORDER BY idx) - 1 AS proto_rank FROM tw)
+  WHERE proto_rank < 3)"""
+
+
+def l2_sql(a: str, b: str) -> str:
+    return f"sqrt(list_sum(list_transform(range(1, {VECTOR_SIZE + 1}), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))))"
+
+
+def shared_sql(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, {TREES + 1}), lambda i: CASE WHEN {a}[i] = {b}[i] THEN 1 ELSE 0 END))"
