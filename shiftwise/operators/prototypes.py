@@ -12,13 +12,13 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftwise.functions.columns import agreement, l2, squared_l2
+from shiftwise.operators.clusters import xmeans_per_class
 
 PROTO_SCHEMA = "window_id long, label string, proto_rank int, idx long"
 
@@ -241,21 +241,19 @@ def prototypes_per_window(rows: DataFrame, alpha: float = 0.01, few: int = 2, re
     return _per_window(rows, select)
 
 
-def nearest_to_centres(rows: DataFrame, centres: DataFrame) -> DataFrame:
+def nearest_to_centres(rows: DataFrame, centres: DataFrame, k: int) -> DataFrame:
     """Real row next to every centre of its class, no row twice: ``(label, proto_rank, idx)``.
 
-    Input centres ``(label, centre_no, centre)``, k per class. With k centres the k nearest rows of each are
-    enough to choose from, so only k * k rows per class are left for the ordered choice.
+    Input centres ``(label, centre_no, centre)``, at most k per class. The k nearest rows of each centre are enough
+    to choose from: each task keeps k rows per centre, and k * k per class are left for the ordered choice.
     """
-    sizes = centres.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("_k"))
-    listed = centres.groupBy("label").agg(F.collect_list(F.struct("centre_no", "centre")).alias("_c")).join(sizes, "label")
+    listed = centres.groupBy("label").agg(F.collect_list(F.struct("centre_no", "centre")).alias("_c"))
     measured = rows.join(F.broadcast(listed), "label").select(
-        "label", "idx", "_k", "features", F.explode("_c").alias("_c")
-    ).select("label", "idx", "_k", F.col("_c.centre_no").alias("centre_no"),
+        "label", "idx", "features", F.explode("_c").alias("_c")
+    ).select("label", "idx", F.col("_c.centre_no").alias("centre_no"),
              squared_l2(F.col("features"), F.col("_c.centre")).alias("d"))
-    most = centres.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     place = F.row_number().over(Window.partitionBy("label", "centre_no").orderBy("d", "idx"))
-    near = measured.withColumn("_r", place).where(F.col("_r") <= int(most))
+    near = measured.withColumn("_r", place).where(F.col("_r") <= k)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -271,21 +269,13 @@ def nearest_to_centres(rows: DataFrame, centres: DataFrame) -> DataFrame:
     )
 
 
-def kmeans_prototypes(rows: DataFrame, k: int = 3, seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """K-means per class over the whole table, then the nearest real rows.
-
-    One distributed fit per class; classes are few and their list is a distinct over the label column.
-    """
-    spark = rows.sparkSession
-    labels = [r.label for r in rows.select("label").distinct().orderBy("label").collect()]
-    found = []
-    prepared = rows.select("label", array_to_vector(F.col("features")).alias("_x")).persist()
-    for label in labels:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_x").fit(prepared.where(F.col("label") == label))
-        found += [(label, i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-    prepared.unpersist()
-    centres = spark.createDataFrame(found, "label string, centre_no int, centre array<double>")
-    chosen = nearest_to_centres(rows, centres)
+def kmeans_prototypes(rows: DataFrame, size: int, k: int = 3, rounds: int = 20) -> DataFrame:
+    """K-means per class over the whole table, all classes in the same jobs, then the nearest real rows."""
+    fitted = xmeans_per_class(rows.withColumn("side", F.lit("all")), size, k_init=k, k_max=k, rounds=rounds)
+    centres = fitted.select("label", F.explode("centres").alias("c")).select(
+        "label", F.col("c.id").alias("centre_no"), F.col("c.v").alias("centre")
+    )
+    chosen = nearest_to_centres(rows, centres, k)
     return chosen.join(rows.drop("label"), "idx")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shiftwise.operators import prototypes, quality
 from shiftwise.plans.catalog import query, rnd, rounded
 from shiftwise.plans.inputs import (
-    first_prototypes, l2_sql, shared_sql, tree_windows_sql, vector_windows, with_cell_leaves
+    VECTOR_SIZE, first_prototypes, l2_sql, shared_sql, tree_windows_sql, vector_windows, with_cell_leaves
 )
 
 BASE = tree_windows_sql()
@@ -62,7 +62,7 @@ _select("prototypes_per_window", prototypes.prototypes_per_window)
 
 @query("kmeans_prototypes")
 def _kmeans(spark, sf):
-    return prototypes.kmeans_prototypes(vector_windows(spark, sf)).select("label", "proto_rank", "idx")
+    return prototypes.kmeans_prototypes(vector_windows(spark, sf), VECTOR_SIZE, rounds=10).select("label", "proto_rank", "idx")
 
 
 TREE_RANK = f"""{BASE},
