@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ def agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def mean_vector(col: str, size: int) -> Column:
-    """Element-wise average as an aggregate: one declarative ``avg`` per position."""
-    return F.array(*[F.avg(F.col(col)[i]) for i in range(size)])
+def mean_vector(col: str) -> Column:
+    """Element-wise average of an array column: one vector aggregate whatever the length."""
+    return vector_to_array(Summarizer.mean(array_to_vector(F.col(col))))
 
 
 def unpivot_stats(df, keys: list[str], features: list[str], stats: list[str]):

@@ -10,10 +10,12 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftwise.functions.columns import mean_vector, squared_l2
+from shiftwise.functions.columns import squared_l2
 from shiftwise.functions.numeric import assign_min_cost
 from shiftwise.operators.ordered import quantiles
 from shiftwise.operators.profile import long_form, moments
@@ -42,12 +44,18 @@ def assign_clusters(rows: DataFrame, centres: DataFrame) -> DataFrame:
     return out.select(*rows.columns, F.col("_b.id").alias("cluster"), F.col("_b.d").alias("sq_dist"))
 
 
-def _summaries(rows: DataFrame, centres: dict, size: int) -> dict[tuple, dict[int, dict]]:
+def _moments() -> list[Column]:
+    v = array_to_vector(F.col("features"))
+    return [
+        vector_to_array(Summarizer.mean(v)).alias("mean"), vector_to_array(Summarizer.variance(v)).alias("var")
+    ]
+
+
+def _summaries(rows: DataFrame, centres: dict) -> dict[tuple, dict[int, dict]]:
     """Per (side, label) and cluster: rows, squared distance, mean and variance. One job, combined on the map side."""
     assigned = assign_clusters(rows, _centre_table(rows.sparkSession, centres))
     got = assigned.groupBy(*GROUP, "cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("sq_dist").alias("d"), mean_vector("features", size).alias("mean"),
-        F.array(*[F.var_pop(F.col("features")[i]) for i in range(size)]).alias("var"),
+        F.count(F.lit(1)).alias("n"), F.sum("sq_dist").alias("d"), *_moments()
     )
     out: dict[tuple, dict[int, dict]] = {k: {} for k in centres}
     for r in got.collect():
@@ -57,16 +65,16 @@ def _summaries(rows: DataFrame, centres: dict, size: int) -> dict[tuple, dict[in
     return out
 
 
-def _lloyd(rows: DataFrame, centres: dict, size: int, rounds: int, tolerance: float) -> tuple[dict, dict]:
+def _lloyd(rows: DataFrame, centres: dict, rounds: int, tolerance: float) -> tuple[dict, dict]:
     """Move all centres of all groups together; stops when none moves further than ``tolerance``."""
-    seen = _summaries(rows, centres, size)
+    seen = _summaries(rows, centres)
     for _ in range(rounds):
         moved = {
             k: [seen[k][i]["mean"] if i in seen[k] else v for i, v in enumerate(vs)] for k, vs in centres.items()
         }
         step = max((float(np.linalg.norm(a - b)) for k in centres for a, b in zip(moved[k], centres[k])), default=0.0)
         centres = moved
-        seen = _summaries(rows, centres, size)
+        seen = _summaries(rows, centres)
         if step <= tolerance:
             break
     return centres, seen
@@ -108,23 +116,20 @@ def xmeans_per_class(
     if not 1 <= k_init <= k_max:
         raise ValueError("need 1 <= k_init <= k_max")
     rows = rows.select(*GROUP, "features").persist()
-    start = rows.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("n"), mean_vector("features", size).alias("mean"),
-        F.array(*[F.var_pop(F.col("features")[i]) for i in range(size)]).alias("var"),
-    )
+    start = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *_moments())
     parts = {
         (r.side, r.label): {0: {"n": r.n, "mean": np.array(r["mean"]), "var": np.array(r["var"])}}
         for r in start.collect()
     }
     centres = {k: [p[0]["mean"]] for k, p in parts.items()}
     while _split_widest(centres, parts, k_init):
-        centres, parts = _lloyd(rows, centres, size, rounds, tolerance)
-    centres, parts = _lloyd(rows, centres, size, rounds, tolerance)
+        centres, parts = _lloyd(rows, centres, rounds, tolerance)
+    centres, parts = _lloyd(rows, centres, rounds, tolerance)
     while k_init < k_max:
         trial, owner = _trial_rows(rows, centres, parts)
         if trial is None:
             break
-        _, halves = _lloyd(trial[0], trial[1], size, rounds, tolerance)
+        _, halves = _lloyd(trial[0], trial[1], rounds, tolerance)
         grown = False
         for k in centres:
             free = k_max - len(centres[k])
@@ -141,7 +146,7 @@ def xmeans_per_class(
             centres[k] = kept
         if not grown:
             break
-        centres, parts = _lloyd(rows, centres, size, rounds, tolerance)
+        centres, parts = _lloyd(rows, centres, rounds, tolerance)
     out = _centre_table(rows.sparkSession, centres)
     rows.unpersist()
     return out

@@ -287,23 +287,26 @@ def lime_importance(
         r = info[f]
         return F.when(c <= r.q1, 0).when(c <= r.q2, 1).when(c <= r.q3, 2).otherwise(3)
 
-    cols, same = [], []
+    original = F.col("_p") == 0
+    draws = []
     for j, f in enumerate(known):
         u = hash_uniform(F.col(ROW), F.col("_p"), F.lit(j), seed=seed)
+        shares = np.cumsum([b.n / info[f].total for b in info[f].bins])
+        draws.append(F.least(sum([(u >= float(s)).cast("int") for s in shares[:-1]], F.lit(0)), F.lit(len(shares) - 1)).alias(f"_bin{j}"))
+    drawn = spread.select("*", *draws)
+
+    def of_bin(j: int, f: str, what: str) -> Column:
+        return F.get(F.array(*[F.lit(float(b[what])) for b in info[f].bins]), F.col(f"_bin{j}"))
+
+    cols, same = [], []
+    for j, f in enumerate(known):
         t = F.greatest(F.lit(1e-9), hash_uniform(F.col(ROW), F.col("_p"), F.lit(j), seed=seed + 1))
-        upto, pick, drawn = 0.0, None, None
-        for b in info[f].bins:
-            upto += b.n / info[f].total
-            value = F.greatest(F.lit(b.lo), F.least(F.lit(b.hi), b.mean + b.sd * inverse_normal(t)))
-            pick = F.when(u < upto, b.bin) if pick is None else pick.when(u < upto, b.bin)
-            drawn = F.when(u < upto, value) if drawn is None else drawn.when(u < upto, value)
-        last = info[f].bins[-1]
-        pick, drawn = pick.otherwise(last.bin), drawn.otherwise(last.mean)
-        original = F.col("_p") == 0
-        cols.append(F.when(original, F.col(f)).otherwise(drawn).alias(f))
-        same.append(F.when(original | (pick == own_bin(f, F.col(f))), 1.0).otherwise(0.0))
+        value = of_bin(j, f, "mean") + of_bin(j, f, "sd") * inverse_normal(t)
+        held = F.greatest(of_bin(j, f, "lo"), F.least(of_bin(j, f, "hi"), value))
+        cols.append(F.when(original, F.col(f)).otherwise(held).alias(f))
+        same.append(F.when(original | (of_bin(j, f, "bin").cast("int") == own_bin(f, F.col(f))), 1.0).otherwise(0.0))
     others = [F.col(f) for f in clf.features if f not in known]
-    perturbed = spread.select(ROW, *others, *cols, F.array(*same).alias("_z"))
+    perturbed = drawn.select(ROW, *others, *cols, F.array(*same).alias("_z"))
     d = len(known)
     off = F.aggregate("_z", F.lit(0.0), lambda s, x: s + (1 - x))
     width = 0.75 * math.sqrt(d)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftwise.functions.columns import l2, unpivot_stats
+from shiftwise.functions.columns import l2
 from shiftwise.functions.numeric import assign_min_cost
 from shiftwise.operators.frames import moving
 from shiftwise.operators.ordered import index_rows, prefix_sums
@@ -417,20 +417,15 @@ def closest_sample_breakdown(rows: DataFrame, protos: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _wide(protos: DataFrame, size: int, names: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    names = names or [f"x{i + 1}" for i in range(size)]
-    return protos.select("window_id", "label", "proto_rank", *[F.col("features")[i].alias(n) for i, n in enumerate(names)]), names
-
-
-def prototype_feature_stats(protos: DataFrame, size: int) -> DataFrame:
-    """Mean, population deviation, minimum and maximum per window, class and feature."""
-    wide, names = _wide(protos, size)
-    aggs = [
-        g(n).alias(f"{n}__{s}") for n in names
-        for s, g in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))
-    ]
-    return unpivot_stats(wide.groupBy("window_id", "label").agg(*aggs), ["window_id", "label"], names,
-                         ["mean", "std", "min", "max"])
+def prototype_feature_stats(protos: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Mean, population deviation, minimum and maximum per window, class and feature (``x1``.. without names)."""
+    rows = protos.select("window_id", "label", F.posexplode("features").alias("_i", "_v"))
+    name = F.concat(F.lit("x"), (F.col("_i") + 1).cast("string"))
+    if names:
+        name = F.get(F.array(*[F.lit(n) for n in names]), F.col("_i"))
+    return rows.groupBy("window_id", "label", name.alias("feature")).agg(
+        F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")
+    )
 
 
 def prototype_value_range(protos: DataFrame, windows: list[int] | None = None, first: int | None = None) -> DataFrame:

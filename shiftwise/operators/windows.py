@@ -42,13 +42,13 @@ def consecutive_pairs(windows: DataFrame) -> DataFrame:
     return ids.join(later, "window_id").select(F.col("window_id").alias("window_a"), "window_b")
 
 
-def centroids(protos: DataFrame, size: int) -> DataFrame:
-    return protos.groupBy("window_id", "label").agg(mean_vector("features", size).alias("centroid"))
+def centroids(protos: DataFrame) -> DataFrame:
+    return protos.groupBy("window_id", "label").agg(mean_vector("features").alias("centroid"))
 
 
-def class_displacement(pairs: DataFrame, protos: DataFrame, size: int, penalty: float = 10.0) -> DataFrame:
+def class_displacement(pairs: DataFrame, protos: DataFrame, penalty: float = 10.0) -> DataFrame:
     """M5 per class: distance of the class centroids; ``penalty`` when one window lacks the class."""
-    c = centroids(protos, size)
+    c = centroids(protos)
     a = pairs.join(c.withColumnRenamed("window_id", "window_a"), "window_a").withColumnRenamed("centroid", "_ca")
     b = pairs.join(c.withColumnRenamed("window_id", "window_b"), "window_b").withColumnRenamed("centroid", "_cb")
     both = a.join(b, [*PAIR, "label"], "full")
@@ -56,11 +56,11 @@ def class_displacement(pairs: DataFrame, protos: DataFrame, size: int, penalty:
 
 
 def centroid_displacement(
-    pairs: DataFrame, protos: DataFrame, size: int, strategy: str = "total", penalty: float | None = None
+    pairs: DataFrame, protos: DataFrame, strategy: str = "total", penalty: float | None = None
 ) -> DataFrame:
     """M5: mean over classes; the penalty of a missing class is 2 in total and 10 class by class."""
     penalty = penalty if penalty is not None else {"total": 2.0, "class": 10.0}[strategy]
-    return class_displacement(pairs, protos, size, penalty).groupBy(*PAIR).agg(F.avg("score").alias("score"))
+    return class_displacement(pairs, protos, penalty).groupBy(*PAIR).agg(F.avg("score").alias("score"))
 
 
 def _class_lists(pairs: DataFrame, protos: DataFrame) -> DataFrame:
@@ -262,7 +262,6 @@ def compare(
     pairs: DataFrame,
     protos: DataFrame,
     rows: DataFrame,
-    size: int,
     measure: str = "centroid_displacement",
     strategy: str = "total",
     distance: str = "l2",
@@ -271,7 +270,7 @@ def compare(
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
     if measure == "centroid_displacement":
-        return centroid_displacement(pairs, protos, size, strategy)
+        return centroid_displacement(pairs, protos, strategy)
     if measure == "minimal_distance":
         return minimal_distance(pairs, protos, strategy)
     if measure == "prototype_reassignment_impact":
@@ -282,12 +281,12 @@ def compare(
     return made[measure](cells)
 
 
-def compare_window_to_all(target: int, protos: DataFrame, rows: DataFrame, size: int, **kw) -> DataFrame:
+def compare_window_to_all(target: int, protos: DataFrame, rows: DataFrame, **kw) -> DataFrame:
     """M9: one row per window, the target itself included and not forced to 0."""
     pairs = rows.select("window_id").distinct().select(
         F.lit(target).cast("long").alias("window_a"), F.col("window_id").alias("window_b")
     )
-    return compare(pairs, protos, rows, size, **kw)
+    return compare(pairs, protos, rows, **kw)
 
 
 def full_matrix(scores: DataFrame, windows: DataFrame) -> DataFrame:
@@ -306,9 +305,9 @@ def full_matrix(scores: DataFrame, windows: DataFrame) -> DataFrame:
     return mirrored.unionByName(diagonal)
 
 
-def window_distance_matrix(protos: DataFrame, rows: DataFrame, size: int, **kw) -> DataFrame:
+def window_distance_matrix(protos: DataFrame, rows: DataFrame, **kw) -> DataFrame:
     """Each pair once (rows of the second window), then mirrored."""
-    return full_matrix(compare(window_pairs(rows), protos, rows, size, **kw), rows)
+    return full_matrix(compare(window_pairs(rows), protos, rows, **kw), rows)
 
 
 def matrix_stats(matrix: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from shiftwise.plans import catalog
 
-MODULES = ["prep_queries", "profile_queries", "two_sample_queries", "error_queries", "prototype_queries", "window_queries", "cluster_queries", "model_queries"]
+MODULES = ["prep_queries", "profile_queries", "two_sample_queries", "error_queries", "prototype_queries", "window_queries", "cluster_queries", "model_queries", "stream_queries"]
 
 
 def _load() -> None:

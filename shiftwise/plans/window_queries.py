@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shiftwise.operators import recurrence, windows
 from shiftwise.plans.catalog import query, rnd, rounded
 from shiftwise.plans.inputs import (
-    VECTOR_SIZE, first_prototypes, l2_sql, tree_windows_sql, vector_windows, with_cell_leaves
+    first_prototypes, l2_sql, tree_windows_sql, vector_windows, with_cell_leaves
 )
 
 BASE = tree_windows_sql()
@@ -97,14 +97,14 @@ DISPLACEMENT = displacement_sql()
 @query("centroid_displacement", f"WITH {DISPLACEMENT} SELECT window_a, window_b, {rnd('score', 'score')} FROM sc")
 def _displacement(spark, sf):
     pairs, protos, _ = _parts(spark, sf)
-    return rounded(windows.centroid_displacement(pairs, protos, VECTOR_SIZE))
+    return rounded(windows.centroid_displacement(pairs, protos))
 
 
 @query("class_displacement", f"""WITH {DISPLACEMENT}
 SELECT window_a, window_b, label, {rnd('coalesce(d, 10)', 'score')} FROM cd""")
 def _class_displacement(spark, sf):
     pairs, protos, _ = _parts(spark, sf)
-    return rounded(windows.class_displacement(pairs, protos, VECTOR_SIZE))
+    return rounded(windows.class_displacement(pairs, protos))
 
 
 MINIMAL = f"""{BASE}, {PAIRS},
@@ -154,7 +154,7 @@ def _impact(spark, sf):
 SELECT CAST(2 AS BIGINT) AS window_a, window_b, {rnd('score', 'score')} FROM mx WHERE window_a = 2""")
 def _to_all(spark, sf):
     _, protos, rows = _parts(spark, sf)
-    return rounded(windows.compare_window_to_all(2, protos, rows, VECTOR_SIZE))
+    return rounded(windows.compare_window_to_all(2, protos, rows))
 
 
 @query("window_distance_matrix", f"WITH {DISPLACEMENT} SELECT window_a, window_b, {rnd('score', 'score')} FROM mx")
@@ -164,7 +164,7 @@ def _matrix(spark, sf):
 
 def _full(spark, sf, size: int = 100):
     _, protos, rows = _parts(spark, sf, size)
-    return windows.window_distance_matrix(protos, rows, VECTOR_SIZE)
+    return windows.window_distance_matrix(protos, rows)
 
 
 @query("matrix_stats", f"""WITH {DISPLACEMENT}
@@ -352,7 +352,7 @@ un AS (SELECT window_id, label, 'x' || generate_subscripts(features, 1) AS featu
 SELECT window_id, label, feature, {rnd('avg(v)', 'mean')}, {rnd('stddev_pop(v)', 'std')}, {rnd('min(v)', 'min')},
        {rnd('max(v)', 'max')} FROM un GROUP BY 1, 2, 3""")
 def _feature_stats(spark, sf):
-    return rounded(recurrence.prototype_feature_stats(_parts(spark, sf)[1], VECTOR_SIZE))
+    return rounded(recurrence.prototype_feature_stats(_parts(spark, sf)[1]))
 
 
 @query("prototype_value_range", f"""WITH {BASE}, un AS (SELECT unnest(features) AS v FROM pr)
@@ -368,7 +368,7 @@ SELECT window_id, {rnd('score', 'score')}, {rnd('m + 1.5 * sd', '"limit"')}, win
 FROM s, r""")
 def _race(spark, sf):
     rows = _rows(spark, sf, 20)
-    scores = windows.centroid_displacement(windows.consecutive_pairs(rows), first_prototypes(rows), VECTOR_SIZE)
+    scores = windows.centroid_displacement(windows.consecutive_pairs(rows), first_prototypes(rows))
     return rounded(recurrence.race_p(scores, grace=10, const=1.5))
 
 
@@ -379,5 +379,5 @@ SELECT window_id, {rnd('max(score)', 'score')}, bool_or(coalesce(window_id >= 10
 FROM s LEFT JOIN r USING (label) GROUP BY 1""")
 def _race_class(spark, sf):
     rows = _rows(spark, sf, 20)
-    scores = windows.class_displacement(windows.consecutive_pairs(rows), first_prototypes(rows), VECTOR_SIZE)
+    scores = windows.class_displacement(windows.consecutive_pairs(rows), first_prototypes(rows))
     return rounded(recurrence.race_p(scores, grace=10))
