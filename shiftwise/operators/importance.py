@@ -27,6 +27,7 @@ PRESETS = {
     "random_forest": {"Default": {"trees": 100, "depth": 30}, "Simple Forest": {"trees": 10, "depth": 5, "min_split": 5}},
 }
 ROW = "_row"
+TARGET = "_target"
 
 
 @dataclass
@@ -86,13 +87,13 @@ def fit_classifier(
 
 
 def time_rows(df: DataFrame, features: list[str], include_target: bool) -> tuple[DataFrame, list[str]]:
-    """F2 input: label 0 before, 1 after; with ``include_target`` the class number is one more feature ``Y``."""
+    """F2 input: label 0 before, 1 after; with ``include_target`` the class number is one more feature ``TARGET``."""
     named = df.withColumn("time", F.when(F.col("side") == "before", "0").otherwise("1"))
     if not include_target:
         return named, list(features)
     classes = [r.label for r in df.select("label").distinct().orderBy("label").collect()]
     number = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-    return named.withColumn("Y", number[F.col("label")]), [*features, "Y"]
+    return named.withColumn(TARGET, number[F.col("label")]), [*features, TARGET]
 
 
 def time_classifier(
@@ -356,7 +357,7 @@ def drift_importance(
     df: DataFrame, features: list[str], order: list[str], include_target: bool = True, method: str = "permutation",
     kind: str = "mlp", params: dict | None = None, **kw,
 ) -> DataFrame:
-    """importance for telling before from after; concept drift with the target, data drift without. No row for Y."""
+    """importance for telling before from after; concept drift with the target, data drift without. No row for the target."""
     clf, rows = time_classifier(df, features, include_target, kind, params)
     found = feature_importance(clf, rows, "time", order, method, **kw)
     return found.where(F.col("feature").isin(features))
