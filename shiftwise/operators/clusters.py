@@ -7,9 +7,11 @@ Rows: ``(side, label, <features>)``, scaled by ``standard_scale`` on the before
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -44,39 +46,90 @@ def assign_clusters(rows: DataFrame, centres: DataFrame) -> DataFrame:
     return out.select(*rows.columns, F.col("_b.id").alias("cluster"), F.col("_b.d").alias("sq_dist"))
 
 
-def _moments() -> list[Column]:
-    v = array_to_vector(F.col("features"))
-    return [
-        vector_to_array(Summarizer.mean(v)).alias("mean"), vector_to_array(Summarizer.variance(v)).alias("var")
-    ]
+PARTS = "g int, cluster int, half int, n long, d double, total array<double>, squares array<double>"
 
 
-def _summaries(rows: DataFrame, centres: dict) -> dict[tuple, dict[int, dict]]:
-    """Per (side, label) and cluster: rows, squared distance, mean and variance. One job, combined on the map side."""
-    assigned = assign_clusters(rows, _centre_table(rows.sparkSession, centres))
-    got = assigned.groupBy(*GROUP, "cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("sq_dist").alias("d"), *_moments()
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    at = d.argmin(axis=1)
+    return at, d[np.arange(len(x)), at]
+
+
+def _summaries(
+    rows: DataFrame, groups: list[tuple], centres: dict, halves: dict | None = None
+) -> dict[tuple, dict[tuple[int, int], dict]]:
+    """Per group and cluster (and trial half): rows, squared distance, mean and variance; one job.
+
+    Every task assigns its rows batch by batch and emits one partial sum per cluster, so the shuffle carries
+    (tasks x clusters) short rows. ``centres`` and ``halves`` hold at most ``k_max`` vectors per group.
+    """
+    known = {g: np.array(centres[k]) for g, k in enumerate(groups)}
+    trial = {(groups.index(k), i): np.array(v) for (k, i), v in (halves or {}).items()}
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int, int], list] = {}
+
+        def add(key, x, d):
+            part = sums.setdefault(key, [0, 0.0, np.zeros(x.shape[1]), np.zeros(x.shape[1])])
+            part[0] += len(x)
+            part[1] += float(d.sum())
+            part[2] += x.sum(axis=0)
+            part[3] += (x * x).sum(axis=0)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column("g").to_numpy(zero_copy_only=False)
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for no in np.unique(g):
+                mine = x[g == no]
+                at, d = _nearest(mine, known[int(no)])
+                for c in np.unique(at):
+                    inside, far = mine[at == c], d[at == c]
+                    if not trial:
+                        add((int(no), int(c), 0), inside, far)
+                    elif (int(no), int(c)) in trial:
+                        half, far = _nearest(inside, trial[(int(no), int(c))])
+                        for h in np.unique(half):
+                            add((int(no), int(c), int(h)), inside[half == h], far[half == h])
+        keys = list(sums)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
+                pa.array([k[2] for k in keys], pa.int32()), pa.array([sums[k][0] for k in keys], pa.int64()),
+                pa.array([sums[k][1] for k in keys], pa.float64()),
+                pa.array([sums[k][2].tolist() for k in keys], pa.list_(pa.float64())),
+                pa.array([sums[k][3].tolist() for k in keys], pa.list_(pa.float64())),
+            ],
+            names=["g", "cluster", "half", "n", "d", "total", "squares"],
+        )
+
+    def summed(c: str) -> Column:
+        return vector_to_array(Summarizer.metrics("sum").summary(array_to_vector(c))["sum"]).alias(c)
+
+    got = rows.mapInArrow(partial, PARTS).groupBy("g", "cluster", "half").agg(
+        F.sum("n").alias("n"), F.sum("d").alias("d"), summed("total"), summed("squares")
     )
-    out: dict[tuple, dict[int, dict]] = {k: {} for k in centres}
+    out: dict[tuple, dict[tuple[int, int], dict]] = {k: {} for k in groups}
     for r in got.collect():
-        out[(r.side, r.label)][r.cluster] = {
-            "n": r.n, "d": r.d, "mean": np.array(r["mean"]), "var": np.array(r["var"])
+        mean = np.array(r.total) / r.n
+        out[groups[r.g]][(r.cluster, r.half)] = {
+            "n": r.n, "d": r.d, "mean": mean, "var": np.maximum(np.array(r.squares) / r.n - mean * mean, 0.0)
         }
     return out
 
 
-def _lloyd(rows: DataFrame, centres: dict, rounds: int, tolerance: float) -> tuple[dict, dict]:
+def _lloyd(
+    rows: DataFrame, groups: list[tuple], centres: dict, rounds: int, tolerance: float
+) -> tuple[dict, dict[tuple, dict[int, dict]]]:
     """Move all centres of all groups together; stops when none moves further than ``tolerance``."""
-    seen = _summaries(rows, centres)
-    for _ in range(rounds):
-        moved = {
-            k: [seen[k][i]["mean"] if i in seen[k] else v for i, v in enumerate(vs)] for k, vs in centres.items()
-        }
+    for turn in range(rounds + 1):
+        seen = {k: {c: p for (c, _), p in ps.items()} for k, ps in _summaries(rows, groups, centres).items()}
+        moved = {k: [seen[k][i]["mean"] if i in seen[k] else v for i, v in enumerate(vs)] for k, vs in centres.items()}
         step = max((float(np.linalg.norm(a - b)) for k in centres for a, b in zip(moved[k], centres[k])), default=0.0)
-        centres = moved
-        seen = _summaries(rows, centres)
-        if step <= tolerance:
+        if step <= tolerance or turn == rounds:
             break
+        centres = moved
     return centres, seen
 
 
@@ -111,31 +164,32 @@ def xmeans_per_class(
     """X-means for every (side, label) at once: ``(side, label, centres)``.
 
     The driver holds at most ``k_max`` centres per group. Every Lloyd round of all groups, and of all trial splits,
-    is one aggregate over the rows; a split stays when it raises the information score of its parent.
+    is one job over the rows; a split stays when it raises the information score of its parent.
     """
     if not 1 <= k_init <= k_max:
         raise ValueError("need 1 <= k_init <= k_max")
-    rows = rows.select(*GROUP, "features").persist()
-    start = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *_moments())
-    parts = {
-        (r.side, r.label): {0: {"n": r.n, "mean": np.array(r["mean"]), "var": np.array(r["var"])}}
-        for r in start.collect()
-    }
+    spark = rows.sparkSession
+    groups = [tuple(r) for r in rows.select(*GROUP).distinct().orderBy(*GROUP).collect()]  # classes x sides
+    named = spark.createDataFrame([(*k, g) for g, k in enumerate(groups)], "side string, label string, g int")
+    work = rows.join(F.broadcast(named), GROUP).select("g", "features").persist()
+    centres = {k: [np.zeros(size)] for k in groups}
+    centres, parts = _lloyd(work, groups, centres, 1, math.inf)
     centres = {k: [p[0]["mean"]] for k, p in parts.items()}
     while _split_widest(centres, parts, k_init):
-        centres, parts = _lloyd(rows, centres, rounds, tolerance)
-    centres, parts = _lloyd(rows, centres, rounds, tolerance)
+        centres, parts = _lloyd(work, groups, centres, rounds, tolerance)
     while k_init < k_max:
-        trial, owner = _trial_rows(rows, centres, parts)
-        if trial is None:
+        starts = {
+            (k, i): _two_sided(p)
+            for k, ps in parts.items() for i, p in ps.items() if p["n"] >= 3 and np.any(p["var"] > 0)
+        }
+        if not starts:
             break
-        _, halves = _lloyd(trial[0], trial[1], rounds, tolerance)
+        trial = _trial_splits(work, groups, centres, starts, rounds, tolerance)
         grown = False
-        for k in centres:
-            free = k_max - len(centres[k])
-            kept: list[np.ndarray] = []
+        for k in groups:
+            free, kept = k_max - len(centres[k]), []
             for i, v in enumerate(centres[k]):
-                pair = list(halves.get(owner[(k, i)], {}).values()) if (k, i) in owner else []
+                pair = trial.get((k, i), [])
                 better = len(pair) == 2 and information_score([parts[k][i]], size) < information_score(pair, size)
                 if better and free > 0:
                     kept += [p["mean"] for p in pair]
@@ -146,10 +200,25 @@ def xmeans_per_class(
             centres[k] = kept
         if not grown:
             break
-        centres, parts = _lloyd(rows, centres, rounds, tolerance)
-    out = _centre_table(rows.sparkSession, centres)
-    rows.unpersist()
-    return out
+        centres, parts = _lloyd(work, groups, centres, rounds, tolerance)
+    work.unpersist()
+    return _centre_table(spark, centres)
+
+
+def _trial_splits(
+    rows: DataFrame, groups: list[tuple], centres: dict, halves: dict, rounds: int, tolerance: float
+) -> dict[tuple, list[dict]]:
+    """Two-means inside every cluster, all at once."""
+    for turn in range(rounds + 1):
+        seen = _summaries(rows, groups, centres, halves)
+        moved, step = {}, 0.0
+        for (k, i), pair in halves.items():
+            moved[(k, i)] = [seen[k][(i, h)]["mean"] if (i, h) in seen[k] else v for h, v in enumerate(pair)]
+            step = max([step, *[float(np.linalg.norm(a - b)) for a, b in zip(moved[(k, i)], pair)]])
+        if step <= tolerance or turn == rounds:
+            break
+        halves = moved
+    return {(k, i): [seen[k][(i, h)] for h in (0, 1) if (i, h) in seen[k]] for (k, i) in halves}
 
 
 def _split_widest(centres: dict, parts: dict, wanted: int) -> bool:
@@ -164,22 +233,6 @@ def _split_widest(centres: dict, parts: dict, wanted: int) -> bool:
     return split
 
 
-def _trial_rows(rows: DataFrame, centres: dict, parts: dict):
-    """Rows keyed by their cluster, and two starting centres for each cluster that can be split."""
-    owner, starts = {}, {}
-    for k, vs in centres.items():
-        for i in range(len(vs)):
-            p = parts[k].get(i)
-            if p and p["n"] >= 3 and np.any(p["var"] > 0):
-                owner[(k, i)] = (k[0], f"{k[1]}#{i}")
-                starts[owner[(k, i)]] = _two_sided(p)
-    if not starts:
-        return None, owner
-    assigned = assign_clusters(rows, _centre_table(rows.sparkSession, centres))
-    keyed = assigned.select("side", F.concat_ws("#", "label", "cluster").alias("label"), "features")
-    return (keyed, starts), owner
-
-
 def match_clusters(centres: DataFrame, size: int, thr: float = THR_DISAPPEAR) -> DataFrame:
     """``(label, old_id, new_id)`` by smallest total distance; an unmatched side is null.
 

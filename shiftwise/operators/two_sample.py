@@ -165,11 +165,16 @@ def js_divergence(divs: DataFrame, thr: float = 0.05) -> DataFrame:
 def spearman_paired(df: DataFrame, features: list[str], order: list[str], thr: float = 0.9) -> DataFrame:
     """T5: rank correlation of the k-th before row of a class with its k-th after row, over the shorter length.
 
-    Pairs are counted before the ranks are joined, so repeated pairs travel once.
+    Pairs are counted before the ranks are joined, so repeated pairs travel once; the counted pairs are read three
+    times and are materialised.
     """
     placed = index_rows(df.select("side", "label", *order, *features), order, ["side", "label"], "pos")
-    old = placed.where("side = 'before'").select("label", "pos", *[F.col(f).alias(f"x_{f}") for f in features])
-    new = placed.where("side = 'after'").select("label", "pos", *[F.col(f).alias(f"y_{f}") for f in features])
+    is_old = F.col("side") == "before"
+    met = placed.groupBy("label", "pos").agg(
+        F.count(F.lit(1)).alias("_sides"),
+        *[F.max(F.when(is_old, F.col(f))).alias(f"x_{f}") for f in features],
+        *[F.max(F.when(~is_old, F.col(f))).alias(f"y_{f}") for f in features],
+    ).where("_sides = 2")
     rows = F.explode(
         F.array(
             *[
@@ -178,8 +183,8 @@ def spearman_paired(df: DataFrame, features: list[str], order: list[str], thr: f
             ]
         )
     )
-    pairs = (
-        old.join(new, ["label", "pos"]).select("label", rows.alias("r")).select("label", "r.*")
+    pairs = cut_lineage(
+        met.select("label", rows.alias("r")).select("label", "r.*")
         .where("x is not null and y is not null").groupBy(*GROUP, "x", "y").agg(F.count(F.lit(1)).alias("n"))
     )
 

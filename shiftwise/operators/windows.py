@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftwise.functions.columns import agreement, l2, mean_vector
+from shiftwise.functions.columns import l2, mean_vector
 from shiftwise.functions.numeric import expected_mutual_information
-from shiftwise.operators.prototypes import proto_lists
 
 PAIR = ["window_a", "window_b"]
 
@@ -101,45 +100,85 @@ def minimal_distance(
     return per_class.groupBy(*PAIR).agg((F.sum("total") / F.sum("n")).alias("score"))
 
 
-def _best(x: Column, protos: Column, distance: str) -> Column:
-    """Nearest prototype as ``(d, id, label)``; tree distance counts trees that disagree."""
-    far = (lambda p: l2(x, p["v"])) if distance == "l2" else (lambda p: -agreement(x, p["v"]).cast("double"))
-    return F.array_min(
-        F.transform(protos, lambda p: F.struct(far(p).alias("d"), p["id"].alias("id"), p["label"].alias("label")))
+BLOCK = 64
+
+
+def _with_partners(
+    pairs: DataFrame, protos: DataFrame, rows: DataFrame, value: str, measure, schema: str
+) -> DataFrame:
+    """Run ``measure(rows of window_b, its own prototypes, {window_a: prototypes})`` and return its rows.
+
+    A group is one window with at most ``BLOCK`` partner windows, all of them bounded by the window size. Vectors
+    travel once per block of partners, and distances are matrix products inside the task.
+    """
+    keyed = pairs.withColumn("_k", F.floor(F.col("window_a") / BLOCK))
+    heads = keyed.select("window_b", "_k").distinct()
+    mine = rows.select(F.col("window_id").alias("window_b"), "idx", "label", F.col(value).alias("v"))
+    listed = protos.select("window_id", "label", "proto_rank", F.col(value).alias("v"))
+    partners = keyed.join(listed.withColumnRenamed("window_id", "window_a"), "window_a")
+    own = heads.join(listed.withColumnRenamed("window_id", "window_b"), "window_b").withColumn(
+        "window_a", F.lit(None).cast("long")
+    )
+    left = heads.join(mine, "window_b").select(
+        F.col("window_b").alias("_lb"), F.col("_k").alias("_lk"), "idx", "label", "v"
     )
+    right = partners.unionByName(own).select(
+        F.col("window_b").alias("_rb"), F.col("_k").alias("_rk"), "window_a", "label", "proto_rank", "v"
+    )
+
+    def run(key: tuple, x: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["label", "proto_rank"])
+        sets = {int(a): g for a, g in p[p["window_a"].notna()].groupby("window_a")}
+        out = measure(int(key[0]), x.sort_values("idx"), p[p["window_a"].isna()], sets) if len(x) else []
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return left.groupBy("_lb", "_lk").cogroup(right.groupBy("_rb", "_rk")).applyInPandas(run, schema)
+
+
+def _far(x: np.ndarray, p: np.ndarray, distance: str) -> np.ndarray:
+    """Rows x prototypes: Euclidean distance, or minus the number of shared leaves."""
+    if distance == "l2":
+        return np.sqrt(((x[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+    return -(x[:, None, :] == p[None, :, :]).sum(axis=2).astype(float)
 
 
 def assignment_pairs(
     pairs: DataFrame, protos: DataFrame, rows: DataFrame, assign_to: str = "prototype", distance: str = "l2"
 ) -> DataFrame:
-    """M8: rows of the second window assigned by the prototypes of either: ``(pair, idx, in_a, in_b)``."""
+    """M8: rows of the second window assigned by the prototypes of either: ``(pair, idx, in_a, in_b)``.
+
+    Ids count the prototypes of a window in class and rank order; no shared leaf gives -1.
+    """
     if assign_to not in ("prototype", "class"):
         raise ValueError(f"invalid assign_to: {assign_to}")
+
+    def names(x: np.ndarray, p: pd.DataFrame) -> list[str]:
+        if not len(p):
+            return ["-1"] * len(x)
+        far = _far(x, np.stack(p["v"].to_numpy()), distance)
+        at = far.argmin(axis=1)
+        labels = p["label"].to_numpy()
+        none = far[np.arange(len(x)), at] >= 0 if distance != "l2" else np.zeros(len(x), bool)
+        return ["-1" if n else (str(i) if assign_to == "prototype" else labels[i]) for i, n in zip(at, none)]
+
+    def measure(b: int, x: pd.DataFrame, own: pd.DataFrame, sets: dict) -> list[tuple]:
+        v = np.stack(x["v"].to_numpy())
+        in_b = names(v, own)
+        return [(a, b, int(i), m, n) for a, p in sets.items() for i, m, n in zip(x["idx"], names(v, p), in_b)]
+
     value = "features" if distance == "l2" else "leaves"
-    lists = proto_lists(protos, value)
-    x = F.col(value)
-
-    def assigned(side: str) -> Column:
-        best = _best(x, F.col(f"_{side}"), distance)
-        got = best["id"].cast("string") if assign_to == "prototype" else best["label"]
-        return got if distance == "l2" else F.when(best["d"] < 0, got).otherwise("-1")
-
-    # rows of a window are scored against its own prototypes once, and against every partner's
-    return (
-        pairs.join(lists.select(F.col("window_id").alias("window_a"), F.col("protos").alias("_a")), "window_a")
-        .join(lists.select(F.col("window_id").alias("window_b"), F.col("protos").alias("_b")), "window_b")
-        .join(rows.select(F.col("window_id").alias("window_b"), "idx", value), "window_b")
-        .select(*PAIR, "idx", assigned("a").alias("in_a"), assigned("b").alias("in_b"))
-    )
+    return _with_partners(pairs, protos, rows, value, measure,
+                          "window_a long, window_b long, idx long, in_a string, in_b string")
 
 
 def contingency(assigned: DataFrame) -> DataFrame:
     """``(pair, in_a, in_b, n)`` plus the marginals ``na``, ``nb`` and the total ``t``."""
-    cells = assigned.groupBy(*PAIR, "in_a", "in_b").agg(F.count(F.lit(1)).alias("n"))
-    a = cells.groupBy(*PAIR, "in_a").agg(F.sum("n").alias("na"))
-    b = cells.groupBy(*PAIR, "in_b").agg(F.sum("n").alias("nb"))
-    t = cells.groupBy(*PAIR).agg(F.sum("n").alias("t"))
-    return cells.join(a, [*PAIR, "in_a"]).join(b, [*PAIR, "in_b"]).join(t, PAIR)
+    cells = assigned.groupBy(*PAIR, "in_a", "in_b").agg(F.count(F.lit(1)).alias("n")).repartition(*PAIR)
+
+    def within(*keys: str) -> Column:
+        return F.sum("n").over(Window.partitionBy(*PAIR, *keys))
+
+    return cells.select("*", within("in_a").alias("na"), within("in_b").alias("nb"), within().alias("t"))
 
 
 def _pair_counts(cells: DataFrame) -> DataFrame:
@@ -217,41 +256,36 @@ def reassignment_impact(pairs: DataFrame, protos: DataFrame, rows: DataFrame, di
 
     A row's new class follows from its current best and the candidate's distance, so no prediction is redone.
     """
-    value = "features" if distance == "l2" else "leaves"
-    lists = proto_lists(protos, value)
-    x, y = F.col(value), F.col("label")
-    far = (lambda p: l2(x, p["v"])) if distance == "l2" else (lambda p: -agreement(x, p["v"]).cast("double"))
-    joined = (
-        pairs.join(lists.select(F.col("window_id").alias("window_a"), F.col("protos").alias("_a")), "window_a")
-        .join(lists.select(F.col("window_id").alias("window_b"), F.col("protos").alias("_b")), "window_b")
-        .join(rows.select(F.col("window_id").alias("window_b"), "idx", "label", value), "window_b")
-        .withColumn("_best_a", _best(x, F.col("_a"), distance))
-        .withColumn("_best_b", _best(x, F.col("_b"), distance))
-    )
 
-    def right(best: Column) -> Column:
-        ok = (best["label"] == y) if distance == "l2" else ((best["d"] < 0) & (best["label"] == y))
-        return ok.cast("int")
-
-    def deltas(direction: str, base: str, others: str) -> Column:
-        best = F.col(f"_best_{base}")
-
-        def change(p: Column) -> Column:
-            d = far(p)
-            wins = (d < best["d"]) | ((d == best["d"]) & (p["label"] < best["label"]))
-            if distance != "l2":
-                wins = wins & (d < 0)
-            return F.when(wins, (p["label"] == y).cast("int") - right(best)).otherwise(0)
-
-        return F.transform(
-            F.col(f"_{others}"),
-            lambda p: F.struct(F.lit(direction).alias("way"), p["id"].alias("id"), change(p).alias("change")),
-        )
-
-    flat = joined.select(*PAIR, F.explode(F.concat(deltas("to_b", "b", "a"), deltas("to_a", "a", "b"))).alias("_d"))
-    per_candidate = flat.groupBy(*PAIR, "_d.way", "_d.id").agg(F.avg("_d.change").alias("_m"))
-    per_way = per_candidate.groupBy(*PAIR, "way").agg(F.avg(F.abs("_m")).alias("_m"))
-    return per_way.groupBy(*PAIR).agg((F.sum("_m") / 2).alias("score"))
+    def best(far: np.ndarray, p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        at = far.argmin(axis=1)
+        d, label = far[np.arange(len(far)), at], p["label"].to_numpy()[at]
+        return d, np.where(d >= 0, "", label) if distance != "l2" else label
+
+    def one_way(y, d, label, far: np.ndarray, candidates: np.ndarray) -> float:
+        wins = (far < d[:, None]) | ((far == d[:, None]) & (candidates[None, :] < label[:, None]))
+        if distance != "l2":
+            wins &= far < 0
+        gain = (candidates[None, :] == y[:, None]).astype(int) - (label == y)[:, None].astype(int)
+        return float(np.abs(np.where(wins, gain, 0).mean(axis=0)).mean())
+
+    def measure(b: int, x: pd.DataFrame, own: pd.DataFrame, sets: dict) -> list[tuple]:
+        v, y = np.stack(x["v"].to_numpy()), x["label"].to_numpy().astype(str)
+        if not len(own):
+            return [(a, b, None) for a in sets]
+        far_b = _far(v, np.stack(own["v"].to_numpy()), distance)
+        d_b, l_b = best(far_b, own)
+        out = []
+        for a, p in sets.items():
+            far_a = _far(v, np.stack(p["v"].to_numpy()), distance)
+            d_a, l_a = best(far_a, p)
+            to_b = one_way(y, d_b, l_b.astype(str), far_a, p["label"].to_numpy().astype(str))
+            to_a = one_way(y, d_a, l_a.astype(str), far_b, own["label"].to_numpy().astype(str))
+            out.append((a, b, (to_a + to_b) / 2))
+        return out
+
+    value = "features" if distance == "l2" else "leaves"
+    return _with_partners(pairs, protos, rows, value, measure, "window_a long, window_b long, score double")
 
 
 SIMILARITIES = ("mutual_information", "rand_index", "completeness", "fowlkes_mallows")

@@ -151,7 +151,7 @@ def frozen_reference(rows: DataFrame, value: str = "value", bins: int = 30) -> D
     )
     hit = bin_number(F.col(value), F.col("ref_min"), F.col("ref_max"), bins)
     counts = rows.join(F.broadcast(stats), "label").groupBy("label").agg(
-        F.array(*[F.sum((hit == i).cast("long")) for i in range(bins)]).alias("ref_bins")
+        F.array(*[F.count(F.when(hit == i, 1)) for i in range(bins)]).alias("ref_bins"), F.count(hit).alias("ref_inside")
     )
     return stats.join(counts, "label")
 
@@ -167,23 +167,22 @@ def stream_window_drift(
     known = rows.join(F.broadcast(reference), "label")
     timed, span = _windowed(known, length, delay=delay)
     hit = bin_number(F.col(value), F.col("ref_min"), F.col("ref_max"), bins)
-    carried = ["ref_n", "ref_mean", "ref_std", "ref_min", "ref_max", "ref_bins"]
+    carried = ["ref_n", "ref_mean", "ref_std", "ref_min", "ref_max", "ref_bins", "ref_inside"]
+    timed = timed.withColumn("_hit", hit)
     agg = timed.groupBy(span, "label").agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"),
-        F.array(*[F.sum((hit == i).cast("long")) for i in range(bins)]).alias("bins"),
+        F.array(*[F.count(F.when(F.col("_hit") == i, 1)) for i in range(bins)]).alias("bins"),
+        F.count("_hit").alias("inside"),
         *[F.first(c).alias(c) for c in carried],
     )
     width = F.when(F.col("ref_min") == F.col("ref_max"), 1.0).otherwise(F.col("ref_max") - F.col("ref_min")) / bins
 
-    def shares(c: str) -> Column:
-        # null counts (rows outside the edges only) become 0; densities get the same small constant
-        counts = F.transform(c, lambda n: F.coalesce(n, F.lit(0)))
-        total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n)
-        dense = F.transform(counts, lambda n: n / (total * width) + F.lit(EPS))
-        return F.transform(dense, lambda d: d / F.aggregate(dense, F.lit(0.0), lambda s, x: s + x))
+    def shares(c: str, inside: str) -> Column:
+        # densities plus a small constant, over their sum (1 / width + bins * constant)
+        return F.transform(c, lambda n: (n / (F.col(inside) * width) + EPS) / (1.0 / width + bins * EPS))
 
-    shares_added = agg.withColumn("_p", shares("ref_bins")).withColumn("_q", shares("bins"))
+    shares_added = agg.withColumn("_p", shares("ref_bins", "ref_inside")).withColumn("_q", shares("bins", "inside"))
 
     def total_of(each) -> Column:
         return F.aggregate(F.zip_with("_p", "_q", each), F.lit(0.0), lambda s, x: s + x)
