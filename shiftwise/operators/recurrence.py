@@ -6,8 +6,6 @@ outliers. Window ids are dense from 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -223,24 +221,27 @@ def cluster_windows(
 def fix_outlier_labels(labels: DataFrame) -> DataFrame:
     """A window between two equal concepts takes theirs, left to right, seeing earlier changes.
 
-    The sequence (one row per window) is read in order with two values of state.
+    A changed window takes the concept of its right neighbour, so that neighbour can not change any more: in a run
+    of windows that all sit between equal concepts, every other one changes, starting with the first. That makes
+    the left-to-right pass a frame of three rows and a running count.
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, int]] = []  # last fixed window and the one waiting for its right neighbour
-        for batch in batches:
-            out = []
-            for w, c in zip(batch["window_id"], batch["concept"]):
-                if len(held) == 2:
-                    (w0, c0), (w1, c1) = held
-                    out.append((w0, c0))
-                    held = [(w1, c0 if c0 == c and c0 != -1 else c1)]
-                held.append((w, c))
-            yield pd.DataFrame(out, columns=["window_id", "concept"])
-        yield pd.DataFrame(held, columns=["window_id", "concept"])
-
-    ordered = labels.select("window_id", "concept").repartition(1).sortWithinPartitions("window_id")
-    return ordered.mapInPandas(fold, "window_id long, concept int")
+    frame = moving(
+        labels.select("window_id", "concept"), [], 1, 1,
+        {"_n": F.count("concept"), "_l": F.first("concept"), "_r": F.last("concept")}, idx="window_id",
+    )
+    flagged = frame.withColumn(
+        "_odd",
+        ((F.col("_n") == 3) & (F.col("_l") == F.col("_r")) & (F.col("_l") != -1) & (F.col("concept") != F.col("_l")))
+        .cast("long"),
+    )
+    counted = prefix_sums(flagged, [], ["window_id"], {"_c": F.col("_odd")})
+    # windows of a run share (window id - running count); the run starts at its smallest running count
+    run = counted.withColumn("_run", F.col("window_id") - F.col("_c_upto"))
+    starts = run.where("_odd = 1").groupBy("_run").agg(F.min("_c_upto").alias("_first"))
+    turns = (F.col("_odd") == 1) & ((F.col("_c_upto") - F.col("_first")) % 2 == 0)
+    return run.join(starts, "_run", "left").select(
+        "window_id", F.when(turns, F.col("_l")).otherwise(F.col("concept")).cast("int").alias("concept")
+    )
 
 
 def drift_from_labels(labels: DataFrame) -> DataFrame:

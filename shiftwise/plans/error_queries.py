@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shiftwise.operators import errors
 from shiftwise.operators.prep import fixed_windows
 from shiftwise.plans.catalog import query, rnd, rounded
+from shiftwise.plans.detector_sql import CHAIN_SQL, DETECTOR_SQL
 from shiftwise.plans.inputs import ERROR_STREAMS, error_streams, event_sides
 
 
@@ -58,7 +59,7 @@ def _running(spark, sf):
 
 
 def _register_detector(name: str, params: dict | None = None):
-    @query(f"detector_{name}")
+    @query(f"detector_{name}", DETECTOR_SQL.get(name))
     def _detect(spark, sf):
         return errors.detect_drifts(_indexed(spark, sf), name, params)
 
@@ -70,7 +71,7 @@ for _name, _params in (
     _register_detector(_name, _params)
 
 
-@query("warning_chain")
+@query("warning_chain", CHAIN_SQL)
 def _chain(spark, sf):
     return errors.detect_drifts(_indexed(spark, sf), "hddm_a", warning_grace=20)
 
@@ -104,7 +105,20 @@ def _start_cusum(spark, sf):
     return _located(spark, sf, "cusum", "none")
 
 
-@query("drift_start_threshold")
+@query("drift_start_threshold", f"""WITH {SLICES},
+bl AS (SELECT stream, detected_at, max(history) AS history, max(start_idx) AS start_idx, max(n) AS n, least(100, max(n) - 50) AS base,
+              avg(error) FILTER (i < least(100, n - 50)) AS level FROM bk GROUP BY stream, detected_at),
+mv AS (SELECT stream, detected_at, i, avg(error) OVER w AS rate, count(*) OVER w AS len FROM bk
+       WINDOW w AS (PARTITION BY stream, detected_at ORDER BY i ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING)),
+hg AS (SELECT stream, detected_at, i, CASE WHEN rate > level * 1.5 THEN 1 ELSE 0 END AS high
+       FROM mv JOIN bl USING (stream, detected_at) WHERE i >= base AND len >= 10),
+rn AS (SELECT stream, detected_at, i, sum(high) OVER w AS s FROM hg
+       WINDOW w AS (PARTITION BY stream, detected_at ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ft AS (SELECT stream, detected_at, min(i) AS hit FROM rn WHERE s = 20 GROUP BY 1, 2)
+SELECT bl.stream, bl.detected_at,
+       CAST(greatest(0, least(CASE WHEN bl.detected_at < 50 THEN 0 WHEN base <= 0 THEN start_idx
+            ELSE start_idx + CASE WHEN hit IS NULL THEN base ELSE greatest(0, hit - 20) END END, bl.detected_at - history)) AS BIGINT) AS drift_start,
+       bl.detected_at AS drift_end FROM bl LEFT JOIN ft USING (stream, detected_at)""")
 def _start_threshold(spark, sf):
     return _located(spark, sf, "threshold", "none")
 

@@ -64,18 +64,26 @@ long AS (
   UNION ALL SELECT side, label, 'k', k FROM ev)"""
 
 
+def error_flag(raw_type, event_id):
+    """Errors of the event log; in every other stretch of 3000 events clicks fail as well."""
+    wild = F.floor(event_id / 3000) % 2 == 1
+    return ((raw_type == "error") | (wild & (raw_type == "click"))).cast("int")
+
+
+ERROR_FLAG = """CASE WHEN event_type = 'error' OR (CAST(floor(event_id / 3000) AS BIGINT) % 2 = 1 AND event_type = 'click')
+              THEN 1 ELSE 0 END"""
+
+
 def error_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 0/1 error stream per group of users, in event order: ``(stream, event_id, error)``."""
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 5).alias("stream"),
-        "event_id",
-        (F.col("event_type") == "error").cast("int").alias("error"),
+        (F.col("user_id") % 5).alias("stream"), "event_id",
+        error_flag(F.col("event_type"), F.col("event_id")).alias("error"),
     )
 
 
-ERROR_STREAMS = """es AS (
-  SELECT user_id % 5 AS stream, event_id,
-         CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS error,
+ERROR_STREAMS = f"""es AS (
+  SELECT user_id % 5 AS stream, event_id, {ERROR_FLAG} AS error,
          row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) - 1 AS idx
   FROM events)"""
 

@@ -151,10 +151,14 @@ def _entropy_weight(spark, sf):
     return rounded(prep.binary_entropy_weight(_binary_lines(spark, sf), ["shipped", "large", "l_tax"]))
 
 
-@query("stratified_split")
+@query("stratified_split", """
+WITH p AS (SELECT event_type AS label, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1)
+                  / CAST(count(*) OVER (PARTITION BY event_type) AS DOUBLE) AS share FROM events)
+SELECT label, CASE WHEN share < CAST(0.6 AS DOUBLE) THEN 'train' WHEN share < CAST(0.6 AS DOUBLE) + CAST(0.2 AS DOUBLE) THEN 'valid' ELSE 'test' END AS part,
+       count(*) AS n FROM p GROUP BY 1, 2""")
 def _split(spark, sf):
     rows = table(spark, sf, "events").select(F.col("event_id").alias("idx"), F.col("event_type").alias("label"), "value")
-    return prep.stratified_split(rows)
+    return prep.stratified_split(rows).groupBy("label", "part").agg(F.count("*").alias("n"))
 
 
 @query("recode_categories", """

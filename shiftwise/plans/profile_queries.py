@@ -153,14 +153,41 @@ def _ecdf(spark, sf):
     return rounded(profile.ecdf(event_sides(spark, sf), EVENT_FEATURES), only=["share"])
 
 
-@query("qq_normal")
+def _poly(x: str, coeffs: list[float]) -> str:
+    out = f"CAST({coeffs[0]!r} AS DOUBLE)"
+    for c in coeffs[1:]:
+        out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+    return out
+
+
+def _tail(q: str) -> str:
+    t = f"sqrt(-2 * ln({q}))"
+    return f"{_poly(t, profile.TAIL_TOP)} / ({_poly(t, profile.TAIL_BOTTOM)} * {t} + 1)"
+
+
+def _qq_sql(sides: str) -> str:
+    r = "((p - 0.5) * (p - 0.5))"
+    centre = f"{_poly(r, profile.CENTRE_TOP)} * (p - 0.5) / ({_poly(r, profile.CENTRE_BOTTOM)} * {r} + 1)"
+    return f"""{sides},
+pl AS (SELECT side, feature, value, row_number() OVER (PARTITION BY side, feature ORDER BY value) AS place,
+              CAST(count(*) OVER (PARTITION BY side, feature) AS DOUBLE) AS t FROM long),
+fm AS (SELECT side, feature, value, place, CASE WHEN place = t THEN pow(0.5, 1 / t) WHEN place = 1 THEN 1 - pow(0.5, 1 / t)
+              ELSE (place - 0.3175) / (t + 0.365) END AS p FROM pl),
+qn AS (SELECT side, feature, value, place, CASE WHEN p < 0.02425 THEN {_tail('p')} WHEN p > 1 - 0.02425 THEN -({_tail('(1 - p)')})
+              ELSE {centre} END AS theoretical FROM fm)"""
+
+
+@query("qq_normal", f"""WITH {_qq_sql(EVENT_SIDES)}
+SELECT side, feature, place, {rnd('value', 'value', 5)}, {rnd('theoretical', 'theoretical', 5)} FROM qn""")
 def _qq(spark, sf):
-    return rounded(profile.qq_normal(event_sides(spark, sf), EVENT_FEATURES))
+    return rounded(profile.qq_normal(event_sides(spark, sf), EVENT_FEATURES), 5)
 
 
-@query("qq_line")
+@query("qq_line", f"""WITH {_qq_sql(LINE_SIDES)}
+SELECT side, feature, {rnd('regr_slope(value, theoretical)', 'slope', 4)}, {rnd('regr_intercept(value, theoretical)', 'intercept', 4)},
+       {rnd('corr(value, theoretical)', 'r', 4)} FROM qn GROUP BY 1, 2""")
 def _qq_line(spark, sf):
-    return rounded(profile.qq_line(profile.qq_normal(line_sides(spark, sf), LINE_FEATURES)))
+    return rounded(profile.qq_line(profile.qq_normal(line_sides(spark, sf), LINE_FEATURES)), 4)
 
 
 @query("kde", f"""WITH {LINE_SIDES},

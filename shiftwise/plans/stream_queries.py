@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from shiftwise.operators import recurrence, windows
 from shiftwise.plans.catalog import query, rnd, rounded
-from shiftwise.plans.inputs import WINDOW_SIZE, first_prototypes
+from shiftwise.plans.detector_sql import DETECTOR_SQL
+from shiftwise.plans.inputs import ERROR_FLAG, WINDOW_SIZE, error_flag, first_prototypes
 from shiftwise.plans.window_queries import displacement_sql
 from shiftwise.streaming import streams
 
@@ -16,11 +17,11 @@ def _events(spark, sf):
     return raw.select(
         (F.col("user_id") % 5).alias("stream"), "event_id", "ts", F.col("event_type").alias("label"), "value",
         F.get_json_object("props", "$.k").cast("double").alias("k"),
-        (F.col("event_type") == "error").cast("int").alias("error"),
+        error_flag(F.col("event_type"), F.col("event_id")).alias("error"),
     )
 
 
-@query("stream_error_drift")
+@query("stream_error_drift", DETECTOR_SQL["eddm"])
 def _error_drift(spark, sf):
     return streams.run_to_table(streams.stream_error_drift(_events(spark, sf), "event_id", "eddm"), "error-drift")
 
@@ -82,7 +83,7 @@ def _drift(spark, sf):
 
 
 @query("stream_rolling_error", f"""
-WITH s AS (SELECT user_id % 5 AS stream, ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS error,
+WITH s AS (SELECT user_id % 5 AS stream, ts, {ERROR_FLAG} AS error,
                   date_trunc('hour', ts) - INTERVAL (k.range) HOUR AS window_start FROM events, range(6) k),
 a AS (SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, stream, count(*) AS n, avg(error) AS rate FROM s GROUP BY 1, 2, 3)
 SELECT window_start, window_end, stream, n, {rnd('rate', 'rate')} FROM a

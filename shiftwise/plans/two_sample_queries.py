@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from shiftwise.operators import two_sample
 from shiftwise.plans.catalog import query, rnd, rounded
 from shiftwise.plans.inputs import LINE_FEATURES, LINE_ORDER, LINE_SIDES, line_sides
@@ -115,9 +117,27 @@ def _ad_raw(spark, sf):
     return rounded(_cdf_summary(spark, sf).select("label", "feature", "raw", "n1", "n2"))
 
 
-@query("anderson_darling_k")
+FIT = [float(c) for c in np.polyfit(two_sample.AD_CRITICAL, np.log(two_sample.AD_LEVELS), 2)]
+AD_FULL = f"""{AD},
+nn AS (SELECT DISTINCT n1 + n2 AS t FROM ad),
+hs AS (SELECT t, r.range AS i, sum(1.0 / CAST(r.range AS DOUBLE)) OVER (PARTITION BY t ORDER BY r.range) AS h
+       FROM nn, range(1, (SELECT max(t) FROM nn)) r WHERE r.range < t),
+ht AS (SELECT t, max(h) AS h FROM hs GROUP BY 1),
+gs AS (SELECT hs.t, max(ht.h) AS h, sum((ht.h - hs.h) / (hs.t - i)) AS g FROM hs JOIN ht USING (t) WHERE i <= hs.t - 2 GROUP BY 1),
+ab AS (SELECT label, feature, raw, CAST(t AS DOUBLE) AS t, g, h, 1.0 / n1 + 1.0 / n2 AS inv FROM ad JOIN gs ON gs.t = n1 + n2),
+sg AS (SELECT *, sqrt((((4 * g - 6) + (10 - 6 * g) * inv) * t * t * t
+              + ((2 * g - 4) * 4 + 16 * h + (2 * g - 14 * h - 4) * inv - 8 * h + 4 * g - 6) * t * t
+              + ((6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * inv + 4 * h) * t
+              + (2 * h + 6) * 4 - 8 * h) / ((t - 1) * (t - 2) * (t - 3))) AS sigma FROM ab),
+aa AS (SELECT label, feature, (raw - 1) / sigma AS stat FROM sg),
+ap AS (SELECT *, CASE WHEN stat < {two_sample.AD_CRITICAL[0]} THEN 0.25 WHEN stat > {two_sample.AD_CRITICAL[-1]} THEN 0.001
+              ELSE exp({FIT[0]} * stat * stat + {FIT[1]} * stat + {FIT[2]}) END AS p_value FROM aa)"""
+
+
+@query("anderson_darling_k", f"""WITH {AD_FULL}
+SELECT label, feature, 'anderson_darling' AS test, {rnd('stat', 'stat', 5)}, {rnd('p_value', 'p_value', 5)}, p_value < 0.05 AS drift FROM ap""")
 def _ad(spark, sf):
-    return rounded(two_sample.anderson_darling_k(_cdf_summary(spark, sf)))
+    return rounded(two_sample.anderson_darling_k(_cdf_summary(spark, sf)).drop("critical"), 5)
 
 
 DECIDE = f"""al AS (

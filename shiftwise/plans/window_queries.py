@@ -51,7 +51,18 @@ def _cells(spark, sf):
     return windows.contingency(windows.assignment_pairs(*_parts(spark, sf)))
 
 
-@query("adjusted_mutual_info")
+@query("adjusted_mutual_info", f"""WITH {ASSIGN},
+mi AS (SELECT window_a, window_b, sum(n / t * ln(n * t / (na * nb))) AS mi
+       FROM ce JOIN ma USING (window_a, window_b, in_a) JOIN mb USING (window_a, window_b, in_b) JOIN pc USING (window_a, window_b) GROUP BY 1, 2),
+ha AS (SELECT window_a, window_b, sum(-na / t * ln(na / t)) AS h FROM ma JOIN pc USING (window_a, window_b) GROUP BY 1, 2),
+hb AS (SELECT window_a, window_b, sum(-nb / t * ln(nb / t)) AS h FROM mb JOIN pc USING (window_a, window_b) GROUP BY 1, 2),
+mg AS (SELECT window_a, window_b, na, nb, t, unnest(range(CAST(greatest(1, na + nb - t) AS BIGINT), CAST(least(na, nb) AS BIGINT) + 1)) AS k
+       FROM ma JOIN mb USING (window_a, window_b) JOIN pc USING (window_a, window_b)),
+em AS (SELECT window_a, window_b, sum(k / t * ln(t * k / (na * nb)) * exp(lgamma(na + 1) + lgamma(nb + 1) + lgamma(t - na + 1)
+              + lgamma(t - nb + 1) - lgamma(t + 1) - lgamma(k + 1.0) - lgamma(na - k + 1) - lgamma(nb - k + 1) - lgamma(t - na - nb + k + 1))) AS emi
+       FROM mg GROUP BY 1, 2)
+SELECT window_a, window_b, {rnd('(mi - emi) / ((ha.h + hb.h) / 2 - emi)', 'score')}
+FROM mi JOIN em USING (window_a, window_b) JOIN ha USING (window_a, window_b) JOIN hb USING (window_a, window_b)""")
 def _ami(spark, sf):
     return rounded(windows.adjusted_mutual_info(_cells(spark, sf)))
 
@@ -242,7 +253,15 @@ def _truth(spark, sf):
     return _labels(spark, sf).select("window_id", F.floor(F.col("window_id") / 7 % 3).cast("int").alias("true_concept"))
 
 
-@query("concept_label_accuracy")
+@query("concept_label_accuracy", f"""WITH {LABELS},
+j AS (SELECT concept, CAST(floor(CAST(window_id AS DOUBLE) / 7 % 3) AS INTEGER) AS truth FROM lb),
+cm AS (SELECT concept, truth, count(*) AS n FROM j WHERE concept <> -1 GROUP BY 1, 2),
+pm AS (SELECT a.range AS t0, b.range AS t1, c.range AS t2 FROM range(3) a, range(3) b, range(3) c
+       WHERE a.range <> b.range AND a.range <> c.range AND b.range <> c.range),
+sc AS (SELECT t0, t1, t2, sum(CASE WHEN (concept = 0 AND truth = t0) OR (concept = 1 AND truth = t1) OR (concept = 2 AND truth = t2) THEN n ELSE 0 END) AS hit
+       FROM cm, pm GROUP BY 1, 2, 3)
+SELECT (SELECT count(*) FROM j) AS windows, (SELECT count(*) FROM j WHERE concept = -1) AS outliers,
+       {rnd('max(hit) * 1.0 / (SELECT count(*) FROM j)', 'accuracy')} FROM sc""")
 def _accuracy(spark, sf):
     return rounded(recurrence.concept_label_accuracy(_labels(spark, sf), _truth(spark, sf)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,8 +86,10 @@ class DatasetRegistry:
         """Look up the newest registry version on disk."""
         try:
             found = self.spark.read.parquet(f"{self.folder}/registry").agg(F.max("v")).first()[0]
-        except Exception:
-            found = None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = None  # no registry yet
         self._version = int(found or 0)
         return self
 
@@ -103,6 +106,13 @@ class DatasetRegistry:
         return self._read().where(F.col("name") == name).first()
 
     def delete(self, name: str) -> None:
+        """Take the name off the list and replace its rows by an empty table of the same shape."""
+        info = self.get(name)
+        if info is None:
+            return
+        path = f"{self.folder}/data/{info.filename}"
+        schema = self.spark.read.parquet(path).schema
+        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
         self._write(self._read().where(F.col("name") != name))
 
     def load(self, name: str, keep: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -223,18 +224,22 @@ class RaceStream:
         path = f"{self.folder}/{name}" + (f"/b={batch}" if batch is not None else "")
         try:
             return self.spark.read.parquet(path)
-        except Exception:  # nothing written yet
-            return None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None  # nothing written yet
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         waiting = self._read("pending", batch_id - 1) if batch_id else None
-        rows = batch if waiting is None else batch.unionByName(waiting)
+        rows = (batch if waiting is None else batch.unionByName(waiting)).persist()
         newest = rows.agg(F.max("window_id")).first()[0]
         if newest is None:
+            rows.unpersist()
             return
         rows.where(F.col("window_id") >= newest).write.mode("overwrite").parquet(f"{self.folder}/pending/b={batch_id}")
         protos = self.select(rows.where(F.col("window_id") < newest))
         protos.write.mode("overwrite").parquet(f"{self.folder}/protos/b={batch_id}")
+        rows.unpersist()
 
     def finish(self, last_batch: int) -> None:
         """Treat the waiting windows as complete."""

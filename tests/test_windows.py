@@ -167,6 +167,18 @@ def test_outlier_fix_runs_left_to_right(table, seq, want):
     assert [r.concept for r in R.fix_outlier_labels(df).orderBy("window_id").collect()] == want
 
 
+def test_outlier_fix_equals_the_plain_pass(table):
+    rng = np.random.default_rng(0)
+    for _ in range(4):
+        seq = [int(x) for x in rng.integers(-1, 2, 60)]
+        want = list(seq)
+        for i in range(1, len(want) - 1):
+            if want[i - 1] == want[i + 1] != -1:
+                want[i] = want[i - 1]
+        df = table("window_id long, concept int", list(enumerate(seq)))
+        assert [r.concept for r in R.fix_outlier_labels(df).orderBy("window_id").collect()] == want
+
+
 def test_leading_outlier_makes_the_first_concept_a_drift(table):
     df = table("window_id long, concept int", list(enumerate([-1, 0, 0, 1, 1])))
     assert sorted(r.window_id for r in R.drift_from_labels(df).collect()) == [1, 3]
