@@ -103,7 +103,7 @@ def tree_leaves(tree, features: list[str]) -> list[Rule]:
     """Leaves from left to right with the bounds on their path, read from the tree's printed form."""
     rules, path = [], []
     for raw in tree.toDebugString.splitlines()[1:]:
-        depth = (len(raw) - len(raw.lstrip())) // 1
+        depth = len(raw) - len(raw.lstrip())
         text = raw.strip()
         hit = re.match(r"(If|Else) \(feature (\d+) (<=|>) ([-+.\dEe]+|-?Infinity)\)", text)
         if hit:

@@ -294,7 +294,10 @@ def global_cluster_ids(matches: DataFrame) -> DataFrame:
 
 
 def cluster_rows(rows: DataFrame, features: list[str], **kw) -> DataFrame:
-    """C1-C4 together: rows with their global ``cluster``."""
+    """C1-C4 together: rows with their global ``cluster``.
+
+    Write the result to a table (or ``cut_lineage`` it) when several criteria are to be read from it.
+    """
     vectors = rows.withColumn("features", F.array(*[F.col(f).cast("double") for f in features]))
     centres = xmeans_per_class(vectors, len(features), **kw)
     ids = global_cluster_ids(match_clusters(centres, len(features))).withColumnRenamed("local_id", "_local")
@@ -302,10 +305,6 @@ def cluster_rows(rows: DataFrame, features: list[str], **kw) -> DataFrame:
     return local.join(F.broadcast(ids), [*GROUP, "_local"]).drop("_local")
 
 
-def _labels_of(clustered: DataFrame) -> DataFrame:
-    return clustered.groupBy("cluster").agg(F.max("label").alias("label"))
-
-
 def cluster_centroids(clustered: DataFrame, features: list[str]) -> DataFrame:
     """``(cluster, label, before array, after array, n_before, n_after)``, null where the cluster is missing."""
     old = F.col("side") == "before"
@@ -370,9 +369,9 @@ def avg_distance_shift(
     ``centroids`` has one row per cluster (at most ``k_max`` per class and side) and is broadcast.
     """
     own = F.when(F.col("side") == "before", F.col("before")).otherwise(F.col("after"))
-    x = F.array(*[F.col(f).cast("double") for f in features])
+    gaps = [F.col(f).cast("double") - own[i] for i, f in enumerate(features)]
     far = clustered.join(F.broadcast(centroids.select("cluster", "before", "after")), "cluster").select(
-        "cluster", "label", "side", F.sqrt(squared_l2(x, own)).alias("_d")
+        "cluster", "label", "side", F.sqrt(sum([g * g for g in gaps], F.lit(0.0))).alias("_d")
     )
     old = F.col("side") == "before"
     both = far.groupBy("cluster").agg(

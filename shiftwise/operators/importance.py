@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from shiftwise.functions.columns import hash_uniform
 from shiftwise.operators.ordered import index_rows, quantiles
 from shiftwise.operators.profile import inverse_normal, long_form
+from shiftwise.session import cut_lineage
 
 # Model presets.
 PRESETS = {
@@ -220,17 +221,19 @@ def kernel_shap(
     """
     spark = rows.sparkSession
     z, combine = coalition_weights(len(clf.features), budget, seed)
-    back = _sample(rows, clf.features, order, background, seed + 1).agg(
-        F.collect_list(F.struct(*clf.features)).alias("_back")
-    )  # one row of at most ``background`` structs
-    masks = spark.createDataFrame(
+    masks = F.broadcast(spark.createDataFrame(
         [(i, [int(v) for v in r], [float(v) for v in combine[:, i]]) for i, r in enumerate(z)],
         "_c int, _z array<int>, _w array<double>",
+    ))  # at most ``budget`` coalitions
+    back = _sample(rows, clf.features, order, background, seed + 1)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(ROW)) - 1  # ``background`` rows
+    numbered = cut_lineage(back.select(place.alias("_n"), F.struct(*clf.features).alias("_b")))
+    lenders = numbered.count()
+    asked = _sample(rows, clf.features, order, sample, seed).repartition(ROW)
+    spread = asked.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(len(z) - 1)))).withColumn(
+        "_n", F.explode(F.sequence(F.lit(0), F.lit(lenders - 1)))
     )
-    asked = _sample(rows, clf.features, order, sample, seed).join(F.broadcast(masks), F.lit(True)).join(
-        F.broadcast(back), F.lit(True)
-    )
-    mixed = asked.select(ROW, "_c", "_z", "_w", *clf.features, F.explode("_back").alias("_b")).repartition(ROW).select(
+    mixed = spread.join(masks, "_c").join(F.broadcast(numbered), "_n").select(
         ROW, "_c", "_w",
         *[F.when(F.col("_z")[j] == 1, F.col(f)).otherwise(F.col("_b")[f]).alias(f) for j, f in enumerate(clf.features)],
     )

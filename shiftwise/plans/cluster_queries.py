@@ -8,6 +8,7 @@ from shiftwise.operators import clusters
 from shiftwise.operators.prep import standard_scale
 from shiftwise.plans.catalog import query, rnd, rounded
 from shiftwise.plans.inputs import LINE_SIDES, line_sides
+from shiftwise.session import cut_lineage
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
@@ -120,7 +121,7 @@ def _ids(spark, sf):
 
 @query("cluster_drift_pipeline")
 def _pipeline(spark, sf):
-    found = clusters.cluster_rows(_scaled(spark, sf), FEATURES, k_max=4, rounds=3)
+    found = cut_lineage(clusters.cluster_rows(_scaled(spark, sf), FEATURES, k_max=4, rounds=3))
     return clusters.cluster_drift_strength(clusters.cluster_flags(found, FEATURES))
 
 

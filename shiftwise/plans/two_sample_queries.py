@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from shiftwise.operators import two_sample
@@ -151,8 +153,6 @@ fl AS (SELECT test, avg(CASE WHEN drift THEN 1.0 ELSE 0.0 END) > 0.2 AS drift FR
 
 def _joined(*parts: str) -> str:
     """Concatenate CTE lists, each name once."""
-    import re
-
     seen, out = set(), []
     for part in parts:
         for cte in re.split(r",\s*(?=\w+ AS \()", part):
@@ -163,7 +163,7 @@ def _joined(*parts: str) -> str:
     return ",\n".join(out)
 
 
-@query("test_decision", f"""WITH {_joined(KS, BINS.replace('rg AS', 'rg AS'), WD.replace(CDFS + ', rg AS', 'rw AS').replace('JOIN rg', 'JOIN rw'), SPEARMAN, DECIDE)}
+@query("test_decision", f"""WITH {_joined(KS, BINS, WD.replace(CDFS + ', rg AS', 'rw AS').replace('JOIN rg', 'JOIN rw'), SPEARMAN, DECIDE)}
 SELECT count(*) AS tests, {rnd('avg(CASE WHEN drift THEN 1.0 ELSE 0.0 END)', 'drifted_share')},
        avg(CASE WHEN drift THEN 1.0 ELSE 0.0 END) > 0.4 AS drift FROM fl""")
 def _decision(spark, sf):

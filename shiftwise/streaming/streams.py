@@ -59,6 +59,7 @@ def stream_error_drift(
     the result equals the batch fold as long as batches arrive in order.
     """
     make_detector(detector, params)
+    key_type = dict(errors.dtypes)["stream"]
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         chain = pickle.loads(state.get[0]) if state.exists else WarningChain(
@@ -70,7 +71,7 @@ def stream_error_drift(
         yield pd.DataFrame(found, columns=["stream", "detected_at", "history", "chain"])
 
     return errors.select("stream", order, "error").groupBy("stream").applyInPandasWithState(
-        fold, "stream long, detected_at long, history long, chain long", "chain binary", "append",
+        fold, f"stream {key_type}, detected_at long, history long, chain long", "chain binary", "append",
         GroupStateTimeout.NoTimeout,
     )
 
@@ -110,6 +111,7 @@ class OnlineLogistic:
 
 def stream_prequential_error(rows: DataFrame, order: str, features: list[str], rate: float = 0.1) -> DataFrame:
     """E1 online: ``(stream, <order>, error)`` of a learner kept per key, from ``(stream, <order>, label, features)``."""
+    types = dict(rows.dtypes)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         learner = pickle.loads(state.get[0]) if state.exists else OnlineLogistic(len(features), rate)
@@ -120,7 +122,7 @@ def stream_prequential_error(rows: DataFrame, order: str, features: list[str], r
         yield pd.DataFrame({"stream": key[0], order: seen[order], "error": errors})
 
     return rows.select("stream", order, "label", *features).groupBy("stream").applyInPandasWithState(
-        fold, f"stream long, {order} long, error int", "learner binary", "append", GroupStateTimeout.NoTimeout
+        fold, f"stream {types['stream']}, {order} {types[order]}, error int", "learner binary", "append", GroupStateTimeout.NoTimeout
     )
 
 
