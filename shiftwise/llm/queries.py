@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from shiftwise.llm.ann import op4_neighbours
 from shiftwise.llm.bpe import op8_bpe
 from shiftwise.llm.chat import OP1_SQL, op1_chat
 from shiftwise.llm.langid import op5_language
+from shiftwise.llm.lm import op2_lm
+from shiftwise.llm.maxscore import OP7_SQL, op7_maxscore
 from shiftwise.llm.mixing import OP3_SQL, op3_mix
 from shiftwise.llm.pii import op9_pii
 from shiftwise.llm.sharding import op10_shards
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_lm": op2_lm,
     "op3_mix": op3_mix,
+    "op4_neighbours": op4_neighbours,
     "op5_language": op5_language,
+    "op7_maxscore": op7_maxscore,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_shards": op10_shards,
 }
 
-SQL = {"op1_chat": OP1_SQL, "op3_mix": OP3_SQL}
+SQL = {"op1_chat": OP1_SQL, "op3_mix": OP3_SQL, "op7_maxscore": OP7_SQL}
