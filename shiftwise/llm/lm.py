@@ -35,7 +35,7 @@ from shiftwise.session import work_path
 
 BLOCK_BYTES = 24 << 20
 WORDS_PER_SHARD, PAIRS_PER_SHARD = 2_000_000, 3_000_000
-PRIOR = 20.0
+PRIOR = 100.0
 STEP = 0.04  # of the quantised log10 probabilities
 ABSENT = 255
 END, START = np.uint64(1), np.uint64(2)  # take the place of hashes

@@ -45,7 +45,8 @@ def source_targets(
         "_budget": share * F.sum("source_size").over(Window.partitionBy()),
     })
     w = w.withColumn("_level", (F.col("_budget") - F.col("_capped")) / F.col("_left"))
-    level = F.min(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(Window.partitionBy())
+    # The first source that is not capped has the level; later rows count it as capped and come out lower.
+    level = F.max(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(Window.partitionBy())
     target = F.when(level.isNull() | (F.col("_ratio") <= level), F.col("_most")).otherwise(level * F.col("_w"))
     return w.select(source, "source_size", target.alias("target"))
 
@@ -147,7 +148,7 @@ l AS (
   SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM r),
-m AS (SELECT *, min(level) FILTER (ratio > level) OVER () AS cut FROM l),
+m AS (SELECT *, max(level) FILTER (ratio > level) OVER () AS cut FROM l),
 g AS (
   SELECT source, source_size, CASE WHEN cut IS NULL OR ratio <= cut THEN most ELSE cut * w END AS target,
          ('0x' || substr(md5('42:offset:' || coalesce('s' || source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off

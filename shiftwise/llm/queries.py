@@ -5,6 +5,7 @@ from __future__ import annotations
 from shiftwise.llm.ann import op4_neighbours
 from shiftwise.llm.bpe import op8_bpe
 from shiftwise.llm.chat import OP1_SQL, op1_chat
+from shiftwise.llm.jaccard import op6_jaccard
 from shiftwise.llm.langid import op5_language
 from shiftwise.llm.lm import op2_lm
 from shiftwise.llm.maxscore import OP7_SQL, op7_maxscore
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_neighbours": op4_neighbours,
     "op5_language": op5_language,
+    "op6_jaccard": op6_jaccard,
     "op7_maxscore": op7_maxscore,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
