@@ -12,11 +12,11 @@ pieces the chance that only empty pieces are equal is below 1e-13 a pair, less t
 Candidates are never all pairs of a group:
 
 1. Documents with equal sets become one; only one of them goes on.
-2. Every member of a group is paired with the group's first member. Pairs that pass the size bound and the bound of a
-   512-bit parity sketch are verified on the whole sets. The links give first components.
-3. In each group only pairs from different components are left to try. A group that would give more than
-   ``WIDTH / 2`` pairs a member is split: its members get the keys of the next, independent sketch inside the group, in which any
-   true pair meets again. The last level pairs whatever is left.
+2. Every document is paired with the first member of one of its groups, the one it shares most groups with. Pairs that pass the size
+   bound and the bound of a 512-bit parity sketch are verified on the whole sets. The links give first components.
+3. In each group only pairs from different components are left to try, and of these only those that pass the two bounds leave the
+   task. A group of more than ``GROUP`` members is split first: its members get the keys of the next, independent sketch inside
+   the group, in which any true pair meets again. The last level compares whatever is left.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from shiftwise.session import work_path
 
 CHUNK_BYTES = 16 << 20
 SMALL, LEVELS = 32, 6
-WIDTH = 64
-BUFFER = 100_000  # members of one group held in a task
+GROUP = 4096  # members of a group that a task compares by their sketches; larger groups are split first
+BUFFER = 100_000  # rows read at a time
 SPLITS = 4  # times a group can be split
 BITS = 512
 U = np.uint64
@@ -61,7 +61,8 @@ class Bands:
         return range(self.band(size), self.band(size * 100 // self.percent) + 1)
 
     def pieces(self, band: int) -> int:
-        self._grow(self.first[band])
+        while len(self.first) < band + 2:
+            self._grow(self.first[-1])
         largest = self.first[band + 1] - 1
         return 2 * largest * (100 - self.percent) // (100 + self.percent) + 1
 
@@ -208,9 +209,10 @@ def grouped(batches):
         yield last
 
 
-def runs(batches):
-    """``(key, rows as a dict of arrays)`` of tables sorted by key, in stretches of at most ``BUFFER`` rows; and whether the run is over."""
-    held = None
+def runs(batches, differ: str):
+    """``(key, rows as a dict of arrays)`` of tables sorted by key and ``differ``, in stretches of at most ``BUFFER`` rows; and whether the
+    run is over. Runs with one value of ``differ`` are left out unless they are longer."""
+    held, open_key = None, None
     for batch in batches:
         table = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
         if not table.num_rows:
@@ -218,12 +220,15 @@ def runs(batches):
         key = table.column("key").to_numpy()
         cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         cols = {c: table.column(c).to_numpy() for c in table.column_names}
-        for x, y in zip(cuts, cuts[1:]):
+        ends = np.append(cuts[1:], len(key))[:-1]
+        value = cols[differ]
+        several = np.flatnonzero((value[cuts[:-1]] != value[ends - 1]) | (key[cuts[:-1]] == open_key))
+        for x, y in zip(cuts[several], ends[several]):
             yield key[x], {c: v[x:y] for c, v in cols.items()}, True
         x = cuts[-1]
         while len(key) - x > BUFFER:
             yield key[x], {c: v[x : x + BUFFER] for c, v in cols.items()}, False
-            x += BUFFER
+            x, open_key = x + BUFFER, key[x]
         held = table.slice(x).to_batches()
         held = held[0] if held else None
     if held is not None and held.num_rows:
@@ -233,56 +238,62 @@ def runs(batches):
 def stars(batches):
     """Each member with the first member of its group; rows sorted by key and id."""
     at, centre = None, None
-    for key, rows, over in runs(batches):
-        if at != key:
-            at, centre = key, rows["id"][0]
-        other = rows["id"][rows["id"] != centre]
-        if len(other):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), centre)), pa.array(other)], names=["a", "b"])
-        if over:
-            at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+        start = np.append(key[0] != at, key[1:] != key[:-1])
+        firsts = np.append(centre if centre is not None else ids[0], ids[start])
+        own = firsts[np.cumsum(start)]
+        at, centre = key[-1], own[-1]
+        other = own != ids
+        yield pa.RecordBatch.from_arrays([pa.array(own[other]), pa.array(ids[other])], names=["a", "b"])
 
 
 TRY = "a long, b long, key long, band int"
 
 
-def crossing(last: bool, batches):
-    """Pairs ``(a, b)`` from different components of a group, or its members ``(a, null, key, band)`` if they are too many.
+def close_pairs(n: np.ndarray, bits: np.ndarray, component: np.ndarray, percent: int):
+    """Positions ``(i, j)``, i < j, of rows from different components that pass the size bound and the sketch bound."""
+    step = max(1, 1_000_000 // len(n))
+    for at in range(0, len(n) - 1, step):
+        i = slice(at, at + step)
+        sizes = n[i, None] + n[None]
+        fits = (component[i, None] != component[None]) & (np.minimum(n[i, None], n[None]) * 100 >= np.maximum(n[i, None], n[None]) * percent)
+        fits &= np.arange(len(n))[i, None] < np.arange(len(n))
+        x, y = np.nonzero(fits)
+        unequal = np.bitwise_count(bits[x + at] ^ bits[y]).sum(axis=1)
+        good = unequal.astype(np.int64) * (100 + percent) <= sizes[x, y] * (100 - percent)
+        yield x[good] + at, y[good]
 
-    Rows are sorted by key, component and id.
-    """
+
+def crossing(percent: int, last: bool, batches):
+    """Close pairs ``(a, b)`` from different components of a group, or the members ``(a, null, key, band)`` of a group of more than
+    ``GROUP`` rows. Rows are sorted by key, component and id. The last level has no such limit."""
     parts: list = []
     wide = None  # key of a group whose members are passed on
 
     def out(a, b, key, band):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64()), pa.array(band, pa.int32())], names=["a", "b", "key", "band"])
+        none = [None] * len(a)
+        cols = [pa.array(a, pa.int64()), pa.array(none if b is None else b, pa.int64())]
+        cols += [pa.array(none if b is not None else np.full(len(a), key), pa.int64()), pa.array(none if b is not None else band, pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "band"])
 
-    for key, rows, over in runs(batches):
-        n = len(rows["id"])
-        members = lambda r: out(r["id"], [None] * len(r["id"]), np.full(len(r["id"]), key), r["band"])  # noqa: E731, B023
+    for key, rows, over in runs(batches, "component"):
         if wide == key:
-            yield members(rows)
+            yield out(rows["id"], None, key, rows["band"])
         else:
             parts.append(rows)
-            size = sum(len(p["id"]) for p in parts)
-            firsts = parts[0]["component"][0] == parts[-1]["component"][-1]  # sorted: all of one component so far
-            if firsts and not over:
-                parts = [parts[0]] if len(parts) == 1 else [{c: np.concatenate([p[c] for p in parts]) for c in rows}]
-            if not firsts:
-                component = np.concatenate([p["component"] for p in parts])
-                _, each = np.unique(component, return_counts=True)
-                pairs = (size**2 - (each.astype(float) ** 2).sum()) / 2
-                if last or (over and pairs <= WIDTH / 2 * size):
-                    if over:
-                        ids = np.concatenate([p["id"] for p in parts])
-                        for i in range(size - 1):
-                            other = ids[i + 1 :][component[i + 1 :] != component[i]]
-                            if len(other):
-                                yield out(np.full(len(other), ids[i]), other, [None] * len(other), [None] * len(other))
-                else:
-                    for p in parts:
-                        yield members(p)
-                    parts, wide = [], None if over else key
+            if sum(len(p["id"]) for p in parts) > GROUP and not last:
+                for p in parts:
+                    yield out(p["id"], None, key, p["band"])
+                parts, wide = [], key
+            elif over:
+                all_of = {c: np.concatenate([p[c] for p in parts]) for c in rows} if len(parts) > 1 else rows
+                bits = np.stack([all_of[f"s{i}"] for i in range(BITS // 64)], axis=1).view(U)
+                for x, y in close_pairs(all_of["n"], bits, all_of["component"], percent):
+                    if len(x):
+                        yield out(all_of["id"][x], all_of["id"][y], None, None)
         if over:
             parts, wide = [], None
 
@@ -353,8 +364,10 @@ def jaccard_components(
     members = stored(members.select("key", F.col("rep").alias("id"), "band").distinct(), "members")
     firsts = meta.groupBy(F.col("rep").alias("id")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
-    pairs = _sorted(members, "id").mapInArrow(stars, "a long, b long").distinct()
-    pairs = stored(similar_enough(pairs, firsts, percent), "stars")
+    # One pair per document, with the centre that it shares most keys with.
+    shared = _sorted(members, "id").mapInArrow(stars, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
+    pairs = shared.groupBy("b").agg(F.max(F.struct("keys", (-F.col("a")).alias("a"))).alias("best"))
+    pairs = stored(similar_enough(pairs.select((-F.col("best.a")).alias("a"), "b"), firsts, percent), "stars")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
@@ -364,17 +377,21 @@ def jaccard_components(
     sets = sets_of(wanted, "sets")
     links = stored(verified(pairs, sets, percent), "links")
     left, tried = members, pairs.select("a", "b")
+    bits = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(BITS // 64)]
     for level in range(SPLITS + 1):
         known = components(links)
-        # In a group of one component nothing is left to try.
         now = left.drop("component").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        out = stored(_sorted(now, "component", "id").mapInArrow(partial(crossing, level == SPLITS), TRY), f"crossing{level}")
+        # In a group of one component nothing is left to try.
+        mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        now = now.join(mixed, "key", "left_semi").join(firsts.select("id", "n", *bits), "id")
+        out = stored(_sorted(now, "component", "id").mapInArrow(partial(crossing, percent, level == SPLITS), TRY), f"crossing{level}")
         fresh = out.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = stored(similar_enough(fresh.join(tried, ["a", "b"], "left_anti"), firsts, percent), f"pairs{level}")
+        size = lambda c: firsts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+        fresh = stored(fresh.join(tried, ["a", "b"], "left_anti").join(size("a"), "a").join(size("b"), "b"), f"pairs{level}")
         wide = out.where("b IS NULL").select("key", F.col("a").alias("id"), "band")
         needed = fresh.select(F.explode(F.array("a", "b")).alias("id")).unionByName(wide.select("id")).distinct()
-        more = sets_of(needed.join(sets.select("id"), "id", "left_anti"), f"sets{level}") if not needed.isEmpty() else None
-        sets = sets.unionByName(more) if more is not None else sets
+        if not needed.isEmpty():
+            sets = sets.unionByName(sets_of(needed.join(sets.select("id"), "id", "left_anti"), f"sets{level}"))
         if not fresh.isEmpty():
             tried = tried.unionByName(fresh.select("a", "b"))
             links = links.unionByName(stored(verified(fresh, sets, percent), f"links{level}"))

@@ -64,12 +64,14 @@ def mix_sources(
 
     The size is the number of words; a null text counts 0 words; rows with a null source form the last source; rows with a null id
     come first in their bin; repeated rows are rows of their own; a source without words gets no copies; an empty table
-    gives no rows. Rows are ordered by content only, so reruns agree. Columns starting with ``_`` are reserved.
+    gives no rows. Rows are ordered by content only, so reruns agree; the kept columns must be orderable and not have the added names.
     """
     size = word_count(F.col(text))
     key = F.coalesce(F.col(doc).cast("string"), F.lit(""))
     kept = df.columns if keep is None else keep
-    rows = df.select(*kept, F.col(source).alias("_src"), size.alias("_size"), F.md5(F.concat(F.lit(f"{seed}:"), key)).alias("_mix"))
+    names = [f"_k{i}" for i in range(len(kept))]  # clashing names don't matter inside
+    given = [F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)]
+    rows = df.select(*given, F.col(source).alias("_src"), size.alias("_size"), F.md5(F.concat(F.lit(f"{seed}:"), key)).alias("_mix"))
     rows = rows.withColumns({
         "_class": _size_class(),
         "_bucket": (F.conv(F.substring("_mix", 1, 8), 16, 10).cast("long") % BUCKETS).cast("int"),
@@ -98,7 +100,7 @@ def mix_sources(
         F.col("_src").alias("_s2"), F.col("_class").alias("_c2"), F.col("_bucket").alias("_b2"),
         (F.col("_above") + F.col("_in_class")).alias("_before"), "source_size", "target", "_offset",
     )
-    in_bin = Window.partitionBy(*at).orderBy(F.col("_size").desc(), "_mix", *([F.col(doc)] if doc in kept else []))
+    in_bin = Window.partitionBy(*at).orderBy(F.col("_size").desc(), "_mix", *names)
     placed = rows.withColumn("_place", F.row_number().over(in_bin).cast("long"))
     out = placed.join(
         b, F.col("_src").eqNullSafe(F.col("_s2")) & (F.col("_class") == F.col("_c2")) & (F.col("_bucket") == F.col("_b2"))
@@ -107,7 +109,7 @@ def mix_sources(
     upto = F.col("_before") + F.col("_place")
     copies = F.floor(rate * upto + F.col("_offset")) - F.floor(rate * (upto - 1) + F.col("_offset"))
     return out.select(
-        *kept, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.alias("_copies")
+        *[F.col(n).alias(c) for c, n in zip(kept, names)], "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.alias("_copies")
     )
 
 
