@@ -33,7 +33,7 @@ from shiftwise.llm.bpe import chunks
 from shiftwise.llm.components import components
 from shiftwise.session import work_path
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 SMALL, LEVELS = 32, 6
 GROUP = 4096  # members of a group that a task compares by their sketches; larger groups are split first
 BUFFER = 100_000  # rows read at a time
@@ -323,6 +323,22 @@ def _sorted(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition("key").sortWithinPartitions("key", *by)
 
 
+FILTER_WORDS = 1 << 17
+
+
+def maybe_in(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be in ``ids``, so that the others' texts aren't shuffled by the exact join that follows.
+
+    A bit per hash of the id, in at most ``FILTER_WORDS`` rows of 64 bits: this bounds what is broadcast. A full filter lets all rows pass.
+    """
+    at = lambda: F.xxhash64(F.col("id"), F.lit(3))
+    word, bit = F.pmod(at(), F.lit(FILTER_WORDS)), F.pmod(F.shiftright(at(), 20), F.lit(64)).cast("int")
+    bits = ids.select(word.alias("_word"), bit.alias("_bit"))
+    bits = bits.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marked = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+    return marked.where(F.expr("getbit(_bits, _bit) = 1")).select(*df.columns)
+
+
 def similar_enough(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     """Pairs within the size bound whose parity sketches differ in no more bits than the sets may."""
     side = lambda c: meta.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
@@ -371,7 +387,7 @@ def jaccard_components(
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        texts = slim.join(ids, "id", "left_semi")
+        texts = maybe_in(slim, ids).join(ids, "id", "left_semi")
         return stored(texts.mapInArrow(partial(with_shingles, width), "id long, shingles array<long>"), name)
 
     sets = sets_of(wanted, "sets")

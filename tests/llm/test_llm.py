@@ -380,7 +380,7 @@ def test_learned_spans(spark, odd, none):
     rows = [(i, f"please call +1 {phone()} now or lot {rng.randint(1000, 9999)}-{rng.randint(10, 99)}-{rng.randint(10, 99)} b") for i in range(400)]
     rows += [(1000, "please call (415) 555-2133 now"), (1001, "nothing personal, section 12.4 of 2019-05-06"), (1002, None)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, kind int")
-    model = pii.fit(df)
+    model = pii.fit(df.where("doc_id <> 1000"))
     got = {r.doc_id: r for r in pii.find_spans(df, model, redact=True).collect()}
     assert [(s.kind, s.start, s.end) for s in got[1000].pii_spans] == [("phone", 12, 26)] and got[1000].pii_base == []
     assert got[1000].pii_text == "please call [PHONE] now"
