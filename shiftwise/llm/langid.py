@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS, DIM = 1 << 13, 16
-DOCS_PER_LANG = 500  # sampled documents per language, by hash
+DOCS_PER_LANG = 400  # sampled documents per language, by hash
 LANGS_MOST = 200  # languages learned, the most frequent first
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -123,13 +123,14 @@ def calibrate(m: LanguageModel, x: np.ndarray, y: np.ndarray, whole: np.ndarray,
     return m
 
 
+SPARSE = np.dtype([("bin", "<u2"), ("share", "<f4")])
 SAMPLE = "lang string, fold long, whole boolean, x binary"
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG) -> LanguageModel | None:
     """Model learned from about ``docs_per_lang`` hash-chosen rows of each language; None if there is nothing to learn from.
 
-    Only the counts per language, at most ``LANGS_MOST`` rows, and the sample's features (at most 50 KB a row) reach the driver.
+    Only the counts per language, at most ``LANGS_MOST`` rows, and the sample's features (some KB a row, 48 at most) reach the driver.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(11), F.struct(key)).alias("h")
@@ -149,8 +150,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 for k, part in enumerate([t, *short_spans(t)]):
                     x = subwords(part)
                     if x is not None:
-                        out.append((name, (h >> 32) % 5, k == 0, x.astype(np.float32).tobytes() if k == 0 or len(part) > 8 else None))
-            out = [r for r in out if r[3]]
+                        filled = np.zeros(np.count_nonzero(x), SPARSE)
+                        filled["bin"], filled["share"] = np.flatnonzero(x), x[x > 0]
+                        out.append((name, (h >> 32) % 5, k == 0, filled.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.bool_(), pa.binary()))],
@@ -161,14 +163,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     if not got:
         return None
     langs = sorted({r["lang"] for r in got})
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])
     y = np.array([langs.index(r["lang"]) for r in got])
     held, whole = np.array([r["fold"] == 0 for r in got]), np.array([r["whole"] for r in got])
-    del got
+    x = np.zeros((len(got), BINS), np.float32)
+    for i, r in enumerate(got):
+        filled = np.frombuffer(r["x"], SPARSE)
+        x[i, filled["bin"]] = filled["share"]
+        got[i] = None
     if held.all() or len({*y[~held]}) < len(langs):
         held[:] = False  # too few rows to leave some out
     model = train(langs, x[~held], y[~held])
-    return calibrate(model, x[held].astype(np.float64), y[held], whole[held])
+    return calibrate(model, x[held], y[held], whole[held])
 
 
 def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ import xxhash
 def tokenise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """``(codes, offsets, dictionary)``: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, as positions in the dictionary of distinct
     words; text ``i`` has ``codes[offsets[i]:offsets[i+1]]``. A null text has no words."""
+    if texts.offset:  # the lower-casing kernel misreads slices: copy them
+        texts = texts.take(pa.array(np.arange(len(texts))))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     flat = lists.flatten()
     offsets = lists.offsets.to_numpy().astype(np.int64)

@@ -55,6 +55,9 @@ def test_words_against_regex():
     code, offsets, distinct = words.tokenise(pa.array(texts))
     known = distinct.to_pylist()
     assert [[known[c] for c in code[a:b]] for a, b in zip(offsets, offsets[1:])] == [plain_words(t) for t in texts]
+    code, offsets, distinct = words.tokenise(pa.array(texts).slice(100, 300))
+    known = distinct.to_pylist()
+    assert [[known[c] for c in code[a:b]] for a, b in zip(offsets, offsets[1:])] == [plain_words(t) for t in texts[100:400]]
 
 
 # 1: chat formatting
@@ -120,7 +123,8 @@ def brute_scores(rows, trained, prior):
 
 
 @pytest.mark.parametrize("pairs", [3, 3_000_000])
-def test_scores_against_brute_force(spark, odd, pairs):
+def test_scores_against_brute_force(spark, odd, monkeypatch, pairs):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1000)
     rows = [tuple(r)[:2] for r in odd.collect()] + [(i, " ".join(random.Random(i).choices("abcdefgh", k=40)), ) for i in range(20, 60)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, score int")
     trained = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 1
@@ -261,6 +265,7 @@ def brute_components(rows, width, percent):
 @pytest.mark.parametrize("width, percent, group", [(4, 85, 4096), (5, 80, 2), (1, 60, 4096)])
 def test_components_against_brute_force(spark, monkeypatch, width, percent, group):
     monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 5000)
     rng = random.Random(width)
     vocabulary = [f"w{i}" for i in range(300)]
     rows = [tuple(r[:2]) for r in ODD if r[0] != 8]
