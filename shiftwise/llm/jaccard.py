@@ -6,8 +6,9 @@ differs in at most D = (1-t)/(1+t) * (|A|+|B|) shingles, so with D+1 pieces one
 documents are compared per size band, and each goes to every band that a larger partner could be in.
 
 Equal pieces are found by one shuffle of (piece key, document). Empty pieces make no keys: with up to ``SMALL`` pieces a
-document that has one adds another, independent sketch, up to ``LEVELS`` (there the empty ones count); with more
-pieces the chance that only empty pieces are equal is below 1e-13 a pair, less than that of hash collisions.
+document that has one adds another, independent sketch, up to ``LEVELS`` (there the empty ones count). With more pieces
+there are so many equal ones that pieces of one shingle, which unrelated documents share, are left out as well; the chance
+that a pair has no other equal piece is below 1e-11, and far less away from the threshold.
 
 Candidates are never all pairs of a group:
 
@@ -88,12 +89,15 @@ def shingle_sets(texts: pa.Array, width: int):
 
 
 def piece_keys(shingles: np.ndarray, band: int, pieces: int, level: int, empties: bool) -> tuple[np.ndarray, bool]:
-    """Keys of the non-empty pieces (of all pieces with ``empties``), and whether a piece is empty."""
+    """Keys of the pieces that count (of all pieces with ``empties``), and whether one doesn't."""
     x = np.sort(words.mix(shingles ^ words.mix(np.array([level * 1_000_003 + 7], U))))
     at = words.part_of(x, pieces)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     name = at[first]
     content = np.bitwise_xor.reduceat(words.mix(x + U(0x51ED)), first)
+    if pieces > SMALL:
+        full = np.diff(np.append(first, len(x))) > 1
+        name, content = name[full], content[full]
     if empties and len(name) < pieces:
         full = np.zeros(pieces, U)
         full[name] = content
@@ -326,17 +330,25 @@ def _sorted(df: DataFrame, *by: str) -> DataFrame:
 FILTER_WORDS = 1 << 17
 
 
-def maybe_in(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id may be in ``ids``, so that the others' texts aren't shuffled by the exact join that follows.
+def marked(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds ``_maybe``: false only where the id is not in ``ids``; so the exact join that follows shuffles few other rows.
 
-    A bit per hash of the id, in at most ``FILTER_WORDS`` rows of 64 bits: this bounds what is broadcast. A full filter lets all rows pass.
+    A bit per hash of the id, in at most ``FILTER_WORDS`` rows of 64 bits: this bounds what is broadcast. A full filter marks all rows.
     """
     at = lambda: F.xxhash64(F.col("id"), F.lit(3))
     word, bit = F.pmod(at(), F.lit(FILTER_WORDS)), F.pmod(F.shiftright(at(), 20), F.lit(64)).cast("int")
-    bits = ids.select(word.alias("_word"), bit.alias("_bit"))
-    bits = bits.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
-    marked = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
-    return marked.where(F.expr("getbit(_bits, _bit) = 1")).select(*df.columns)
+    bits = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    both = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word", "left")
+    return both.select(*df.columns, F.expr("coalesce(getbit(_bits, _bit) = 1, false)").alias("_maybe"))
+
+
+def within(df: DataFrame, ids: DataFrame) -> DataFrame:
+    return marked(df, ids).where("_maybe").drop("_maybe").join(ids, "id", "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame) -> DataFrame:
+    rows = marked(df, ids)
+    return rows.where("NOT _maybe").drop("_maybe").unionByName(rows.where("_maybe").drop("_maybe").join(ids, "id", "left_anti"))
 
 
 def similar_enough(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
@@ -376,8 +388,9 @@ def jaccard_components(
     found = stored(_sorted(rows, "kind", "id").mapInArrow(grouped, ROW), "groups")
     meta = found.where(F.col("kind") == META).select("id", "n", "rep", "sketch")
     one = meta.select("id", "rep")
-    members = found.where(F.col("kind") == MEMBER).select("key", "id", "band").join(one, "id")
-    members = stored(members.select("key", F.col("rep").alias("id"), "band").distinct(), "members")
+    members = found.where(F.col("kind") == MEMBER).select("key", "id", "band")
+    # Equal sets that met only in the shuffle have the same keys: all but the first are left out.
+    members = stored(without(members, one.where("id <> rep").select("id").distinct()), "members")
     firsts = meta.groupBy(F.col("rep").alias("id")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
     # One pair per document, with the centre that it shares most keys with.
@@ -387,7 +400,7 @@ def jaccard_components(
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        texts = maybe_in(slim, ids).join(ids, "id", "left_semi")
+        texts = within(slim, ids)
         return stored(texts.mapInArrow(partial(with_shingles, width), "id long, shingles array<long>"), name)
 
     sets = sets_of(wanted, "sets")
