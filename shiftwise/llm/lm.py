@@ -33,8 +33,8 @@ from shiftwise.llm.bpe import chunks
 from shiftwise.llm.langid import fold
 from shiftwise.session import work_path
 
-BLOCK_BYTES = 24 << 20
-WORDS_PER_SHARD, PAIRS_PER_SHARD = 2_000_000, 3_000_000
+BLOCK_BYTES = 12 << 20
+WORDS_PER_SHARD, PAIRS_PER_SHARD = 1_000_000, 1_500_000
 PRIOR = 100.0
 STEP = 0.04  # of the quantised log10 probabilities
 ABSENT = 255
@@ -196,6 +196,13 @@ def tokenised(df: DataFrame, text: str, ident: str, train: str) -> DataFrame:
     return slim.mapInArrow(run, BLOCK)
 
 
+def one_by_one(batches):
+    """A block is large: one at a time is turned into Python objects."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 class Block:
     """A block's sequence of word numbers, every text closed by an end, and what is known of its words."""
 
@@ -238,19 +245,18 @@ class Block:
 
 
 def sent_words(shards: int, batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            hashed, = unpacked(row["hashes"])
-            counts = Block(row).train_counts()
-            cut = np.searchsorted(words.part_of(hashed, shards), np.arange(shards + 1))
-            at = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(at, pa.int32()), pa.array([row["block"]] * len(at), pa.int64()),
-                    pa.array([packed(hashed[cut[s] : cut[s + 1]], counts[cut[s] : cut[s + 1]]) for s in at], pa.binary()),
-                ],
-                names=["shard", "block", "data"],
-            )
+    for row in one_by_one(batches):
+        hashed, = unpacked(row["hashes"])
+        counts = Block(row).train_counts()
+        cut = np.searchsorted(words.part_of(hashed, shards), np.arange(shards + 1))
+        at = np.flatnonzero(np.diff(cut))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(at, pa.int32()), pa.array([row["block"]] * len(at), pa.int64()),
+                pa.array([packed(hashed[cut[s] : cut[s + 1]], counts[cut[s] : cut[s + 1]]) for s in at], pa.binary()),
+            ],
+            names=["shard", "block", "data"],
+        )
 
 
 def counted_words(shards: int, key, table):
@@ -275,24 +281,23 @@ def unigram(count: np.ndarray, tokens: int, types: int) -> np.ndarray:
 
 
 def sent_pairs(shards: int, batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            b = Block(row)
-            b.numbered(row["known"])
-            h, w, cut, at = b.pairs(shards)
-            seen = np.bincount(at[b.learned], minlength=len(h))
-            kept = np.flatnonzero(np.diff(cut))
-            out = []
-            for s in kept:
-                part = slice(cut[s], cut[s + 1])
-                change = np.flatnonzero(np.diff(h[part], prepend=-1))
-                heads = h[part][change]
-                runs = np.diff(np.append(change, cut[s + 1] - cut[s]))
-                out.append(packed(b.number[heads], runs, b.count[heads], b.number[w[part]], seen[part], coarse(b.count[w[part]])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kept, pa.int32()), pa.array([row["block"]] * len(kept), pa.int64()), pa.array(out, pa.binary())],
-                names=["shard", "block", "data"],
-            )
+    for row in one_by_one(batches):
+        b = Block(row)
+        b.numbered(row["known"])
+        h, w, cut, at = b.pairs(shards)
+        seen = np.bincount(at[b.learned], minlength=len(h))
+        kept = np.flatnonzero(np.diff(cut))
+        out = []
+        for s in kept:
+            part = slice(cut[s], cut[s + 1])
+            change = np.flatnonzero(np.diff(h[part], prepend=-1))
+            heads = h[part][change]
+            runs = np.diff(np.append(change, cut[s + 1] - cut[s]))
+            out.append(packed(b.number[heads], runs, b.count[heads], b.number[w[part]], seen[part], coarse(b.count[w[part]])))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kept, pa.int32()), pa.array([row["block"]] * len(kept), pa.int64()), pa.array(out, pa.binary())],
+            names=["shard", "block", "data"],
+        )
 
 
 def coarse(count: np.ndarray) -> np.ndarray:
@@ -326,24 +331,23 @@ SCORES = "id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def document_scores(shards: int, prior: float, tokens: int, types: int, batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            b = Block(row)
-            b.numbered(row["known"])
-            h, w, _, at = b.pairs(shards)
-            p = unigram(b.count, tokens, types)
-            codes = np.concatenate([unpacked(s["answer"])[0] for s in sorted(row["found"], key=lambda s: s["shard"])])
-            backed = np.log10(prior * p[w] / (b.count[h] + prior))
-            each = np.where(codes == ABSENT, backed, -STEP * codes.astype(float))[at]
-            n = len(b.sizes)
-            add = lambda v: np.bincount(b.doc, v, n)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row["ids"], pa.int64()), pa.array(b.sizes.astype(np.int64) + 1),
-                    pa.array(add(b.count[b.seq] > 0).astype(np.int64)), pa.array(add(np.log10(p)[b.seq])), pa.array(add(each)),
-                ],
-                names=["id", "n_tokens", "n_known", "base_score", "score"],
-            )
+    for row in one_by_one(batches):
+        b = Block(row)
+        b.numbered(row["known"])
+        h, w, _, at = b.pairs(shards)
+        p = unigram(b.count, tokens, types)
+        codes = np.concatenate([unpacked(s["answer"])[0] for s in sorted(row["found"], key=lambda s: s["shard"])])
+        backed = np.log10(prior * p[w] / (b.count[h] + prior))
+        each = np.where(codes == ABSENT, backed, -STEP * codes.astype(float))[at]
+        n = len(b.sizes)
+        add = lambda v: np.bincount(b.doc, v, n)  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(row["ids"], pa.int64()), pa.array(b.sizes.astype(np.int64) + 1),
+                pa.array(add(b.count[b.seq] > 0).astype(np.int64)), pa.array(add(np.log10(p)[b.seq])), pa.array(add(each)),
+            ],
+            names=["id", "n_tokens", "n_known", "base_score", "score"],
+        )
 
 
 def by_block(answers: DataFrame, name: str) -> DataFrame:
