@@ -34,7 +34,7 @@ from shiftwise.llm.bpe import chunks
 from shiftwise.llm.components import components
 from shiftwise.session import work_path
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 SMALL, LEVELS = 32, 6
 GROUP = 4096  # members of a group that a task compares by their sketches; larger groups are split first
 BUFFER = 100_000  # rows read at a time
@@ -167,7 +167,7 @@ def emitted(width: int, percent: int, batches):
                         held += len(k)
                         if not hollow:
                             break
-                if held > 200_000:
+                if held > 100_000:
                     yield batch_of(np.concatenate(keys), MEMBER, np.concatenate(owner), None, None, np.concatenate(of_band), None)
                     keys, owner, of_band, held = [], [], [], 0
             if keys:

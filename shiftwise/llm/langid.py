@@ -185,12 +185,13 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", kee
     """
     kept = df.columns if keep is None else keep
     names = [f"_k{i}" for i in range(len(kept))]  # clashing names don't matter inside
-    slim = df.select(F.col(text).alias("_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
+    slim = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], *([] if text in kept else [F.col(text).alias("_text")]))
+    read = names[kept.index(text)] if text in kept else "_text"  # a text travels once
 
     def predict(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             pred, score, rejected = [], [], []
-            for value in batch.column("_text"):
+            for value in batch.column(read):
                 t = value.as_py()
                 x = subwords(t) if t and model is not None else None
                 if x is None:
