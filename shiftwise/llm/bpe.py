@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 CHUNK_CHARS = 2_000_000  # texts handled together
-WORDS_KEPT = 1_000_000  # encoded words a worker remembers; beyond, it forgets all and goes on
+WORDS_KEPT = 500_000  # encoded words a worker remembers; beyond, it forgets all and goes on
 
 
 class Bpe:
