@@ -234,7 +234,7 @@ def _split_widest(centres: dict, parts: dict, wanted: int) -> bool:
 
 
 def match_clusters(centres: DataFrame, size: int, thr: float = THR_DISAPPEAR) -> DataFrame:
-    """``(label, old_id, new_id)`` by smallest total distance; an unmatched side is null.
+    """``(label, old_id, new_id)``: as many pairs as possible, among those the smallest total distance; an unmatched side is null.
 
     Pairs further apart than ``thr * sqrt(size)`` may not match. A class has at most ``k_max`` centres per side.
     """
@@ -246,15 +246,13 @@ def match_clusters(centres: DataFrame, size: int, thr: float = THR_DISAPPEAR) ->
         old, new = sides.get("before", {}), sides.get("after", {})
         out = []
         if old and new:
-            dist = np.array([[np.linalg.norm(a - b) for b in new.values()] for a in old.values()])
-            dist[dist > limit] = 1e10  # further than allowed
-            n = max(dist.shape)
-            cost = np.full((n, n), 1e9)  # padding
-            cost[: dist.shape[0], : dist.shape[1]] = dist
-            ids_old, ids_new = list(old), list(new)
-            for r, c in assign_min_cost(cost):
-                if r < len(old) and c < len(new) and dist[r, c] < 1e10:
-                    out.append((label, ids_old[r], ids_new[c]))
+            before, after = np.array(list(old.values())), np.array(list(new.values()))
+            apart = np.sqrt(((before[:, None] - after[None]) ** 2).sum(axis=2))
+            allowed = apart <= limit
+            # Any allowed pair is worth more than all distances together: first as many pairs as possible, then the nearest.
+            worth = 1.0 + limit * (len(old) + len(new))
+            pairs = assign_min_cost(np.where(allowed, apart - worth, 0.0))
+            out = [(label, list(old)[r], list(new)[c]) for r, c in pairs if allowed[r, c]]
         done_old, done_new = {o for _, o, _ in out}, {n for _, _, n in out}
         out += [(label, o, None) for o in old if o not in done_old]
         out += [(label, None, n) for n in new if n not in done_new]

@@ -240,21 +240,18 @@ def recode_airport(column: Column) -> Column:
     return recode_sets(column, AIRPORT_GROUPS, 0)
 
 
-def cardinalities(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
-    """``(feature, distinct_values)`` with the count stopping at ``limit + 1``: enough to compare with ``limit``."""
+def cardinalities(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(feature, distinct_values)``: nulls don't count."""
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in columns]))
         .alias("r")
     ).select("r.*")
-    return (
-        long.where("v is not null").distinct().groupBy("feature").agg(F.count("v").alias("distinct_values"))
-        .select("feature", F.least("distinct_values", F.lit(limit + 1)).alias("distinct_values"))
-    )
+    return long.where("v is not null").distinct().groupBy("feature").agg(F.count("v").alias("distinct_values"))
 
 
 def drop_by_cardinality(df: DataFrame, columns: list[str], n: int = 1) -> DataFrame:
     """Drop the columns that hold exactly ``n`` distinct values."""
-    found = cardinalities(df, columns, n).where(F.col("distinct_values") == n).collect()
+    found = cardinalities(df, columns).where(F.col("distinct_values") == n).collect()
     return df.drop(*[r.feature for r in found])
 
 

@@ -279,14 +279,14 @@ def threshold_sweep(
 ) -> DataFrame:
     """How well "distance below t" tells equal from different concepts, for ``count`` thresholds.
 
-    Pairs leave out neighbouring windows. Each pair counts into the first threshold that decides it, and running
+    Pairs leave out neighbouring windows; a pair without a distance decides nothing and is left out, too. Each pair counts into the first threshold that decides it, and running
     sums over the thresholds give all rates, so pairs are not multiplied by thresholds.
     """
     if median != (1, 1):
         matrix = median_filter_2d(matrix, *median)
     t = truth.select("window_id", "true_concept")
     pairs = (
-        matrix.where(F.col("window_b") < F.col("window_a") - 1)
+        matrix.where((F.col("window_b") < F.col("window_a") - 1) & F.col("score").isNotNull())
         .join(t.withColumnRenamed("window_id", "window_a").withColumnRenamed("true_concept", "_ta"), "window_a")
         .join(t.withColumnRenamed("window_id", "window_b").withColumnRenamed("true_concept", "_tb"), "window_b")
     )

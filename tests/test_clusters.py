@@ -113,3 +113,30 @@ def test_small_base_and_missing_side(table):
     assert shifts[(1, "mean")].shift is None and shifts[(1, "mean")].drift
     with pytest.raises(ValueError):
         C.cluster_drift_strength(C.cluster_flags(df, ["x"]), (1, 2, 3))
+
+
+def test_matching_prefers_more_pairs_then_nearer_ones(spark):
+    from itertools import combinations, permutations
+    import random
+
+    from shiftwise.operators.clusters import match_clusters
+
+    rng, size, thr = random.Random(4), 2, 0.5
+    limit = thr * size**0.5
+    for _ in range(3):
+        old = {i: [rng.random() * 2, rng.random()] for i in range(rng.randint(1, 4))}
+        new = {i: [rng.random() * 2, rng.random()] for i in range(rng.randint(1, 4))}
+        dist = {(a, b): ((old[a][0] - new[b][0]) ** 2 + (old[a][1] - new[b][1]) ** 2) ** 0.5 for a in old for b in new}
+        best = (0, 0.0)
+        for n in range(1, min(len(old), len(new)) + 1):
+            for some in combinations(old, n):
+                for other in permutations(new, n):
+                    d = [dist[p] for p in zip(some, other)]
+                    if max(d) <= limit:
+                        best = min(best, (-n, sum(d)))
+        rows = [("x", "before", [(i, v) for i, v in old.items()]), ("x", "after", [(i, v) for i, v in new.items()])]
+        df = spark.createDataFrame(rows, "label string, side string, centres array<struct<id: int, v: array<double>>>")
+        got = [(r.old_id, r.new_id) for r in match_clusters(df, size, thr).collect()]
+        pairs = [p for p in got if None not in p]
+        assert len(pairs) == -best[0] and abs(sum(dist[p] for p in pairs) - best[1]) < 1e-9
+        assert sorted(p[0] for p in got if p[0] is not None) == sorted(old) and sorted(p[1] for p in got if p[1] is not None) == sorted(new)

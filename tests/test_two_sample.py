@@ -120,3 +120,14 @@ def test_numeric_helpers():
     # all tables with margins (2, 2) x (2, 2): weights 1/6, 4/6, 1/6 for n11 = 0, 1, 2
     expected = 2 / 6 * math.log(2) + 4 / 6 * 0
     assert expected_mutual_information(np.array([2, 2]), np.array([2, 2])) == pytest.approx(expected)
+
+
+def test_variance_term_is_one_formula_at_every_size():
+    from shiftwise.functions.numeric import anderson_darling_sigma, scholz_stephens_g
+
+    for n in (3, 10, 200):
+        double_sum = sum(1.0 / ((n - i) * j) for i in range(1, n - 1) for j in range(i + 1, n))
+        assert abs(scholz_stephens_g(n) - double_sum) < 1e-10
+    for n in (1_000_000, 5_000_000):
+        at = [anderson_darling_sigma(n // 2 + k, n // 2) for k in (-2, -1, 0, 1, 2)]
+        assert max(at) - min(at) < 1e-6
