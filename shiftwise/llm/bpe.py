@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 CHUNK_CHARS = 2_000_000  # texts handled together
-WORDS_KEPT = 500_000  # encoded words a worker remembers; beyond, it forgets all and goes on
+WORDS_KEPT = 1_000_000  # encoded words a worker remembers; beyond, it forgets all and goes on
 
 
 class Bpe:
@@ -60,6 +60,7 @@ class Bpe:
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, longest))) if longest else None
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.kept = WORDS_KEPT
         self._forget()
 
     def _forget(self) -> None:
@@ -167,7 +168,7 @@ class Bpe:
             for words in self.words(text):
                 owner.append(k)
                 parts.append(words)
-        if len(self.number) > WORDS_KEPT:
+        if len(self.number) > self.kept:
             self._forget()
         if new := set().union(*parts).difference(self.number):
             self._learn(sorted(new))
@@ -227,12 +228,13 @@ def chunks(values: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int
         yield at, len(sizes)
 
 
-def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, words_kept: int = WORDS_KEPT) -> DataFrame:
     """All columns of ``df`` plus ``ids`` (``array<int>``) and, if named, the text decoded from the ids.
 
     The vocabulary file must be readable under the same path on every executor. A null text counts as empty and has no
     ids; strings of special tokens in a text are special tokens; a text of any length is encoded whole; an
-    empty table gives no rows; repeated rows are encoded alike. ``ids`` and ``decoded`` must not be columns of ``df``.
+    empty table gives no rows; repeated rows are encoded alike. ``words_kept`` trades a worker's memory (some 250 bytes a word)
+    for time and changes no result. ``ids`` and ``decoded`` must not be columns of ``df``.
     """
     added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
     if decoded:
@@ -242,6 +244,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
     def encode(batches):
         bpe = loaded(path)
+        bpe.kept = words_kept
         for batch in batches:
             values = batch.column(text)
             for a, b in chunks(values):
