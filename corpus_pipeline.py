@@ -49,8 +49,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, n_tokens, ids)`` of the mixed documents."""
-    slim = docs.select("doc_id", "lang", "source", "text")
-    out = bpe.encode_texts(slim, public_tokenizers.path("word_bpe_49k.json"), words_kept=400_000)
+    kept = ["doc_id", "lang", "source"]
+    out = bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), words_kept=100_000, keep=kept)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from shiftwise.llm.words import tidy
+
 CHUNK_CHARS = 2_000_000  # texts handled together
 WORDS_KEPT = 1_000_000  # encoded words a worker remembers; beyond, it forgets all and goes on
+WORDS_MERGED = 30_000  # distinct words in one pair index, which takes some hundred bytes a symbol
 
 
 class Bpe:
@@ -146,11 +149,14 @@ class Bpe:
         return [s for s, _ in self.split.pre_tokenize_str(self.normal.normalize_str(word))]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new stretches: their distinct words go through the pair index together."""
-        parts = [self._symbols(w) for w in words]
-        distinct = sorted(set(chain.from_iterable(parts)))
-        ids = dict(zip(distinct, self.merge(distinct)))
-        self._store(words, [list(chain.from_iterable(map(ids.__getitem__, p))) for p in parts])
+        """Encode new stretches: their distinct words go through the pair index together, ``WORDS_MERGED`` at a time."""
+        found: list[list[int]] = []
+        for at in range(0, len(words), WORDS_MERGED):
+            parts = [self._symbols(w) for w in words[at : at + WORDS_MERGED]]
+            distinct = sorted(set(chain.from_iterable(parts)))
+            ids = dict(zip(distinct, self.merge(distinct)))
+            found.extend(list(chain.from_iterable(map(ids.__getitem__, p))) for p in parts)
+        self._store(words, found)
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The stretches between white space, in lists of bounded length; special tokens carry a space in front."""
@@ -228,18 +234,23 @@ def chunks(values: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int
         yield at, len(sizes)
 
 
-def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, words_kept: int = WORDS_KEPT) -> DataFrame:
-    """All columns of ``df`` plus ``ids`` (``array<int>``) and, if named, the text decoded from the ids.
+def encode_texts(
+    df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, words_kept: int = WORDS_KEPT,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """``keep`` (default: all columns) plus ``ids`` (``array<int>``) and, if named, the text decoded from the ids.
 
     The vocabulary file must be readable under the same path on every executor. A null text counts as empty and has no
     ids; strings of special tokens in a text are special tokens; a text of any length is encoded whole; an
     empty table gives no rows; repeated rows are encoded alike. ``words_kept`` trades a worker's memory (some 250 bytes a word)
     for time and changes no result. ``ids`` and ``decoded`` must not be columns of ``df``.
     """
+    kept = df.columns if keep is None else keep
+    slim = df.select(*kept, *([] if text in kept else [text]))
     added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
     if decoded:
         added.append(T.StructField(decoded, T.StringType(), False))
-    if clash := {f.name for f in added} & set(df.columns):
+    if clash := {f.name for f in added} & set(slim.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
 
     def encode(batches):
@@ -250,22 +261,22 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
             for a, b in chunks(values):
                 found, counts = bpe.encode([t or "" for t in values.slice(a, b - a).to_pylist()])
                 ends = np.concatenate([[0], np.cumsum(counts)])
-                cols = [batch.slice(a, b - a).column(c) for c in range(batch.num_columns)]
+                cols = [batch.column(c).slice(a, b - a) for c in range(len(kept))]
                 cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32())))
-                names = [*batch.schema.names, ids]
+                names = [*kept, ids]
                 if decoded:
                     cols.append(pa.array([bpe.decode(found[x:y].tolist()) for x, y in zip(ends, ends[1:])], pa.string()))
                     names.append(decoded)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.mapInArrow(encode, T.StructType([*df.schema.fields, *added]))
+    return slim.mapInArrow(tidy(encode), T.StructType([*slim.schema.fields[: len(kept)], *added]))
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded")
+    out = encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded", keep=["doc_id"])
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -384,8 +384,8 @@ def jaccard_components(
         return spark.read.parquet(f"{root}/{name}")
 
     slim = df.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = slim.mapInArrow(partial(emitted, width, percent), ROW)
-    found = stored(_sorted(rows, "kind", "id").mapInArrow(grouped, ROW), "groups")
+    rows = slim.mapInArrow(words.tidy(partial(emitted, width, percent)), ROW)
+    found = stored(_sorted(rows, "kind", "id").mapInArrow(words.tidy(grouped), ROW), "groups")
     meta = found.where(F.col("kind") == META).select("id", "n", "rep", "sketch")
     one = meta.select("id", "rep")
     members = found.where(F.col("kind") == MEMBER).select("key", "id", "band")
@@ -394,14 +394,14 @@ def jaccard_components(
     firsts = meta.groupBy(F.col("rep").alias("id")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
     # One pair per document, with the centre that it shares most keys with.
-    shared = _sorted(members, "id").mapInArrow(stars, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
+    shared = _sorted(members, "id").mapInArrow(words.tidy(stars), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
     pairs = shared.groupBy("b").agg(F.max(F.struct("keys", (-F.col("a")).alias("a"))).alias("best"))
     pairs = stored(similar_enough(pairs.select((-F.col("best.a")).alias("a"), "b"), firsts, percent), "stars")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         texts = within(slim, ids)
-        return stored(texts.mapInArrow(partial(with_shingles, width), "id long, shingles array<long>"), name)
+        return stored(texts.mapInArrow(words.tidy(partial(with_shingles, width)), "id long, shingles array<long>"), name)
 
     sets = sets_of(wanted, "sets")
     links = stored(verified(pairs, sets, percent), "links")
@@ -413,7 +413,7 @@ def jaccard_components(
         # In a group of one component nothing is left to try.
         mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         now = now.join(mixed, "key", "left_semi").join(firsts.select("id", "n", *bits), "id")
-        out = stored(_sorted(now, "component", "id").mapInArrow(partial(crossing, percent, level == SPLITS), TRY), f"crossing{level}")
+        out = stored(_sorted(now, "component", "id").mapInArrow(words.tidy(partial(crossing, percent, level == SPLITS)), TRY), f"crossing{level}")
         fresh = out.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         size = lambda c: firsts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
         fresh = stored(fresh.join(tried, ["a", "b"], "left_anti").join(size("a"), "a").join(size("b"), "b"), f"pairs{level}")

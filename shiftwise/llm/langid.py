@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftwise.llm.words import tidy
+
 BINS, DIM = 1 << 13, 16
 DOCS_PER_LANG = 400  # sampled documents per language, by hash
 LANGS_MOST = 200  # languages learned, the most frequent first
@@ -159,7 +161,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                     names=["lang", "fold", "whole", "x"],
                 )
 
-    got = sorted(chosen.mapInArrow(features, SAMPLE).collect(), key=lambda r: (r["lang"], bytes(r["x"])))
+    got = sorted(chosen.mapInArrow(tidy(features), SAMPLE).collect(), key=lambda r: (r["lang"], bytes(r["x"])))
     if not got:
         return None
     langs = sorted({r["lang"] for r in got})
@@ -209,7 +211,7 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", kee
 
     fields = [T.StructField(n, slim.schema[n].dataType) for n in names]
     extra = [("lang_pred", T.StringType()), ("lang_score", T.DoubleType()), ("lang_rejected", T.BooleanType())]
-    out = slim.mapInArrow(predict, T.StructType([*fields, *[T.StructField(n, t) for n, t in extra]]))
+    out = slim.mapInArrow(tidy(predict), T.StructType([*fields, *[T.StructField(n, t) for n, t in extra]]))
     return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], *[n for n, _ in extra])
 
 

@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
 
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a task, giving free memory back to the system at its end.
+
+    Python workers are used again and idle ones stay: what their allocators hold on to counts for the executor all the time.
+    """
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def tokenise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """``(codes, offsets, dictionary)``: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, as positions in the dictionary of distinct
     words; text ``i`` has ``codes[offsets[i]:offsets[i+1]]``. A null text has no words."""
