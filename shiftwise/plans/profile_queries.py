@@ -41,9 +41,9 @@ def _class_stats(spark, sf):
 
 @query("stat_shift", f"""WITH {SHIFTS}
 SELECT label, feature, stat, {rnd('old', 'old', 4)}, {rnd('new', 'new', 4)}, {rnd('shift', 'shift', 4)}
-FROM alls WHERE stat <> 'imbalance_ratio' AND feature <> 'l_discount' AND feature <> 'l_tax'""")
+FROM alls WHERE stat <> 'imbalance_ratio'""")
 def _stat_shift(spark, sf):
-    stats = profile.class_stats(line_sides(spark, sf), ["l_quantity", "l_extendedprice"])
+    stats = profile.class_stats(line_sides(spark, sf), LINE_FEATURES)
     return rounded(profile.stat_shift(stats), 4)
 
 
@@ -191,11 +191,11 @@ def _qq_line(spark, sf):
 
 
 @query("kde", f"""WITH {LINE_SIDES},
-d AS (SELECT side, feature, value, count(*) AS n FROM long WHERE feature IN ('l_quantity', 'l_discount') GROUP BY 1, 2, 3),
+d AS (SELECT side, feature, value, count(*) AS n FROM long GROUP BY 1, 2, 3),
 p AS (SELECT side, feature, count(*) AS t, stddev_samp(value) * pow(count(*), -0.2) AS h FROM long GROUP BY 1, 2),
-e AS (SELECT feature, min(value) AS lo, (max(value) - min(value)) / 99 AS step FROM long GROUP BY 1)
+e AS (SELECT feature, min(value) AS lo, (max(value) - min(value)) / 999 AS step FROM long GROUP BY 1)
 SELECT d.side, d.feature, CAST(g.range AS INTEGER) AS point, {rnd('max(lo + g.range * step)', 'x')},
        {rnd('sum(n * exp(-0.5 * pow((lo + g.range * step - value) / h, 2))) / (max(t) * max(h) * sqrt(2 * pi()))', 'density')}
-FROM d JOIN p USING (side, feature) JOIN e USING (feature), range(100) g GROUP BY d.side, d.feature, g.range""")
+FROM d JOIN p USING (side, feature) JOIN e USING (feature), range(1000) g GROUP BY d.side, d.feature, g.range""")
 def _kde(spark, sf):
-    return rounded(profile.kde(line_sides(spark, sf), ["l_quantity", "l_discount"], points=100))
+    return rounded(profile.kde(line_sides(spark, sf), LINE_FEATURES))
