@@ -16,11 +16,12 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,8 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, longest))) if longest else None
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        named = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = pa.array([named.get(i) for i in range(max(named) + 1)], pa.large_string())
         self.kept = WORDS_KEPT
         self._forget()
 
@@ -83,6 +85,31 @@ class Bpe:
         self.flat = np.concatenate([self.flat, joined])
         self.start, self.count = np.concatenate([self.start, starts]), np.concatenate([self.count, counts])
 
+    @cached_property
+    def ranked_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All mergeable pairs, sorted, and their ranks."""
+        pairs = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(pairs)
+        return pairs[order], np.fromiter(self.rank.values(), np.int64, len(pairs))[order]
+
+    def _places(self, sym: np.ndarray, ends: np.ndarray) -> dict[int, list[int]]:
+        """The index to begin with: the rank of every mergeable adjacent pair, and its positions in order."""
+        pairs, ranks = self.ranked_pairs
+        if len(sym) < 2 or not len(pairs):
+            return {}
+        inside = np.ones(len(sym), bool)
+        inside[ends - 1] = False
+        at = np.flatnonzero(inside)
+        pair = sym[at] * self.size + sym[at + 1]
+        found = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        hit = pairs[found] == pair
+        at, rank = at[hit], ranks[found[hit]]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order].tolist(), rank[order]
+        starts = np.flatnonzero(np.diff(rank, prepend=-1))
+        cuts = [*starts.tolist(), len(at)]
+        return {r: at[x:y] for r, x, y in zip(rank[starts].tolist(), cuts, cuts[1:])}
+
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of many distinct words, given in byte-level symbols."""
         sym: list[int] = []
@@ -99,10 +126,7 @@ class Bpe:
             word[at:e] = [k] * (e - at)
             at = e
         rank_of, size = self.rank.get, self.size
-        places: dict[int, list[int]] = {}
-        for p in range(n):
-            if following[p] >= 0 and (r := rank_of(sym[p] * size + sym[p + 1])) is not None:
-                places.setdefault(r, []).append(p)
+        places = self._places(np.array(sym, np.int64), np.array(ends, np.int64))
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -187,8 +211,10 @@ class Bpe:
         per_part = np.diff(ends, prepend=0)
         return ids, np.bincount(np.array(owner, np.int64), per_part, len(texts)).astype(np.int64)
 
-    def decode(self, ids) -> str:
-        return " ".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of many lists of ids: list ``k`` is ``ids[ends[k] : ends[k + 1]]``; a space between two tokens."""
+        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), self.tokens.take(pa.array(ids, pa.int64())))
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 def pieces(text: str, most: int = 1_000_000) -> Iterator[str]:
@@ -221,8 +247,6 @@ def loaded(path: str) -> Bpe:
 
 def chunks(values: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts add up to about ``most`` bytes; a longer text is a range of its own."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     at = held = 0
     for k, s in enumerate(sizes):
@@ -265,7 +289,7 @@ def encode_texts(
                 cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32())))
                 names = [*kept, ids]
                 if decoded:
-                    cols.append(pa.array([bpe.decode(found[x:y].tolist()) for x, y in zip(ends, ends[1:])], pa.string()))
+                    cols.append(bpe.decode(found, ends))
                     names.append(decoded)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
