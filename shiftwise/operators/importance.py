@@ -63,6 +63,8 @@ def fit_classifier(
     if kind not in PRESETS:
         raise ValueError(f"unknown model {kind!r}")
     p = {**PRESETS[kind]["Default"], **(params or {})}
+    if (p.get("depth") or 30) > 30:
+        raise ValueError("trees are at most 30 deep")
     classes = [r[0] for r in df.select(F.col(label).cast("string")).distinct().orderBy(label).collect()]
     if len(classes) < 2:
         raise ValueError("need at least two classes")
@@ -78,7 +80,7 @@ def fit_classifier(
         )
     else:
         learner = RandomForestClassifier(
-            numTrees=p["trees"], maxDepth=min(30, p["depth"] or 30),
+            numTrees=p["trees"], maxDepth=p["depth"] or 30,
             minInstancesPerNode=max(1, p.get("min_split", 2) // 2), **common
         )
     prepared = prepared.persist()

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftwise.functions.columns import clean_double
 from shiftwise.operators.prep import select_features
@@ -29,11 +30,16 @@ def as_labelled(
     features: list[str] | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Columns ``keep``, ``label string`` and the features as doubles; NaN becomes null, null labels are dropped."""
+    """Columns ``keep``, ``label string`` and the features as doubles; NaN becomes null, null labels are dropped.
+
+    Where no features are named, all numeric columns are taken; named ones may also be text that holds numbers.
+    """
     if target not in df.columns:
         raise ValueError(f"target column {target!r} is not in the table")
     keep = keep or []
     candidates = [c for c in df.columns if c != target and c not in keep]
+    if features is None:
+        candidates = [c for c in candidates if isinstance(df.schema[c].dataType, T.NumericType)]
     chosen = select_features(candidates, features)
     return df.where(F.col(target).isNotNull()).select(
         *keep, F.col(target).cast("string").alias("label"), *[clean_double(c).alias(c) for c in chosen]

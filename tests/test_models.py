@@ -29,6 +29,8 @@ def test_classifiers_fit(moved, kind, params):
     assert sum(row.probability) == pytest.approx(1) and row.predicted == clf.classes[row.predicted_no]
     with pytest.raises(ValueError):
         I.fit_classifier(moved, ["x"], kind="nothing")
+    with pytest.raises(ValueError):
+        I.fit_classifier(moved, ["x"], kind="random_forest", params={"depth": 31})
     with pytest.raises(ValueError):
         I.fit_classifier(moved.where("label = 'p'"), ["x"])
 
