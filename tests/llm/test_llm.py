@@ -210,6 +210,20 @@ def test_neighbours_recall(spark):
     assert len(got) == 150 * 20 and hits / len(got) >= 0.9
 
 
+@pytest.mark.parametrize("lengths", ["one long row", "log-normal"])
+def test_neighbours_recall_of_other_lengths(spark, lengths):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(3000) == 1501, 10, 1)[:, None] if lengths == "one long row" else np.exp(rng.normal(0, 0.5, (3000, 1)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    got = ann.nearest(df, "vec_id", "v", F.col("vec_id") % 20 == 0, 20).collect()
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    last = np.sort(scores, axis=1)[:, -20]
+    assert len(got) == 150 * 20 and np.mean([r.score >= last[r.query_id] - 1e-12 for r in got]) >= 0.95
+
+
 def test_neighbours_of_odd_vectors(spark):
     df = spark.createDataFrame(VECS, "vec_id long, v array<double>")
     got = ann.nearest(df, "vec_id", "v", F.col("vec_id") % 5 == 0, 20, probe=1.0).collect()
