@@ -2,22 +2,25 @@
 
 Texts are tokenised once into blocks (up to ``BLOCK_BYTES`` of text): word numbers inside the block and hashes of its distinct words,
 written to the shared folder. Counts then travel as packed arrays, one entry per block and distinct n-gram, so neither a frequent word nor a
-frequent pair makes a hot key:
+frequent n-gram makes a hot key:
 
 1. Word shards add up the training counts and number the words; the counts go back to the blocks.
-2. Blocks send their distinct (context, word) pairs to pair shards. A shard builds a trie of its training pairs and returns one
-   byte per pair to each block.
+2. Order by order from two up, blocks send their distinct (context, word) pairs to pair shards; a context is a learned n-gram of the order
+   below, by its number. A shard builds a trie level of its training pairs and returns one byte per pair to each block, and for the next
+   order the numbers and counts of the learned pairs. An order's shuffle files are given up before the next one starts.
 3. Blocks add up the scores of their documents.
 
-Smoothing is by a Dirichlet prior, p(w | h) = (c(hw) + prior * p(w)) / (c(h) + prior) with the add-half unigram p(w); it sums to 1 over the
-vocabulary and one unknown word. A trie has an Elias-Fano level of contexts, monotone Elias-Fano pointers to their successors, an
-Elias-Fano level of successors, stored relative to their context, and a byte of quantised log-probability per pair, all in one memory-mapped
-file that is gone with its task. A pair is found by successor search inside its context; for pairs
-that aren't there the block backs off to ``prior * p(w) / (c(h) + prior)`` itself.
+Smoothing is by a Dirichlet prior, p(w | h) = (c(hw) + prior * p(w | h')) / (c(h) + prior), where h' is h without its first word, with the
+add-half unigram p(w) below; it sums to 1 over the vocabulary and one unknown word. A text begins with ``order - 1`` starts. After a context
+that was never learned p(w | h) = p(w | h'), so nothing is sent for it. A trie level has Elias-Fano contexts, monotone Elias-Fano pointers to their
+successors, Elias-Fano successors, stored relative to their context, and a byte of quantised log-probability per pair, all in one
+memory-mapped file that is gone with its task. A pair is found by successor search inside its context; for pairs
+that aren't there the block backs off to ``prior * p(w | h') / (c(h) + prior)`` itself.
 """
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from functools import partial
 
@@ -35,9 +38,11 @@ from shiftwise.session import work_path
 
 BLOCK_BYTES = 12 << 20
 WORDS_PER_SHARD, PAIRS_PER_SHARD = 1_000_000, 1_500_000
+ORDER = 3  # of the query
 PRIOR = 100.0
 STEP = 0.04  # of the quantised log10 probabilities
 ABSENT = 255
+BEGIN = 1  # number of the context that holds starts only; 0 is one that was not learned
 END, START = np.uint64(1), np.uint64(2)  # take the place of hashes
 
 
@@ -138,12 +143,12 @@ class Trie:
         self.file.flush()
         return np.memmap(self.file, a.dtype, "r", at, len(a))
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of pairs in any order, ``ABSENT`` for those that aren't there."""
-        out = np.full(len(word), ABSENT, np.uint8)
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of pairs in any order, ``ABSENT`` for those that aren't there, and their places among the trie's pairs (-1)."""
+        out, at = np.full(len(word), ABSENT, np.uint8), np.full(len(word), -1)
         heads, base, pointers = self.contexts.all(), self.bases.all(), self.pointers.all()
         if not len(heads):
-            return out
+            return out, at
         h = np.minimum(np.searchsorted(heads, context), len(heads) - 1)
         # A word above a context's largest successor would reach into the next context's range.
         width = np.append(base[1:], np.iinfo(np.int64).max) - base
@@ -153,8 +158,8 @@ class Trie:
         rows, key = rows[order], key[order]
         place, value = self.words.successors(key)
         hit = (value == key) & (place < pointers[h[rows] + 1])
-        out[rows[hit]] = self.codes[place[hit]]
-        return out
+        out[rows[hit]], at[rows[hit]] = self.codes[place[hit]], place[hit]
+        return out, at
 
 
 BLOCK = "block long, ids array<long>, sizes binary, train binary, codes binary, order binary, hashes binary, n_words long, n_pairs long"
@@ -193,7 +198,7 @@ def tokenised(df: DataFrame, text: str, ident: str, train: str) -> DataFrame:
                 )
                 made += 1
 
-    return slim.mapInArrow(run, BLOCK)
+    return slim.mapInArrow(words.tidy(run), BLOCK)
 
 
 def one_by_one(batches):
@@ -203,6 +208,11 @@ def one_by_one(batches):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def small(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in 32 bits where they fit: a block holds several arrays with an entry per token."""
+    return a.astype(np.int32) if not len(a) or int(a.max()) < 1 << 31 else a
+
+
 class Block:
     """A block's sequence of word numbers, every text closed by an end, and what is known of its words."""
 
@@ -211,8 +221,8 @@ class Block:
         self.train = unpacked(row["train"])[0].astype(bool)
         seq, = unpacked(row["codes"])
         self.order, = unpacked(row["order"])
-        self.seq = seq.astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes.astype(np.int64) + 1)
+        self.seq = small(seq)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes.astype(np.int64) + 1)
         self.learned = self.train[self.doc]
 
     def train_counts(self) -> np.ndarray:
@@ -228,20 +238,62 @@ class Block:
         self.number[self.order] = np.concatenate([g[0].astype(np.int64) for g in got])
         self.count[self.order] = np.concatenate([g[1].astype(np.int64) for g in got])
 
+    def climb(self, prior: float, tokens: int, types: int) -> None:
+        """Order one: each token's log-probability, and the number and count of the n-gram that ends there."""
+        self.prior = prior
+        self.begins = int(self.count[self.order[1]])
+        self.log10 = np.log10(unigram(self.count, tokens, types)).astype(np.float32)[self.seq]
+        self.gram = np.where(self.count > 0, self.number + BEGIN + 1, 0)[self.seq]
+        self.times = small(self.count)[self.seq]
+
     def pairs(self, shards: int):
-        """Distinct (context, word) pairs by shard, the first place of each shard, and each token's pair."""
+        """Distinct pairs of a learned context and a word, ordered by shard, context and word; the first place of each shard."""
         size = len(self.order)
-        context = np.empty_like(self.seq)
-        context[1:] = self.seq[:-1]
-        context[np.cumsum(self.sizes.astype(np.int64) + 1) - self.sizes.astype(np.int64) - 1] = self.order[1]
-        key, at = np.unique(context * size + self.seq, return_inverse=True)
-        h, w = key // size, key % size
-        mixed = words.mix(words.mix(self.number[h].astype(np.uint64)) + self.number[w].astype(np.uint64))
+        first = np.cumsum(self.sizes.astype(np.int64) + 1) - self.sizes.astype(np.int64) - 1
+        context, self.above = np.roll(self.gram, 1), np.roll(self.times, 1)
+        context[first], self.above[first] = BEGIN if self.begins else 0, self.begins
+        self.rows = small(np.flatnonzero(context))  # tokens after a learned context
+        heads, h = np.unique(context[self.rows], return_inverse=True)
+        del context
+        h *= size
+        h += self.seq[self.rows]
+        key, at = np.unique(h, return_inverse=True)
+        del h
+        at = small(at)
+        one = np.empty(len(key), np.int32)
+        one[at] = np.arange(len(at), dtype=np.int32)  # a token of each pair: they share what is known of the pair
+        h, w = heads[key // size], key % size
+        mixed = words.mix(words.mix(h.astype(np.uint64)) + self.number[w].astype(np.uint64))
         shard = words.part_of(mixed, shards)
         by = np.argsort(shard, kind="stable")
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        return h[by], w[by], np.searchsorted(shard[by], np.arange(shards + 1)), place[at]
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        self.at = place[at]
+        return h[by], w[by], self.rows[one[by]], np.searchsorted(shard[by], np.arange(shards + 1))
+
+    def answered(self, shards: list) -> None:
+        """The next order's log-probabilities, numbers and counts from the shards' answers to ``pairs``; at the top order only the first."""
+        got = [unpacked(s["answer"]) for s in sorted(shards or [], key=lambda s: s["shard"])]
+        self.gram, self.times = np.zeros(len(self.seq), np.int64), np.zeros(len(self.seq), np.int32)
+        if not got:
+            return
+        code, *more = (np.concatenate(x)[self.at] for x in zip(*got))
+        backed = np.log10(self.prior) + self.log10[self.rows] - np.log10(self.above[self.rows] + self.prior)
+        self.log10[self.rows] = np.where(code == ABSENT, backed, -STEP * code.astype(np.float32))
+        if more:
+            self.times = self.times.astype(np.int64) if more[1].dtype.itemsize > 4 else self.times
+            self.gram[self.rows], self.times[self.rows] = more
+
+
+def climbed(row: dict, level: int, shards: int, prior: float, tokens: int, types: int) -> Block:
+    """A block that knows all orders up to ``level``."""
+    b = Block(row)
+    b.numbered(row["known"])
+    b.climb(prior, tokens, types)
+    for k in range(2, level + 1):
+        b.pairs(shards)
+        b.answered(row[f"found{k}"])
+    return b
 
 
 def sent_words(shards: int, batches):
@@ -280,85 +332,89 @@ def unigram(count: np.ndarray, tokens: int, types: int) -> np.ndarray:
     return (count + 0.5) / (tokens + 0.5 * (types + 1))
 
 
-def sent_pairs(shards: int, batches):
+def sent_pairs(level: int, shards: int, prior: float, tokens: int, types: int, batches):
     for row in one_by_one(batches):
-        b = Block(row)
-        b.numbered(row["known"])
-        h, w, cut, at = b.pairs(shards)
-        seen = np.bincount(at[b.learned], minlength=len(h))
+        b = climbed(row, level - 1, shards, prior, tokens, types)
+        h, w, one, cut = b.pairs(shards)
+        seen = np.bincount(b.at[b.learned[b.rows]], minlength=len(h))
+        lower = np.where(seen > 0, coded(b.log10[one]), 0)
         kept = np.flatnonzero(np.diff(cut))
         out = []
         for s in kept:
             part = slice(cut[s], cut[s + 1])
             change = np.flatnonzero(np.diff(h[part], prepend=-1))
-            heads = h[part][change]
             runs = np.diff(np.append(change, cut[s + 1] - cut[s]))
-            out.append(packed(b.number[heads], runs, b.count[heads], b.number[w[part]], seen[part], coarse(b.count[w[part]])))
+            out.append(packed(h[part][change], runs, b.above[one[part]][change], b.number[w[part]], seen[part], lower[part]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(kept, pa.int32()), pa.array([row["block"]] * len(kept), pa.int64()), pa.array(out, pa.binary())],
             names=["shard", "block", "data"],
         )
 
 
-def coarse(count: np.ndarray) -> np.ndarray:
-    """A word's count in a byte (2 % steps up to 7, 7 % on), enough for the prior's part of a seen pair."""
-    return np.minimum(255, np.rint(np.log1p(count) * 10)).astype(np.int64)
+def coded(log10: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-log10 / STEP), 0, ABSENT - 1).astype(np.int64)
 
 
-def scored_pairs(prior: float, tokens: int, types: int, key, table):
+def scored_pairs(last: bool, shards: int, prior: float, key, table):
+    shard = key[0].as_py()
     blocks = table.column("block").to_pylist()
     data = [unpacked(d) for d in table.column("data").to_pylist()]
     cat = lambda i: np.concatenate([d[i] for d in data]).astype(np.int64)
     runs = cat(1)
     context, above, word, seen = np.repeat(cat(0), runs), np.repeat(cat(2), runs), cat(3), cat(4)
-    lower = unigram(np.expm1(cat(5) / 10), tokens, types)
+    lower = 10 ** (-STEP * cat(5))
     learned = np.flatnonzero(seen > 0)
     learned = learned[np.lexsort((word[learned], context[learned]))]
     fresh = np.append(True, (np.diff(context[learned]) != 0) | (np.diff(word[learned]) != 0))[: len(learned)]
     first = np.flatnonzero(fresh)
-    total = np.add.reduceat(seen[learned], first) if len(first) else np.zeros(0)
+    total = np.add.reduceat(seen[learned], first) if len(first) else np.zeros(0, np.int64)
     one = learned[first]
     trie = Trie(context[one], word[one], np.log10((total + prior * lower[one]) / (above[one] + prior)))
-    codes = trie.find(context, word)
+    codes, place = trie.find(context, word)
+    answer = [codes]
+    if not last:
+        answer += [np.where(place < 0, 0, place * shards + shard + BEGIN + 1), np.append(total, 0)[place]]
     cuts = np.cumsum([0, *(len(d[3]) for d in data)])
     return pa.table({
-        "shard": pa.array([key[0].as_py()] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()),
-        "answer": pa.array([packed(codes[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+        "shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()),
+        "answer": pa.array([packed(*(x[a:b] for x in answer)) for a, b in zip(cuts, cuts[1:])], pa.binary()),
     })
 
 
 SCORES = "id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def document_scores(shards: int, prior: float, tokens: int, types: int, batches):
+def document_scores(order: int, shards: int, prior: float, tokens: int, types: int, batches):
     for row in one_by_one(batches):
-        b = Block(row)
-        b.numbered(row["known"])
-        h, w, _, at = b.pairs(shards)
+        b = climbed(row, order, shards, prior, tokens, types)
         p = unigram(b.count, tokens, types)
-        codes = np.concatenate([unpacked(s["answer"])[0] for s in sorted(row["found"], key=lambda s: s["shard"])])
-        backed = np.log10(prior * p[w] / (b.count[h] + prior))
-        each = np.where(codes == ABSENT, backed, -STEP * codes.astype(float))[at]
         n = len(b.sizes)
         add = lambda v: np.bincount(b.doc, v, n)  # noqa: E731, B023
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(row["ids"], pa.int64()), pa.array(b.sizes.astype(np.int64) + 1),
-                pa.array(add(b.count[b.seq] > 0).astype(np.int64)), pa.array(add(np.log10(p)[b.seq])), pa.array(add(each)),
+                pa.array(add(b.count[b.seq] > 0).astype(np.int64)), pa.array(add(np.log10(p)[b.seq])), pa.array(add(b.log10)),
             ],
             names=["id", "n_tokens", "n_known", "base_score", "score"],
         )
 
 
+def discard(spark) -> None:
+    """Shuffle files go once nothing refers to them any more; without this they stay until the driver's memory fills up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def by_block(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias(name))
 
 
 def score_texts(
     df: DataFrame, train, text: str = "text", ident: str = "doc_id", prior: float = PRIOR,
-    words_per_shard: int = WORDS_PER_SHARD, pairs_per_shard: int = PAIRS_PER_SHARD,
+    words_per_shard: int = WORDS_PER_SHARD, pairs_per_shard: int = PAIRS_PER_SHARD, order: int = 2,
 ) -> DataFrame:
-    """``(<ident>, train_tokens, n_tokens, n_known, base_score, score)`` for every row; the model learns from rows where ``train`` holds.
+    """``(<ident>, train_tokens, n_tokens, n_known, base_score, score)`` for every row; the model learns from rows where ``train`` holds, n-grams of up to
+    ``order`` words.
 
     A null text is empty: it has the end token only. A null id stays null; a null ``train`` counts as false; repeated rows count as often as
     they occur; other columns are ignored; an empty table gives no rows; without training rows every
@@ -373,7 +429,7 @@ def score_texts(
     word_shards = max(1, -(-(total[0] or 0) // words_per_shard))
     pair_shards = max(1, -(-(total[1] or 0) // pairs_per_shard))
     keyed = "shard int, block long, data binary"
-    sent = blocks.select("block", "sizes", "train", "codes", "order", "hashes").mapInArrow(partial(sent_words, word_shards), keyed)
+    sent = blocks.select("block", "sizes", "train", "codes", "order", "hashes").mapInArrow(words.tidy(partial(sent_words, word_shards)), keyed)
     counted = sent.groupBy("shard").applyInArrow(
         partial(counted_words, word_shards), "shard int, block long, answer binary, types long, tokens long"
     )
@@ -381,16 +437,22 @@ def score_texts(
     counted = spark.read.parquet(f"{root}/words")
     types, tokens = (int(x or 0) for x in counted.agg(F.sum("types"), F.sum("tokens")).first())
     known = blocks.select("block", "ids", "sizes", "train", "codes", "order").join(by_block(counted, "known"), "block")
-    sent = known.drop("ids").mapInArrow(partial(sent_pairs, pair_shards), keyed)
-    found = sent.groupBy("shard").applyInArrow(partial(scored_pairs, prior, tokens, types), "shard int, block long, answer binary")
-    found.write.parquet(f"{root}/pairs")
-    found = by_block(spark.read.parquet(f"{root}/pairs"), "found")
-    scores = known.join(found, "block").mapInArrow(partial(document_scores, pair_shards, prior, tokens, types), SCORES)
+    how = (pair_shards, prior, tokens, types)
+    for level in range(2, order + 1):
+        discard(spark)
+        sent = known.drop("ids").mapInArrow(words.tidy(partial(sent_pairs, level, *how)), keyed)
+        found = sent.groupBy("shard").applyInArrow(partial(scored_pairs, level == order, *how[:2]), "shard int, block long, answer binary")
+        found.write.parquet(f"{root}/pairs{level}")
+        del sent, found
+        # A block without a learned context has no answers.
+        known = known.join(by_block(spark.read.parquet(f"{root}/pairs{level}"), f"found{level}"), "block", "left")
+    discard(spark)
+    scores = known.mapInArrow(words.tidy(partial(document_scores, order, *how)), SCORES)
     return scores.select(F.col("id").alias(ident), F.lit(tokens).cast("long").alias("train_tokens"), "n_tokens", "n_known", "base_score", "score")
 
 
 def op2_lm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = fold("doc_id", 5, 1)
-    out = score_texts(docs, ~held & F.col("doc_id").isNotNull())
+    out = score_texts(docs, ~held & F.col("doc_id").isNotNull(), order=ORDER)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -136,6 +136,40 @@ def test_scores_against_brute_force(spark, odd, monkeypatch, pairs):
         assert g[:4] == w[:4] and math.isclose(g[4], w[4], rel_tol=1e-9) and abs(g[5] - w[5]) <= 0.03 * w[1]
 
 
+@pytest.mark.parametrize("order, pairs", [(3, 3_000_000), (4, 5)])
+def test_scores_of_longer_orders(spark, odd, monkeypatch, order, pairs):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1000)
+    rows = [tuple(r)[:2] for r in odd.collect()] + [(i, " ".join(random.Random(i).choices("abcd", k=40))) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    trained = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 1
+    train = ~langid.fold("doc_id", 5, 1) & F.col("doc_id").isNotNull()
+    got = lm.score_texts(df, train, words_per_shard=pairs, pairs_per_shard=pairs * 100, order=order).collect()
+    grams = collections.Counter()  # (context, word), contexts of every length
+    padded = lambda t: ["<s>"] * (order - 1) + [*plain_words(t), None]
+    for i, t in rows:
+        s = padded(t)
+        grams.update((tuple(s[at - k : at]), s[at]) for at in range(order - 1, len(s)) if trained(i) for k in range(order))
+    above = collections.Counter()
+    for (h, _), n in grams.items():
+        above[h] += n
+    types = sum(h == () for h, _ in grams)
+
+    def p(h, w):
+        if not h:
+            return (grams[h, w] + 0.5) / (above[()] + 0.5 * (types + 1))
+        return (grams[h, w] + lm.PRIOR * p(h[1:], w)) / (above[h] + lm.PRIOR)
+
+    want = [(i, sum(math.log10(p(tuple(s[at - order + 1 : at]), s[at])) for at in range(order - 1, len(s)))) for i, t in rows for s in [padded(t)]]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert len(got) == len(want)
+    for (i, n, g), (j, w) in zip(sorted(((r.doc_id, r.n_tokens, r.score) for r in got), key=lambda r: key((r[0], r[2]))), sorted(want, key=key)):
+        assert i == j and abs(g - w) <= 0.03 * n
+
+
+def test_query_scores_with_trigrams():
+    assert lm.ORDER >= 3
+
+
 def test_scores_of_nothing(none):
     assert lm.score_texts(none, F.lit(True)).count() == 0
     assert none.count() == 0
