@@ -285,6 +285,29 @@ def test_languages(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_rare_languages_do_not_end_calibration(spark):
+    rng = random.Random(6)
+    stems = {"xx": "kala mita sonu peri", "yy": "strof grunt blick dwarg"}
+    rows = [(i, " ".join(rng.choices(stems[l].split(), k=rng.randint(3, 60))), l) for i, l in enumerate(list(stems) * 150)]
+    rows += [(1000 + i, f"zu{chr(97 + i)}{chr(98 + i)} vo{chr(99 + i)}x " * 4, f"r{i}") for i in range(12)]  # one document each
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert {f"r{i}" for i in range(12)} <= set(model.langs) and model.threshold > 0
+    two = langid.fit(df.where("doc_id < 1000"))
+    assert two.threshold > 0.5  # below, nothing could be rejected
+
+
+def test_languages_beyond_the_bound(spark):
+    stems = {"xx": "kala mita sonu peri", "yy": "strof grunt blick dwarg", "zz": "ñao éiu óea üie", "ww": "щука рыба море лес"}
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(stems[l].split(), k=30)), l) for i, l in enumerate(["xx"] * 200 + ["yy"] * 180 + ["zz", "ww"] * 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, langs_most=2)
+    assert model.langs == [langid.OTHER, "xx", "yy"]
+    got = langid.identify(df, model).collect()
+    assert sum(r.lang_pred == (r.lang if r.lang in ("xx", "yy") else langid.OTHER) for r in got) >= 0.98 * len(got)
+
+
 # 6: Jaccard join
 
 
@@ -442,6 +465,19 @@ def test_learned_spans(spark, odd, none):
     assert pii.find_spans(none, pii.fit(none)).count() == 0 and pii.find_spans(odd, pii.fit(odd)).count() == len(ODD)
 
 
+def test_unproven_spans_do_not_count_as_wrong(spark):
+    rng = random.Random(12)
+    phone = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    rows = [(i, f"please call +1 {phone()} now or lot {rng.randint(1000, 9999)}-{rng.randint(10, 99)}-{rng.randint(10, 99)} b") for i in range(1200)]
+    rows += [(i, f"please call {phone()} now") for i in range(1200, 2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df)
+    kind, right, wrong, precision, threshold = model.report[3]
+    assert kind == "phone" and right >= 200 and wrong >= 200 and precision >= 0.99 and threshold <= 1
+    got = pii.find_spans(df.where("doc_id >= 1200"), model, keep=["doc_id"]).collect()
+    assert all([(s.kind, s.start, s.end) for s in r.pii_spans] == [("phone", 12, 26)] for r in got)
+
+
 # 10: sharding
 
 
