@@ -2,13 +2,14 @@
 
 A text becomes the hashed counts of its letter n-grams (1 to 3). The mean of their embeddings goes through a linear
 softmax. Embeddings and softmax are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows;
-a fifth of the sample is left out of it to fit the temperature of the probabilities and the score below which a
-prediction is rejected. The model (``BINS * DIM`` floats) is of a fixed size; every text is scored whole, in tasks.
+a fifth of each language's sample is left out of it to fit the temperature of the probabilities and the score below which a
+prediction is rejected; languages with too few documents are only learned. Languages beyond the most frequent are one class, ``other``. The model (``BINS * DIM`` floats) is of a fixed size; every text is scored whole, in tasks.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ DOCS_PER_LANG = 400  # sampled documents per language, by hash
 LANGS_MOST = 200  # languages learned, the most frequent first
 PIECE = 1 << 20
 UNKNOWN = "und"
+OTHER = "other"  # class of the languages beyond LANGS_MOST
+TRAIN_LEAST = 5  # documents a language keeps for training before any is left out
 
 
 @lru_cache(1)
@@ -84,11 +87,14 @@ def train(langs: list[str], x: np.ndarray, y: np.ndarray, epochs: int = 12, rate
     m.weight = rng.normal(0, 0.1, m.weight.shape)
     share = np.bincount(y, minlength=len(langs))
     each = len(y) / np.maximum(share, 1) / max(1, (share > 0).sum())
+    again = np.maximum(1, each[y]).astype(np.int64)  # rows of rare classes come repeatedly: as one heavy row each they'd make steps that diverge
+    each = each / np.maximum(1, each).astype(np.int64)
+    pool = np.repeat(np.arange(len(y)), again)
     batch, steps = 32, 0
-    total = epochs * -(-len(y) // batch)
+    total = epochs * -(-len(pool) // batch)
     for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), batch):
+        order = pool[rng.permutation(len(pool))]
+        for at in range(0, len(order), batch):
             rows = order[at : at + batch]
             xb = x[rows] * scale
             hidden = xb @ m.embed
@@ -108,7 +114,11 @@ def train(langs: list[str], x: np.ndarray, y: np.ndarray, epochs: int = 12, rate
 
 
 def calibrate(m: LanguageModel, x: np.ndarray, y: np.ndarray, whole: np.ndarray, lost: float = 0.001) -> LanguageModel:
-    """Temperature with the smallest log loss; threshold that rejects at most ``lost`` of the whole texts, at most 0.4."""
+    """Temperature with the smallest log loss, and the highest threshold that rejects at most ``lost`` of the rightly predicted whole texts.
+
+    No lower one rejects more of the wrong or unlearned texts. Where the right texts are too few to show that share, their scores'
+    log-odds are carried on as a normal tail.
+    """
     if len(y) == 0:
         return m
     z = m.logits(x)
@@ -119,9 +129,19 @@ def calibrate(m: LanguageModel, x: np.ndarray, y: np.ndarray, whole: np.ndarray,
         return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]))
 
     m.temperature = min(np.geomspace(0.25, 8, 41), key=loss)
-    best = m.probabilities(x).max(axis=1)
-    kept = best[whole] if whole.any() else best
-    m.threshold = float(min(0.4, np.quantile(kept, lost)))
+    p = m.probabilities(x)
+    right = p.argmax(axis=1) == y
+    kept = right & whole if (right & whole).any() else right
+    best = p.max(axis=1)[kept]
+    if len(best):
+        m.threshold = float(np.quantile(best, lost, method="lower"))
+        if len(best) * lost < 1:
+            z = z[kept] / m.temperature
+            top = z.max(axis=1, keepdims=True)
+            rest = np.where(np.arange(z.shape[1]) == z.argmax(axis=1)[:, None], -np.inf, z)
+            odds = -np.log(np.maximum(np.exp(rest - top).sum(axis=1), 1e-300))
+            tail = odds.mean() + NormalDist().inv_cdf(lost) * odds.std()
+            m.threshold = min(m.threshold, float(1 / (1 + np.exp(-tail))))
     return m
 
 
@@ -129,18 +149,27 @@ SPARSE = np.dtype([("bin", "<u2"), ("share", "<f4")])
 SAMPLE = "lang string, fold long, whole boolean, x binary"
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG) -> LanguageModel | None:
+def fit(
+    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG,
+    langs_most: int = LANGS_MOST,
+) -> LanguageModel | None:
     """Model learned from about ``docs_per_lang`` hash-chosen rows of each language; None if there is nothing to learn from.
 
-    Only the counts per language, at most ``LANGS_MOST`` rows, and the sample's features (some KB a row, 48 at most) reach the driver.
+    Only the counts per language, at most ``langs_most`` rows, and the sample's features (some KB a row, 48 at most) reach the driver.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(11), F.struct(key)).alias("h")
     )
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGS_MOST).collect()
+    each = rows.groupBy("lang").count()
+    counts = each.orderBy(F.col("count").desc(), "lang").limit(langs_most).collect()
     if not counts:
         return None
-    rate = F.lit(0.0)
+    rest = (each.agg(F.sum("count")).first()[0] - sum(r["count"] for r in counts)) if len(counts) == langs_most else 0
+    if rest:
+        rows = rows.withColumn("lang", F.when(F.col("lang").isin([r["lang"] for r in counts]), F.col("lang")).otherwise(OTHER))
+        rest += sum(r["count"] for r in counts if r["lang"] == OTHER)
+        counts = [r for r in counts if r["lang"] != OTHER]
+    rate = F.lit(docs_per_lang / rest if rest else 0.0)
     for r in counts:
         rate = F.when(F.col("lang") == r["lang"], docs_per_lang / r["count"]).otherwise(rate)
     chosen = rows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < rate)
@@ -172,8 +201,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         filled = np.frombuffer(r["x"], SPARSE)
         x[i, filled["bin"]] = filled["share"]
         got[i] = None
-    if held.all() or len({*y[~held]}) < len(langs):
-        held[:] = False  # too few rows to leave some out
+    learned = np.bincount(y[~held & whole], minlength=len(langs))
+    held &= learned[y] >= TRAIN_LEAST  # of a small language all rows are learned
     model = train(langs, x[~held], y[~held])
     return calibrate(model, x[held], y[held], whole[held])
 
