@@ -5,6 +5,7 @@ from __future__ import annotations
 from shiftwise.llm.ann import op4_neighbours
 from shiftwise.llm.bpe import op8_bpe
 from shiftwise.llm.chat import OP1_SQL, op1_chat
+from shiftwise.llm.decontaminate import OP13_SQL, op13_decontaminate
 from shiftwise.llm.jaccard import op6_jaccard
 from shiftwise.llm.langid import op5_language
 from shiftwise.llm.lm import op2_lm
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_shards": op10_shards,
+    "op13_decontaminate": op13_decontaminate,
 }
 
-SQL = {"op1_chat": OP1_SQL, "op3_mix": OP3_SQL, "op7_maxscore": OP7_SQL}
+SQL = {"op1_chat": OP1_SQL, "op3_mix": OP3_SQL, "op7_maxscore": OP7_SQL, "op13_decontaminate": OP13_SQL}
