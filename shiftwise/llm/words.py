@@ -31,6 +31,17 @@ def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front where a column of the table has them."""
+    low = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in low:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def tokenise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """``(codes, offsets, dictionary)``: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, as positions in the dictionary of distinct
     words; text ``i`` has ``codes[offsets[i]:offsets[i+1]]``. A null text has no words."""
