@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftwise.llm import bpe, jaccard, langid, mixing, pii
+from shiftwise.llm.words import unused
 from shiftwise.session import work_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the language model rejects: null texts, texts without letters, texts it is too unsure about."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where(~F.col("lang_rejected")).select(*docs.columns)
+    names = unused(docs.columns, *langid.ADDED)
+    found = langid.identify(docs, langid.fit(docs), keep=docs.columns, names=names)
+    return found.where(~F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
