@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,10 +107,8 @@ def detect_drifts(
             for key, bits in zip(batch["stream"], batch["bits"]):
                 if chain is None or key != stream:
                     stream, chain = key, WarningChain(make_detector(detector, params), warning_grace, sample)
-                for x in bits.encode():
-                    hit = chain.update(x & 1)  # "0" and "1" differ in the last bit
-                    if hit:
-                        found.append((key, *hit))
+                errors = np.frombuffer(bits.encode(), np.uint8) & 1  # "0" and "1" differ in the last bit
+                found += [(key, *hit) for hit in chain.feed(errors)]
             yield pd.DataFrame(found, columns=["stream", "detected_at", "history", "chain"])
 
     key_type = indexed.schema["stream"].dataType

@@ -66,7 +66,7 @@ def stream_error_drift(
             make_detector(detector, params), warning_grace, sample
         )
         rows = pd.concat(list(batches)).sort_values(order)
-        found = [(key[0], *hit) for x in rows["error"] if (hit := chain.update(int(x)))]
+        found = [(key[0], *hit) for hit in chain.feed(rows["error"].to_numpy())]
         state.update((pickle.dumps(chain),))
         yield pd.DataFrame(found, columns=["stream", "detected_at", "history", "chain"])
 

@@ -236,3 +236,36 @@ def test_prequential_learns_separated_classes(table):
     got = errors.prequential_error(df, ["x"]).groupBy("window_id").agg(F.avg("error").alias("e")).collect()
     rate = {r.window_id: r.e for r in got}
     assert rate[0] == 1.0 and rate[1] < 0.02 and rate[2] < 0.02 and rate[3] > 0.98
+
+
+@pytest.mark.parametrize("name", sorted(DETECTORS))
+def test_stretches_don_t_matter(name):
+    rng = np.random.default_rng(5)
+    xs = np.concatenate([rng.random(700) < p for p in (0.05, 0.4, 0.0, 0.9, 0.2)]).astype(int)
+    want = fold(name, xs, grace=7)
+    for size in (1, 13, 512, len(xs)):
+        chain = WarningChain(make_detector(name, PARAMS.get(name)), 7)
+        assert [h for at in range(0, len(xs), size) for h in chain.feed(xs[at : at + size])] == want
+    assert want
+
+
+def test_history_from_positions():
+    """Against the definition: every row is asked for its chain by looking back."""
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        text = "".join(rng.choice(list("....wwd"), 120))
+        grace, sample = int(rng.integers(1, 6)), int(rng.integers(1, 12))
+        want, last = [], -1
+        for at in (i for i, c in enumerate(text) if c == "d"):
+            warned = [i for i in range(last + 1, at) if text[i] == "w"]
+            first = at
+            if warned and at - warned[-1] <= grace:
+                first = warned[-1]
+                for w in reversed(warned):
+                    if first - w > grace:
+                        break
+                    first = w
+            alive = bool(warned) and at - warned[-1] < grace
+            want.append((at, at - max(last, first - 1 - sample), at - first + 1 if alive else 0))
+            last = at
+        assert run_script(text, grace, sample) == want
