@@ -1,13 +1,13 @@
 """Positions, running totals, ranks and exact quantiles over groups of any size.
 
 A plain ``Window.partitionBy(label).orderBy(value)`` sorts a whole group in one task. Labels are few, so one
-group can hold a third of the table. So a group's size is checked first, on a hash sample of its order key (the
-filter reaches the scan, so this costs one column-pruned scan). Groups beyond ``rows_per_slice`` rows are cut into
-ordered slices at sampled points, every slice is scanned by its own task, and the totals of the earlier slices
-are added. When no group is that large the plan is the plain window.
+group can hold a third of the table. So every group is cut into ordered slices at rows chosen by a hash of their order
+key, about one in ``rows_per_slice``; every slice is scanned by its own task, and the totals of the earlier slices are
+added. A small group has no such row and is one slice. The plan is the same at every size and nothing runs while it is
+built: cut points are a part of it. They depend on the rows alone, so a recomputed task sees the same ones, and the
+hash filter keeps their scan to the order columns.
 
-Cut points number about one per ``rows_per_slice`` rows (at most ``MAX_SLICES`` a group): a millionth of the
-input. They are fixed when the plan is built, so a recomputed task sees the same ones.
+A group has ``MAX_SLICES`` slices at most (beyond, every second, third... cut point counts), which bounds the broadcast.
 """
 
 from __future__ import annotations
@@ -19,53 +19,29 @@ from shiftwise.functions.columns import hash_uniform
 
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 1 << 14
-SAMPLE_PER_SLICE = 16
 
 
-def _key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    right = F.broadcast(right)
-    if keys:
-        return left.join(right, keys, how)
-    return left.join(right, F.lit(True), how)
-
-
-def cut_points(
-    df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int | None = None
-) -> DataFrame | None:
-    """``(keys, _cuts)`` for the groups beyond ``rows_per_slice`` rows, or None when there is none."""
-    rate = SAMPLE_PER_SLICE / (rows_per_slice or ROWS_PER_SLICE)
-    at = F.struct(*order)
-    sample = df.select(*keys, at.alias("_at")).where(hash_uniform(*order) < rate)
-    wanted = F.least(F.lit(MAX_SLICES), F.floor(F.col("_seen_n") / SAMPLE_PER_SLICE)).cast("int")
-    points = (
-        sample.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_seen_n"), F.sort_array(F.collect_list("_at")).alias("_seen"))
-        .where(F.col("_seen_n") >= 2 * SAMPLE_PER_SLICE)
-        .select(
-            *keys,
-            F.transform(
-                F.sequence(F.lit(1), wanted - 1),
-                lambda i: F.get("_seen", F.floor(i * F.col("_seen_n") / wanted).cast("int")),
-            ).alias("_cuts"),
-        )
-    )
-    rows = points.collect()
-    return df.sparkSession.createDataFrame(rows, points.schema) if rows else None
+def cut_points(df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int | None = None) -> DataFrame:
+    """``(keys, _cuts)`` for the groups with a chosen row: its order keys, sorted."""
+    chosen = df.select(*keys, F.struct(*order).alias("_at")).where(hash_uniform(*order) < 1 / (rows_per_slice or ROWS_PER_SLICE))
+    every = F.ceil(F.size("_cuts") / MAX_SLICES).cast("int")
+    thinned = F.filter("_cuts", lambda _, i: i % every == 0)
+    return chosen.groupBy(*keys).agg(F.sort_array(F.collect_set("_at")).alias("_cuts")).select(*keys, thinned.alias("_cuts"))
 
 
 def with_slices(df: DataFrame, points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add ``_slice`` (0 in groups without cut points); slices of a group are ordered by ``order``."""
+    """Add ``_slice``, the number of the group's cut points below the row; slices of a group are ordered by ``order``."""
     at = F.struct(*order)
-    # Lower bound by halving steps: slice = number of cut points below the row.
-    halvings = F.array(*[F.lit(MAX_SLICES >> k) for k in range(1, MAX_SLICES.bit_length())])
-    slice_no = F.aggregate(
-        halvings,
-        F.lit(0),
-        lambda pos, step: pos
-        + F.when(F.coalesce(F.get("_cuts", pos + step - 1) < at, F.lit(False)), step).otherwise(0),
+    # Lower bound by halving steps; the largest is the largest power of two in the number of cut points.
+    steps = F.transform(F.sequence(F.floor(F.log2(F.size("_cuts"))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    below = F.aggregate(
+        steps, F.lit(0), lambda place, step: place + F.when(F.coalesce(F.get("_cuts", place + step - 1) < at, F.lit(False)), step).otherwise(0)
     )
-    out = _key_join(df, points, keys, "left")
-    return out.withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(slice_no))
+    if keys:
+        out = df.join(F.broadcast(points), keys, "left")
+    else:
+        out = df.withColumn("_cuts", points.scalar())
+    return out.withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(below))
 
 
 def prefix_sums(
@@ -81,21 +57,16 @@ def prefix_sums(
     ``order`` must be unique within a group. ``following`` names a column for the next value of ``order[0]``.
     """
     weighed = df.select("*", *[c.alias(f"_w_{w}") for w, c in weights.items()])
-    points = cut_points(df, keys, order, rows_per_slice)
-    cut = points is not None
-    sliced = with_slices(weighed, points, keys, order) if cut else weighed
-    inside = Window.partitionBy(*keys, *(["_slice"] if cut else []))
+    sliced = with_slices(weighed, cut_points(df, keys, order, rows_per_slice), keys, order)
+    inside = Window.partitionBy(*keys, "_slice")
     upto = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = sliced.select(
-        "*",
+        *df.columns, "_slice",
         *[F.sum(f"_w_{w}").over(upto).alias(f"{w}_upto") for w in weights],
         *[F.sum(f"_w_{w}").over(inside).alias(f"{w}_total") for w in weights],
         *([F.lead(order[0]).over(inside.orderBy(*order)).alias(following)] if following else []),
     )
-    added = [f"{w}_{c}" for c in ("upto", "total") for w in weights] + ([following] if following else [])
-    if not cut:
-        return scanned.select(*df.columns, *added)
-    # Totals per slice of the cut groups; their number is bounded (see module text).
+    # Totals of the slices of groups with cut points.
     per_slice = (
         sliced.where(F.col("_cuts").isNotNull())
         .groupBy(*keys, "_slice")
@@ -112,7 +83,7 @@ def prefix_sums(
         ],
         *[F.sum(f"_s_{w}").over(Window.partitionBy(*keys)).alias(f"_t_{w}") for w in weights],
     )
-    return _key_join(scanned, offsets, [*keys, "_slice"], "left").select(
+    return scanned.join(F.broadcast(offsets), [*keys, "_slice"], "left").select(
         *df.columns,
         *[(F.col(f"{w}_upto") + F.coalesce(f"_b_{w}", F.lit(0))).alias(f"{w}_upto") for w in weights],
         *[F.coalesce(f"_t_{w}", f"{w}_total").alias(f"{w}_total") for w in weights],
