@@ -38,9 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes ``[EMAIL]``, ``[IP]``, ``[CARD]`` or ``[PHONE]``; ``n_chars`` follows the text."""
-    found = pii.find_spans(docs, pii.fit(docs), redact=True)
-    changed = F.size("pii_spans") > 0
-    new = {"text": F.col("pii_text"), "n_chars": F.when(changed, F.length("pii_text").cast("long")).otherwise(F.col("n_chars"))}
+    base, spans, text = unused(docs.columns, *pii.ADDED)
+    found = pii.find_spans(docs, pii.fit(docs), keep=docs.columns, redact=True, added=(base, spans, text))
+    changed = F.size(spans) > 0
+    new = {"text": F.col(text), "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
     return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
