@@ -7,21 +7,22 @@ frequent n-gram makes a hot key:
 1. Word shards add up the training counts and number the words; the counts go back to the blocks.
 2. Order by order from two up, blocks send their distinct (context, word) pairs to pair shards; a context is a learned n-gram of the order
    below, by its number. A shard builds a trie level of its training pairs and returns one byte per pair to each block, and for the next
-   order the numbers and counts of the learned pairs. An order's shuffle files are given up before the next one starts.
+   order the numbers and counts of the learned pairs. Pairs are exchanged a portion of the shards at a time, and a portion's shuffle
+   files go before the next one starts.
 3. Blocks add up the scores of their documents.
 
 Smoothing is by a Dirichlet prior, p(w | h) = (c(hw) + prior * p(w | h')) / (c(h) + prior), where h' is h without its first word, with the
 add-half unigram p(w) below; it sums to 1 over the vocabulary and one unknown word. A text begins with ``order - 1`` starts. After a context
 that was never learned p(w | h) = p(w | h'), so nothing is sent for it. A trie level has Elias-Fano contexts, monotone Elias-Fano pointers to their
 successors, Elias-Fano successors, stored relative to their context, and a byte of quantised log-probability per pair, all in one
-memory-mapped file that is gone with its task. A pair is found by successor search inside its context; for pairs
-that aren't there the block backs off to ``prior * p(w | h') / (c(h) + prior)`` itself.
+memory-mapped file that is gone with its task. A pair is found by successor search inside the range its context points to, which decodes
+the stretches it needs; for pairs that aren't there the block backs off to ``prior * p(w | h') / (c(h) + prior)`` itself.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
@@ -39,6 +40,7 @@ from shiftwise.session import work_path
 BLOCK_BYTES = 12 << 20
 WORDS_PER_SHARD, PAIRS_PER_SHARD = 1_000_000, 1_500_000
 ORDER = 3  # of the query
+PORTIONS = 2  # in which an order's pairs are exchanged
 PRIOR = 100.0
 STEP = 0.04  # of the quantised log10 probabilities
 ABSENT = 255
@@ -81,10 +83,10 @@ class EliasFano:
         high = np.zeros(int(ones[-1]) + 1 if self.n else 0, np.uint8)
         high[ones] = 1
         self.high = store(np.packbits(high, bitorder="little"))
-        # Where every 2^16-th value's bit lies, so that a stretch can be read without what is before it.
-        self.marks = ones[:: self.CHUNK].copy()
+        # Every CHUNK-th value and the place of its bit: a search goes to the stretch it needs.
+        self.marks, self.firsts = ones[:: self.CHUNK].copy(), values[:: self.CHUNK].copy()
 
-    CHUNK = 1 << 16
+    CHUNK = 1 << 13
 
     def chunk(self, i: int) -> np.ndarray:
         """Values ``i * CHUNK`` and following, decoded."""
@@ -105,17 +107,30 @@ class EliasFano:
         parts = [self.chunk(i) for i in range(len(self.marks))]
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The values at these places; only the chunks that hold them are decoded."""
+        out, of = np.empty(len(at), np.int64), at // self.CHUNK
+        order = np.argsort(of, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(at) else ():
+            i = int(of[rows[0]])
+            out[rows] = self.chunk(i)[at[rows] - i * self.CHUNK]
+        return out
+
     def successors(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted keys, the place of the first value not below each, and the value (-1 beyond the last)."""
+        """For sorted keys, the place of the first value not below each, and the value (-1 beyond the last); chunks that no key falls into
+        aren't decoded."""
         place, value = np.full(len(asked), self.n), np.full(len(asked), -1)
-        at = 0
-        for i in range(len(self.marks)):
+        of = np.maximum(np.searchsorted(self.firsts, asked, "right") - 1, 0)
+        for rows in np.split(np.arange(len(asked)), np.flatnonzero(np.diff(of)) + 1) if len(asked) and self.n else ():
+            i = int(of[rows[0]])
             v = self.chunk(i)
-            upto = int(np.searchsorted(asked, v[-1], "right"))
-            if upto > at:
-                p = np.searchsorted(v, asked[at:upto])
-                place[at:upto], value[at:upto] = i * self.CHUNK + p, v[p]
-                at = upto
+            p = np.searchsorted(v, asked[rows])
+            place[rows] = i * self.CHUNK + p
+            inside = p < len(v)
+            value[rows[inside]] = v[p[inside]]
+            beyond = rows[~inside]  # the next chunk's first value
+            if len(beyond) and i + 1 < len(self.firsts):
+                value[beyond] = self.firsts[i + 1]
         return place, value
 
 
@@ -146,19 +161,27 @@ class Trie:
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of pairs in any order, ``ABSENT`` for those that aren't there, and their places among the trie's pairs (-1)."""
         out, at = np.full(len(word), ABSENT, np.uint8), np.full(len(word), -1)
-        heads, base, pointers = self.contexts.all(), self.bases.all(), self.pointers.all()
-        if not len(heads):
+        if not self.contexts.n or not len(word):
             return out, at
-        h = np.minimum(np.searchsorted(heads, context), len(heads) - 1)
-        # A word above a context's largest successor would reach into the next context's range.
-        width = np.append(base[1:], np.iinfo(np.int64).max) - base
-        rows = np.flatnonzero((heads[h] == context) & (word < width[h]))
-        key = base[h[rows]] + word[rows]
+        asked, of = np.unique(context, return_inverse=True)
+        h, value = self.contexts.successors(asked)
+        known = np.flatnonzero(value == asked)
+        place = np.full(len(asked), -1)
+        place[known] = np.arange(len(known))
+        h = h[known]
+        first, end, base = self.pointers.get(h), self.pointers.get(h + 1), self.bases.get(h)
+        last = self.words.get(end - 1) - base
+        # Inside its context a word is looked for up to the largest successor; beyond, the next context's range begins.
+        rows = np.flatnonzero(place[of] >= 0)
+        mine = place[of[rows]]
+        fits = word[rows] <= last[mine]
+        rows, mine = rows[fits], mine[fits]
+        key = base[mine] + word[rows]
         order = np.argsort(key, kind="stable")
-        rows, key = rows[order], key[order]
-        place, value = self.words.successors(key)
-        hit = (value == key) & (place < pointers[h[rows] + 1])
-        out[rows[hit]], at[rows[hit]] = self.codes[place[hit]], place[hit]
+        rows, mine, key = rows[order], mine[order], key[order]
+        found, value = self.words.successors(key)
+        hit = (value == key) & (found >= first[mine]) & (found < end[mine])
+        out[rows[hit]], at[rows[hit]] = self.codes[found[hit]], found[hit]
         return out, at
 
 
@@ -332,13 +355,15 @@ def unigram(count: np.ndarray, tokens: int, types: int) -> np.ndarray:
     return (count + 0.5) / (tokens + 0.5 * (types + 1))
 
 
-def sent_pairs(level: int, shards: int, prior: float, tokens: int, types: int, batches):
+def sent_pairs(level: int, first: int, last: int, shards: int, prior: float, tokens: int, types: int, batches):
+    """The pairs of shards ``first`` up to before ``last``."""
     for row in one_by_one(batches):
         b = climbed(row, level - 1, shards, prior, tokens, types)
         h, w, one, cut = b.pairs(shards)
         seen = np.bincount(b.at[b.learned[b.rows]], minlength=len(h))
         lower = np.where(seen > 0, coded(b.log10[one]), 0)
         kept = np.flatnonzero(np.diff(cut))
+        kept = kept[(kept >= first) & (kept < last)]
         out = []
         for s in kept:
             part = slice(cut[s], cut[s + 1])
@@ -399,10 +424,16 @@ def document_scores(order: int, shards: int, prior: float, tokens: int, types: i
         )
 
 
-def discard(spark) -> None:
-    """Shuffle files go once nothing refers to them any more; without this they stay until the driver's memory fills up."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_dropped(spark):
+    """Within, the shuffle files of a query go when it ends: each writes its result down, so nothing asks for them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def by_block(answers: DataFrame, name: str) -> DataFrame:
@@ -412,6 +443,7 @@ def by_block(answers: DataFrame, name: str) -> DataFrame:
 def score_texts(
     df: DataFrame, train, text: str = "text", ident: str = "doc_id", prior: float = PRIOR,
     words_per_shard: int = WORDS_PER_SHARD, pairs_per_shard: int = PAIRS_PER_SHARD, order: int = 2,
+    portions: int = PORTIONS,
 ) -> DataFrame:
     """``(<ident>, train_tokens, n_tokens, n_known, base_score, score)`` for every row; the model learns from rows where ``train`` holds, n-grams of up to
     ``order`` words.
@@ -423,31 +455,34 @@ def score_texts(
     spark = df.sparkSession
     root = work_path(spark, "lm")
     flagged = df.select(ident, text, F.coalesce(train, F.lit(False)).alias("_train"))
-    tokenised(flagged, text, ident, "_train").write.parquet(f"{root}/blocks")
-    blocks = spark.read.parquet(f"{root}/blocks")
-    total = blocks.agg(F.sum("n_words"), F.sum("n_pairs")).first()
-    word_shards = max(1, -(-(total[0] or 0) // words_per_shard))
-    pair_shards = max(1, -(-(total[1] or 0) // pairs_per_shard))
-    keyed = "shard int, block long, data binary"
-    sent = blocks.select("block", "sizes", "train", "codes", "order", "hashes").mapInArrow(words.tidy(partial(sent_words, word_shards)), keyed)
-    counted = sent.groupBy("shard").applyInArrow(
-        partial(counted_words, word_shards), "shard int, block long, answer binary, types long, tokens long"
-    )
-    counted.write.parquet(f"{root}/words")
-    counted = spark.read.parquet(f"{root}/words")
-    types, tokens = (int(x or 0) for x in counted.agg(F.sum("types"), F.sum("tokens")).first())
-    known = blocks.select("block", "ids", "sizes", "train", "codes", "order").join(by_block(counted, "known"), "block")
-    how = (pair_shards, prior, tokens, types)
-    for level in range(2, order + 1):
-        discard(spark)
-        sent = known.drop("ids").mapInArrow(words.tidy(partial(sent_pairs, level, *how)), keyed)
-        found = sent.groupBy("shard").applyInArrow(partial(scored_pairs, level == order, *how[:2]), "shard int, block long, answer binary")
-        found.write.parquet(f"{root}/pairs{level}")
-        del sent, found
-        # A block without a learned context has no answers.
-        known = known.join(by_block(spark.read.parquet(f"{root}/pairs{level}"), f"found{level}"), "block", "left")
-    discard(spark)
-    scores = known.mapInArrow(words.tidy(partial(document_scores, order, *how)), SCORES)
+    with shuffles_dropped(spark):
+        tokenised(flagged, text, ident, "_train").write.parquet(f"{root}/blocks")
+        blocks = spark.read.parquet(f"{root}/blocks")
+        total = blocks.agg(F.sum("n_words"), F.sum("n_pairs")).first()
+        word_shards = max(1, -(-(total[0] or 0) // words_per_shard))
+        pair_shards = max(1, -(-(total[1] or 0) // pairs_per_shard))
+        keyed = "shard int, block long, data binary"
+        sent = blocks.select("block", "sizes", "train", "codes", "order", "hashes").mapInArrow(words.tidy(partial(sent_words, word_shards)), keyed)
+        counted = sent.groupBy("shard").applyInArrow(
+            partial(counted_words, word_shards), "shard int, block long, answer binary, types long, tokens long"
+        )
+        counted.write.parquet(f"{root}/words")
+        counted = spark.read.parquet(f"{root}/words")
+        types, tokens = (int(x or 0) for x in counted.agg(F.sum("types"), F.sum("tokens")).first())
+        known = blocks.select("block", "ids", "sizes", "train", "codes", "order").join(by_block(counted, "known"), "block")
+        how = (pair_shards, prior, tokens, types)
+        for level in range(2, order + 1):
+            # Portions of the shards one after the other: only one portion's pairs are on disk as shuffle files.
+            bounds = [pair_shards * i // portions for i in range(portions + 1)]
+            for first, last in zip(bounds, bounds[1:]):
+                if first < last:
+                    sent = known.drop("ids").mapInArrow(words.tidy(partial(sent_pairs, level, first, last, *how)), keyed)
+                    found = sent.groupBy("shard").applyInArrow(partial(scored_pairs, level == order, *how[:2]), "shard int, block long, answer binary")
+                    found.write.mode("append").parquet(f"{root}/pairs{level}")
+            # A block without a learned context has no answers.
+            known = known.join(by_block(spark.read.parquet(f"{root}/pairs{level}"), f"found{level}"), "block", "left")
+        known.mapInArrow(words.tidy(partial(document_scores, order, *how)), SCORES).write.parquet(f"{root}/scores")
+    scores = spark.read.parquet(f"{root}/scores")
     return scores.select(F.col("id").alias(ident), F.lit(tokens).cast("long").alias("train_tokens"), "n_tokens", "n_known", "base_score", "score")
 
 
