@@ -10,10 +10,13 @@ fixed number of partitions, and each partition handles its buckets in order, eac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_BYTES = 64 << 20
+from shiftwise.operators.ordered import prefix_sums
+from shiftwise.session import work_path
+
+BUCKET_BYTES = 16 << 20  # of text; a task holds a bucket a few times over
 
 
 def text_bytes(c: Column) -> Column:
@@ -21,7 +24,7 @@ def text_bytes(c: Column) -> Column:
 
 
 def external_shuffle(df: DataFrame, keys: list[str], size: str, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All rows of ``df`` plus ``_bucket`` and ``_place``, their place in a random order (from 0, without gaps).
+    """All rows of ``df`` plus ``_place``, their place in a random order (from 0, without gaps); a column of that name is replaced.
 
     ``keys`` should tell rows apart; rows equal in all of them share a bucket. Nulls are values like others; an empty table gives
     no rows. The only figures that reach the driver are the row count and the byte total.
@@ -31,39 +34,39 @@ def external_shuffle(df: DataFrame, keys: list[str], size: str, seed: int = 42,
     mixed = F.xxhash64(F.lit(seed), *[F.struct(F.col(k)) for k in keys])
     rows = df.select(F.pmod(mixed, F.lit(n)).alias("_bucket"), mixed.alias("_mix"), F.struct(*df.columns).alias("_row"))
     spread = min(n, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    path = work_path(df.sparkSession, "bucket-counts")
+    rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).write.parquet(path)
+    counts = prefix_sums(df.sparkSession.read.parquet(path), [], ["_bucket"], {"_n": F.col("_n")})
+    starts = counts.select("_bucket", (F.col("_n_upto") - F.col("_n")).alias("_start")).repartition(spread, "_bucket")
     scattered = rows.repartition(spread, "_bucket")
     filled = scattered.groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_mix", "_row"))).alias("_rows"))
-    shuffled = filled.sortWithinPartitions("_bucket").select("_bucket", F.shuffle("_rows", seed).alias("_rows"))
-    laid = shuffled.select("_bucket", F.posexplode("_rows").alias("_i", "_r"))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("_bucket").alias("_b"), before.alias("_start"))
-    out = laid.join(starts, F.col("_bucket") == F.col("_b"))
-    return out.select("_r._row.*", "_bucket", (F.col("_start") + F.col("_i")).alias("_place"))
+    placed = filled.join(starts, "_bucket").sortWithinPartitions("_bucket")
+    out = placed.select("_start", F.shuffle("_rows", seed).alias("_rows")).select("_start", F.posexplode("_rows").alias("_i", "_r"))
+    kept = [F.col("_r._row").getField(c).alias(c) for c in df.columns if c.lower() != "_place"]
+    return out.select(*kept, (F.col("_start") + F.col("_i")).alias("_place"))
 
 
 def shard_rows(df: DataFrame, shards: int, keys: list[str], size: str, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Law ``rows``: the columns of ``df`` plus ``shard`` and ``slot``; row counts differ by one at most, slots run from 0."""
+    """Law ``rows``: the columns of ``df`` plus ``shard`` and ``slot``; row counts differ by one at most, slots run from 0. Columns of
+    ``df`` with one of these names are replaced."""
     placed = external_shuffle(df, keys, size, seed, bucket_bytes)
-    return placed.select(
-        *df.columns, (F.col("_place") % shards).cast("int").alias("shard"), F.floor(F.col("_place") / shards).alias("slot")
-    )
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    return placed.select(*[F.col(f"`{c}`") for c in kept], (F.col("_place") % shards).cast("int").alias("shard"), F.floor(F.col("_place") / shards).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, its files sorted by slot."""
-    n = sharded.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    files = sharded.repartitionByRange(int(n), "shard", "slot").sortWithinPartitions("shard", "slot")
-    files.write.partitionBy("shard").mode("errorifexists").parquet(path)
+    """One folder per shard; every bucket's task writes its rows, so in a file they ascend by slot within a bucket."""
+    sharded.write.partitionBy("shard").mode("errorifexists").parquet(path)
 
 
 def op10_shards(spark, sf_dir: str) -> DataFrame:
+    """Whole documents are scattered, shuffled and written; sizes and digests are those of the shards read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = docs.select(
-        "doc_id", text_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
-    )
-    out = shard_rows(slim, 8, ["doc_id", "text_crc32"], "size")
+    path = work_path(spark, "shards")
+    write_shards(shard_rows(docs.withColumn("size", text_bytes(F.col("text"))), 8, ["doc_id", "text"], "size"), path)
+    schema = "doc_id long, text string, size long, slot long, shard int"
+    out = spark.read.schema(schema).parquet(path)
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+        "doc_id", text_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
