@@ -5,7 +5,7 @@ bitmap in chunks of 4096, of which only the 64-bit words with a bit are kept, ea
 directory). Bits and counts combine before the shuffle; running totals over the chunks give each chunk's start. A row's place is then
 a rank query: chunk start + rows before the word + bits below its own.
 
-Nodes are keyed by (group, place), and ``BLOCK`` of them fill a slot array, which reduces six levels at once; the results are
+Nodes are keyed by (group, place), and 3^``LEVELS`` of them fill a slot array, which reduces that many levels at once; the results are
 the nodes of the next tier, a few tiers in all. The groups' roots are the nodes of one more tree. Going down again, every block hands
 its slots the siblings above them, so a leaf's whole path is known where its block is, without a shuffle of proofs.
 """
@@ -24,8 +24,7 @@ from shiftwise.operators.ordered import index_rows, prefix_sums
 from shiftwise.session import work_path
 
 ARITY = 3
-LEVELS = 6
-BLOCK = ARITY**LEVELS
+LEVELS = 6  # of a slot array
 #: word of rows whose key is null: before the word of any 64-bit key
 NULL_WORD = -(1 << 60)
 
@@ -93,10 +92,10 @@ def leaf_places(rows: DataFrame) -> DataFrame:
     return single.unionByName(each)
 
 
-def _levels(slots: list[str], whole: bool) -> list[list[str]]:
-    """Level by level up to one node of a whole tree, or up by ``LEVELS`` levels."""
+def _levels(slots: list[str], n: int, levels: int) -> list[list[str]]:
+    """Level by level: up to one node if the block has all ``n`` nodes of its tier, else up by ``levels``."""
     out = [slots]
-    while (len(out[-1]) > 1) if whole else (len(out) <= LEVELS):
+    while (len(out[-1]) > 1) if n <= ARITY**levels else (len(out) <= levels):
         last = out[-1]
         out.append([digest("".join(last[i : i + ARITY])) for i in range(0, len(last), ARITY)])
     return out
@@ -133,37 +132,38 @@ def _slot_array(slots: list[dict], name: str) -> list[str]:
     return out
 
 
-def _tiers(blocks: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
+def _tiers(blocks: DataFrame, most: int, depth: int) -> tuple[list[DataFrame], DataFrame]:
     """Tables of blocks ``(g, n, b, slots)``, one per tier, and ``(g, digest)`` of each group's root; ``n`` counts the nodes of a tier."""
 
     def run(batches):
         for batch in batches:
-            rows = [(r["g"], r["n"], r["b"], _levels(_slot_array(r["slots"], "leaf"), r["n"] <= BLOCK)[-1][0]) for r in batch.to_pylist()]
+            rows = [(r["g"], r["n"], r["b"], _levels(_slot_array(r["slots"], "leaf"), r["n"], depth)[-1][0]) for r in batch.to_pylist()]
             g, n, b, d = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(g, pa.string()), pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array([bytes.fromhex(x) for x in d], pa.binary())], names=["g", "n", "place", "leaf"]
             )
 
-    tiers, roots = [blocks], None
+    block, tiers, roots = ARITY**depth, [blocks], None
     while True:
         nodes = _kept(tiers[-1].select("g", "n", "b", F.transform("slots", lambda s: F.struct(s["slot"].alias("slot"), s["leaf"].alias("leaf"))).alias("slots"))
                       .mapInArrow(tidy(run), "g string, n long, place long, leaf binary"), "nodes")
-        done = nodes.where(F.col("n") <= BLOCK).select("g", F.col("leaf").alias("digest"))
+        done = nodes.where(F.col("n") <= block).select("g", F.col("leaf").alias("digest"))
         roots = done if roots is None else roots.unionByName(done)
-        if most <= BLOCK:
+        if most <= block:
             return tiers, roots
-        more = nodes.where(F.col("n") > BLOCK).withColumn("n", F.ceil(F.col("n") / BLOCK))
-        tiers.append(_blocks(more, "leaf"))
-        most = -(-most // BLOCK)
+        more = nodes.where(F.col("n") > block).withColumn("n", F.ceil(F.col("n") / block))
+        tiers.append(_blocks(more, depth, "leaf"))
+        most = -(-most // block)
 
 
-def _blocks(nodes: DataFrame, *carried: str) -> DataFrame:
-    """Nodes ``(g, n, place, ...)`` in slot arrays of ``BLOCK``."""
-    slot = F.struct((F.col("place") % BLOCK).cast("int").alias("slot"), *carried)
-    return _kept(nodes.groupBy("g", "n", F.floor(F.col("place") / BLOCK).alias("b")).agg(F.collect_list(slot).alias("slots")), "blocks")
+def _blocks(nodes: DataFrame, depth: int, *carried: str) -> DataFrame:
+    """Nodes ``(g, n, place, ...)`` in slot arrays."""
+    block = ARITY**depth
+    slot = F.struct((F.col("place") % block).cast("int").alias("slot"), *carried)
+    return _kept(nodes.groupBy("g", "n", F.floor(F.col("place") / block).alias("b")).agg(F.collect_list(slot).alias("slots")), "blocks")
 
 
-def _handed_down(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
+def _handed_down(tiers: list[DataFrame], tops: DataFrame, depth: int) -> DataFrame:
     """``(g, n, b, slots, path, subroot, root)``: the blocks of the lowest tier with the path above them; ``tops (g, path, subroot, root)``
     has what lies above each group's root."""
 
@@ -171,26 +171,26 @@ def _handed_down(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 slots = _slot_array(r["slots"], "leaf")
-                levels = _levels(slots, r["n"] <= BLOCK)
+                levels = _levels(slots, r["n"], depth)
                 paths = [";".join(filter(None, [_written(_siblings(levels, i)), r["path"]])) for i in range(len(slots))]
                 m = len(slots)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["g"]] * m, pa.string()), pa.array([r["b"] * BLOCK + i for i in range(m)], pa.int64()), pa.array(paths, pa.string()),
+                    [pa.array([r["g"]] * m, pa.string()), pa.array([r["b"] * block + i for i in range(m)], pa.int64()), pa.array(paths, pa.string()),
                      pa.array([r["subroot"]] * m, pa.string()), pa.array([r["root"]] * m, pa.string())], names=["g", "b", "path", "subroot", "root"],
                 )
 
-    above = None
+    block, above = ARITY**depth, None
     for blocks in reversed(tiers):
-        known = blocks.where(F.col("n") <= BLOCK).join(tops, "g")
+        known = blocks.where(F.col("n") <= block).join(tops, "g")
         if above is not None:
-            known = known.unionByName(blocks.where(F.col("n") > BLOCK).join(above, ["g", "b"]))
+            known = known.unionByName(blocks.where(F.col("n") > block).join(above, ["g", "b"]))
         if blocks is tiers[0]:
             return known
         above = _kept(known.mapInArrow(tidy(run), "g string, b long, path string, subroot string, root string"), "paths")
     raise AssertionError("no tiers")
 
 
-def merkle_proofs(rows: DataFrame, group: str, key: str, leaf: str, other: str) -> DataFrame:
+def merkle_proofs(rows: DataFrame, group: str, key: str, leaf: str, other: str, depth: int = LEVELS) -> DataFrame:
     """``(group, key, place, leaf, subroot, root, proof, folded_root)`` per row of ``rows``.
 
     ``leaf`` and ``other`` are hex digests; ``other`` may be null and then stands for the leaf itself. ``proof`` has the siblings of
@@ -201,27 +201,28 @@ def merkle_proofs(rows: DataFrame, group: str, key: str, leaf: str, other: str)
     """
     g = F.when(F.col(group).isNull(), F.lit("")).otherwise(F.concat(F.lit(":"), F.col(group).cast("string")))
     named = rows.select(g.alias("g"), F.col(key).cast("long").alias("key"), F.unhex(leaf).alias("leaf"), F.unhex(other).alias("other"))
-    blocks = _blocks(leaf_places(named), "key", "leaf", "other")
+    blocks = _blocks(leaf_places(named), depth, "key", "leaf", "other")
+    block = ARITY**depth
     most = blocks.agg(F.max("n")).first()[0] or 0
-    tiers, roots = _tiers(blocks, most)
+    tiers, roots = _tiers(blocks, most, depth)
     subroots = _kept(index_rows(roots, ["g"], name="place"), "subroots")
     count = subroots.count()
     top_nodes = subroots.select(F.lit("").alias("g"), F.lit(count).cast("long").alias("n"), "place", F.col("digest").alias("leaf"))
-    top_tiers, tops = _tiers(_blocks(top_nodes, "leaf"), count)
+    top_tiers, tops = _tiers(_blocks(top_nodes, depth, "leaf"), count, depth)
     root = tops.select(F.lit("").alias("g"), F.lit("").alias("path"), F.lit("").alias("subroot"), F.lower(F.hex("digest")).alias("root"))
 
     def slots_of(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 slots = _slot_array(r["slots"], "leaf")
-                levels = _levels(slots, r["n"] <= BLOCK)
+                levels = _levels(slots, r["n"], depth)
                 m = len(slots)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["b"] * BLOCK + i for i in range(m)], pa.int64()), pa.array([";".join(filter(None, [_written(_siblings(levels, i)), r["path"]])) for i in range(m)], pa.string()),
+                    [pa.array([r["b"] * block + i for i in range(m)], pa.int64()), pa.array([";".join(filter(None, [_written(_siblings(levels, i)), r["path"]])) for i in range(m)], pa.string()),
                      pa.array([r["root"]] * m, pa.string())], names=["place", "path", "root"],
                 )
 
-    by_place = _handed_down(top_tiers, root).mapInArrow(tidy(slots_of), "place long, path string, root string")
+    by_place = _handed_down(top_tiers, root, depth).mapInArrow(tidy(slots_of), "place long, path string, root string")
     over = subroots.join(by_place, "place").select("g", "path", F.lower(F.hex("digest")).alias("subroot"), "root")
 
     def leaves_of(batches) -> Iterator[pa.RecordBatch]:
@@ -229,7 +230,7 @@ def merkle_proofs(rows: DataFrame, group: str, key: str, leaf: str, other: str)
             for r in batch.to_pylist():
                 m = len(r["slots"])
                 slots = _slot_array(r["slots"], "leaf")
-                levels = _levels(slots, r["n"] <= BLOCK)
+                levels = _levels(slots, r["n"], depth)
                 above = _read(r["path"])
                 tail = "".join(a + b for a, b in above)
                 folded = {}
@@ -242,13 +243,13 @@ def merkle_proofs(rows: DataFrame, group: str, key: str, leaf: str, other: str)
                         folded[top] = _fold(top, above)
                     keys[i], proofs[i], roots[i] = s["key"], "".join(a + b for a, b in mine) + tail, folded[top]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["g"][1:] if r["g"] else None] * m, pa.string()), pa.array(keys, pa.int64()), pa.array([r["b"] * BLOCK + i for i in range(m)], pa.int64()),
+                    [pa.array([r["g"][1:] if r["g"] else None] * m, pa.string()), pa.array(keys, pa.int64()), pa.array([r["b"] * block + i for i in range(m)], pa.int64()),
                      pa.array(slots, pa.string()), pa.array([r["subroot"]] * m, pa.string()), pa.array([r["root"]] * m, pa.string()), pa.array(proofs, pa.string()), pa.array(roots, pa.string())],
                     names=[group, key, "place", "leaf", "subroot", "root", "proof", "folded_root"],
                 )
 
     schema = f"`{group}` string, `{key}` long, place long, leaf string, subroot string, root string, proof string, folded_root string"
-    return _handed_down(tiers, over).mapInArrow(tidy(leaves_of), schema)
+    return _handed_down(tiers, over, depth).mapInArrow(tidy(leaves_of), schema)
 
 
 def op11_manifest(spark, sf_dir: str) -> DataFrame:

@@ -529,6 +529,170 @@ def test_shards(spark, tmp_path, bucket_bytes):
     assert sharding.shard_rows(df.limit(0), 8, ["doc_id"], "size").count() == 0
 
 
+# 11: manifest
+
+
+def plain_manifest(rows):
+    """``{(doc_id, leaf): (subroot, root, proof, folded)}`` of rows (doc_id, source, leaf, other), levels built one by one."""
+    import hashlib
+
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([h("".join(levels[-1][i : i + 3])) for i in range(0, len(levels[-1]), 3)])
+        return levels
+
+    def path(levels, at):
+        out = []
+        for level in levels[:-1]:
+            run = level[at - at % 3 : at - at % 3 + 3]
+            out.append((run[: at % 3], run[at % 3 + 1 :]))
+            at //= 3
+        return out
+
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for g in order:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+        trees[g] = tree([r[2] for r in groups[g]])
+    top = tree([trees[g][-1][0] for g in order])
+    out = collections.Counter()
+    for k, g in enumerate(order):
+        for i, r in enumerate(groups[g]):
+            steps = path(trees[g], i) + path(top, k)
+            node = r[3] or r[2]
+            for before, after in steps:
+                node = h("".join(before) + node + "".join(after))
+            out[r[0], g, r[2], trees[g][-1][0], top[-1][0], "".join("".join(b + a) for b, a in steps), node] += 1
+    return out
+
+
+@pytest.mark.parametrize("levels", [2, 6])
+def test_manifest_against_brute_force(spark, levels):
+    rng, hexes = random.Random(3), lambda: f"{rng.getrandbits(256):064x}"
+    rows = [(rng.choice([-1, 1]) * rng.randrange(10**rng.randint(1, 18)), rng.choice(["a", "a", "a", "ä", "b", "", None]), hexes(), rng.choice([None, hexes()])) for _ in range(150)]
+    rows += [(i, "a", hexes(), None) for i in range(-70, 200)] + [(7, "one", hexes(), hexes())]
+    rows += [rows[-2]] * 5 + [(None, "a", hexes(), None) for _ in range(4)] + [(5, "a", hexes(), None) for _ in range(3)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, source string, leaf string, other string, place int, g string").repartition(5)
+    got = manifest.merkle_proofs(df, "source", "doc_id", "leaf", "other", levels).collect()
+    assert collections.Counter((r.doc_id, r.source, r.leaf, r.subroot, r.root, r.proof, r.folded_root) for r in got) == plain_manifest(rows)
+    assert manifest.merkle_proofs(df.limit(0), "source", "doc_id", "leaf", "other").count() == 0
+
+
+def test_leaves_of_odd_rows(odd):
+    import hashlib
+
+    got = {(r.doc_id, r.h) for r in odd.select("doc_id", manifest.leaf_hash({c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}).alias("h")).collect()}
+    for i, text, lang, source, n, _ in ODD:
+        whole = "".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (i, source, lang, n, text))
+        assert (i, hashlib.sha256(whole.encode()).hexdigest()) in got
+
+
+# 12: spelling
+
+
+def plain_forms(vocabulary):
+    """``{word: (n_near, form, root)}`` by comparing all words that share a pattern with one letter open."""
+    words_of = collections.defaultdict(set)
+    for w in vocabulary:
+        for i in range(len(w)):
+            words_of[w[:i] + "\0" + w[i + 1 :]].add(w)
+            if w[:i] + w[i + 1 :] in vocabulary:
+                words_of[w, "gone"].add(w[:i] + w[i + 1 :])
+                words_of[w[:i] + w[i + 1 :], "more"].add(w)
+    near = {w: (set().union(*(words_of[w[:i] + "\0" + w[i + 1 :]] for i in range(len(w))), words_of[w, "gone"], words_of[w, "more"]) - {w}) for w in list(vocabulary)}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-vocabulary[o], o), default=None)
+        form[w] = best if best is not None and vocabulary[best] >= 5 * vocabulary[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return {w: (len(near[w]), form[w], root(w)) for w in vocabulary}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_words": 40, "round_bytes": 1500}])
+def test_forms_against_brute_force(spark, sizes):
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcéÿz", k=rng.randint(6, 9))) for _ in range(60)] + ["x" * 70, "aàaàaà" * 15]
+    vocabulary = {}
+    for w in base:
+        vocabulary[w] = rng.choice([1000, 5000, 700])
+        for _ in range(5):
+            i, c = rng.randrange(len(w)), rng.choice("abcéÿz")
+            vocabulary.setdefault(rng.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :]]), rng.choice([5, 20, 200, 200]))
+    df = spark.createDataFrame(list(vocabulary.items()), "word string, n long")
+    got = {r.word: (r.n_near, r.form, r.root) for r in spelling.spelling_forms(df, **sizes).collect()}
+    assert got == plain_forms(vocabulary)
+    assert spelling.spelling_forms(df.limit(0)).count() == 0
+
+
+def test_typed_words_of_odd_texts(spark, odd):
+    rows = [(i, t) for i, t, *_ in ODD] + [(9, "Éclair ÉCLAIR éclair naïve-naïveté x\u0131stanbul Ω" * 50)]
+    df = spark.createDataFrame([(*r, "w") for r in rows], "doc_id long, text string, word string")
+    want = collections.Counter()
+    for i, t in rows:
+        for run in re.findall("[a-zÀ-ÿ]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")):
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            at = h % len(run)
+            word = run[:at] + run[at + 1 :] if h % 3 == 0 else run
+            want[word] += len(word) >= 6
+    assert collections.Counter(r.word for r in spelling.typed_words(df, every=3).collect()) == +want
+
+
+# 13: decontamination
+
+
+def plain_hits(docs, items, width):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    known = collections.defaultdict(set)
+    for item, t in items:
+        w = cut(t)
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            known[tuple(w[i : i + width])].add(item)
+    out = collections.Counter()
+    for i, t in docs:
+        w, hit, found = cut(t), set(), set()
+        for n in {len(k) for k in known}:
+            for at in range(len(w) - n + 1):
+                if tuple(w[at : at + n]) in known:
+                    hit |= set(range(at, at + n))
+                    found |= {str(x) for x in known[tuple(w[at : at + n])] if x is not None}
+        out[i, len(w), len(hit), tuple(sorted(found))] += 1
+    return out
+
+
+@pytest.mark.parametrize("passes", [{}, {"windows_a_pass": 7, "shingles_a_pass": 11}])
+def test_contamination_against_brute_force(spark, passes):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["the", "Straße", "x9", "of", "ÉTÉ", "q"] + [f"w{i}" for i in range(30)])
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 3, 5, 9, 10, 11, 30])))) for i in range(40)]
+    items += [(3, items[7][1]), (None, items[9][1] + " null item"), (50, None), (51, " -- "), (52, items[8][1])]
+    docs = []
+    for i in range(80):
+        parts = [word() for _ in range(rng.randint(0, 60))]
+        for _, t in rng.sample(items, rng.randint(0, 3)):
+            at = rng.randint(0, len(parts))
+            w = (t or "").split()
+            parts[at:at] = w[rng.choice([0, 0, 1]) : len(w) - rng.choice([0, 0, 1])]
+        docs.append((i, rng.choice([" ", "\n", ", "]).join(parts)))
+    docs += [docs[3]] * 3 + [(3, docs[5][1]), (None, items[9][1]), (None, None), (90, ""), (91, items[30][1] + " filler" * 20_000)]
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, mark int").repartition(3)
+    b = spark.createDataFrame([(*r, "z") for r in items], "item_id long, text string, win string")
+    got = decontaminate.contamination(d, b, **passes).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == plain_hits(docs, items, 10)
+    assert {(r.n_hit, len(r["items"])) for r in decontaminate.contamination(d, b.limit(0)).collect()} == {(0, 0)}
+    assert decontaminate.contamination(d.limit(0), b).count() == 0
+
+
 # the pipeline
 
 
