@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shiftwise.operators import two_sample
 from shiftwise.plans.catalog import query, rnd, rounded
@@ -121,25 +122,27 @@ def _ad_raw(spark, sf):
 
 FIT = [float(c) for c in np.polyfit(two_sample.AD_CRITICAL, np.log(two_sample.AD_LEVELS), 2)]
 AD_FULL = f"""{AD},
-nn AS (SELECT DISTINCT n1 + n2 AS t FROM ad),
-hs AS (SELECT t, r.range AS i, sum(1.0 / CAST(r.range AS DOUBLE)) OVER (PARTITION BY t ORDER BY r.range) AS h
-       FROM nn, range(1, (SELECT max(t) FROM nn)) r WHERE r.range < t),
-ht AS (SELECT t, max(h) AS h FROM hs GROUP BY 1),
-gs AS (SELECT hs.t, max(ht.h) AS h, sum((ht.h - hs.h) / (hs.t - i)) AS g FROM hs JOIN ht USING (t) WHERE i <= hs.t - 2 GROUP BY 1),
-ab AS (SELECT label, feature, raw, CAST(t AS DOUBLE) AS t, g, h, 1.0 / n1 + 1.0 / n2 AS inv FROM ad JOIN gs ON gs.t = n1 + n2),
-sg AS (SELECT *, sqrt((((4 * g - 6) + (10 - 6 * g) * inv) * t * t * t
+ad_nn AS (SELECT DISTINCT n1 + n2 AS t FROM ad),
+ad_hs AS (SELECT t, r.range AS i, sum(1.0 / CAST(r.range AS DOUBLE)) OVER (PARTITION BY t ORDER BY r.range) AS h
+       FROM ad_nn, range(1, (SELECT max(t) FROM ad_nn)) r WHERE r.range < t),
+ad_ht AS (SELECT t, max(h) AS h FROM ad_hs GROUP BY 1),
+ad_gs AS (SELECT ad_hs.t, max(ad_ht.h) AS h, sum((ad_ht.h - ad_hs.h) / (ad_hs.t - i)) AS g FROM ad_hs JOIN ad_ht USING (t) WHERE i <= ad_hs.t - 2 GROUP BY 1),
+ad_ab AS (SELECT label, feature, raw, CAST(t AS DOUBLE) AS t, g, h, 1.0 / n1 + 1.0 / n2 AS inv FROM ad JOIN ad_gs ON ad_gs.t = n1 + n2),
+ad_sg AS (SELECT *, sqrt((((4 * g - 6) + (10 - 6 * g) * inv) * t * t * t
               + ((2 * g - 4) * 4 + 16 * h + (2 * g - 14 * h - 4) * inv - 8 * h + 4 * g - 6) * t * t
               + ((6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * inv + 4 * h) * t
-              + (2 * h + 6) * 4 - 8 * h) / ((t - 1) * (t - 2) * (t - 3))) AS sigma FROM ab),
-aa AS (SELECT label, feature, (raw - 1) / sigma AS stat FROM sg),
+              + (2 * h + 6) * 4 - 8 * h) / ((t - 1) * (t - 2) * (t - 3))) AS sigma FROM ad_ab),
+ad_aa AS (SELECT label, feature, (raw - 1) / sigma AS stat FROM ad_sg),
 ap AS (SELECT *, CASE WHEN stat < {two_sample.AD_CRITICAL[0]} THEN 0.25 WHEN stat > {two_sample.AD_CRITICAL[-1]} THEN 0.001
-              ELSE exp({FIT[0]} * stat * stat + {FIT[1]} * stat + {FIT[2]}) END AS p_value FROM aa)"""
+              ELSE exp({FIT[0]} * stat * stat + {FIT[1]} * stat + {FIT[2]}) END AS p_value FROM ad_aa)"""
 
 
 @query("anderson_darling_k", f"""WITH {AD_FULL}
-SELECT label, feature, 'anderson_darling' AS test, {rnd('stat', 'stat', 5)}, {rnd('p_value', 'p_value', 5)}, p_value < 0.05 AS drift FROM ap""")
+SELECT label, feature, 'anderson_darling' AS test, {rnd('stat', 'stat', 5)}, {rnd('p_value', 'p_value', 5)}, p_value < 0.05 AS drift,
+       '{",".join(map(str, two_sample.AD_CRITICAL))}' AS critical FROM ap""")
 def _ad(spark, sf):
-    return rounded(two_sample.anderson_darling_k(_cdf_summary(spark, sf)).drop("critical"), 5)
+    found = rounded(two_sample.anderson_darling_k(_cdf_summary(spark, sf)), 5)
+    return found.withColumn("critical", F.array_join(F.col("critical").cast("array<string>"), ","))
 
 
 DECIDE = f"""al AS (
@@ -147,7 +150,8 @@ DECIDE = f"""al AS (
   UNION ALL SELECT 'kullback_leibler', kl > 0.1 FROM dv
   UNION ALL SELECT 'jensen_shannon', js > 0.05 FROM dv
   UNION ALL SELECT 'wasserstein', stat > 0.1 FROM wd
-  UNION ALL SELECT 'spearman', abs(stat) < 0.9 FROM sp),
+  UNION ALL SELECT 'spearman', abs(stat) < 0.9 FROM sp
+  UNION ALL SELECT 'anderson_darling', p_value < 0.05 FROM ap),
 fl AS (SELECT test, avg(CASE WHEN drift THEN 1.0 ELSE 0.0 END) > 0.2 AS drift FROM al GROUP BY 1)"""
 
 
@@ -163,10 +167,8 @@ def _joined(*parts: str) -> str:
     return ",\n".join(out)
 
 
-@query("test_decision", f"""WITH {_joined(KS, BINS, WD.replace(CDFS + ', rg AS', 'rw AS').replace('JOIN rg', 'JOIN rw'), SPEARMAN, DECIDE)}
+@query("test_decision", f"""WITH {_joined(KS, BINS, WD.replace(CDFS + ', rg AS', 'rw AS').replace('JOIN rg', 'JOIN rw'), SPEARMAN, AD_FULL, DECIDE)}
 SELECT count(*) AS tests, {rnd('avg(CASE WHEN drift THEN 1.0 ELSE 0.0 END)', 'drifted_share')},
        avg(CASE WHEN drift THEN 1.0 ELSE 0.0 END) > 0.4 AS drift FROM fl""")
 def _decision(spark, sf):
-    tests = ["kolmogorov_smirnov", "kullback_leibler", "jensen_shannon", "wasserstein", "spearman"]
-    results = two_sample.run_tests(line_sides(spark, sf, order=True), LINE_FEATURES, LINE_ORDER, tests)
-    return rounded(two_sample.test_decision(results))
+    return rounded(two_sample.test_decision(two_sample.run_tests(line_sides(spark, sf, order=True), LINE_FEATURES, LINE_ORDER)))

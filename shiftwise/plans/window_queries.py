@@ -382,21 +382,21 @@ def _range(spark, sf):
 
 @query("race_p", f"""WITH {displacement_sql(20)},
 s AS (SELECT window_b AS window_id, score FROM sc WHERE window_a = window_b - 1),
-r AS (SELECT avg(score) AS m, stddev_pop(score) AS sd FROM s WHERE window_id >= 5 AND window_id < 10)
-SELECT window_id, {rnd('score', 'score')}, {rnd('m + 1.5 * sd', '"limit"')}, window_id >= 10 AND score > m + 1.5 * sd AS drift
+r AS (SELECT avg(score) AS m, stddev_pop(score) AS sd FROM s WHERE window_id >= 10 AND window_id < 20)
+SELECT window_id, {rnd('score', 'score')}, {rnd('m + 1.5 * sd', '"limit"')}, window_id >= 20 AND score > m + 1.5 * sd AS drift
 FROM s, r""")
 def _race(spark, sf):
     rows = _rows(spark, sf, 20)
     scores = windows.centroid_displacement(windows.consecutive_pairs(rows), first_prototypes(rows))
-    return rounded(recurrence.race_p(scores, grace=10, const=1.5))
+    return rounded(recurrence.race_p(scores, const=1.5))
 
 
 @query("race_p_by_class", f"""WITH {displacement_sql(20)},
 s AS (SELECT window_b AS window_id, label, coalesce(d, 10) AS score FROM cd WHERE window_a = window_b - 1),
-r AS (SELECT label, avg(score) AS m, stddev_pop(score) AS sd FROM s WHERE window_id >= 5 AND window_id < 10 GROUP BY 1)
-SELECT window_id, {rnd('max(score)', 'score')}, bool_or(coalesce(window_id >= 10 AND score > m + 3 * sd, false)) AS drift
+r AS (SELECT label, avg(score) AS m, stddev_pop(score) AS sd FROM s WHERE window_id >= 10 AND window_id < 20 GROUP BY 1)
+SELECT window_id, {rnd('max(score)', 'score')}, bool_or(coalesce(window_id >= 20 AND score > m + 3 * sd, false)) AS drift
 FROM s LEFT JOIN r USING (label) GROUP BY 1""")
 def _race_class(spark, sf):
     rows = _rows(spark, sf, 20)
     scores = windows.class_displacement(windows.consecutive_pairs(rows), first_prototypes(rows))
-    return rounded(recurrence.race_p(scores, grace=10))
+    return rounded(recurrence.race_p(scores))

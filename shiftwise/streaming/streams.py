@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -138,11 +138,14 @@ def _ends() -> list[Column]:
 def stream_window_profile(
     rows: DataFrame, value: str = "value", length: str = "1 day", delay: str = "1 hour"
 ) -> DataFrame:
-    """Count, mean, deviation, minimum, maximum and approximate median per window and label."""
+    """Count, mean, deviation, minimum, maximum and median per window and label.
+
+    The median is exact: the state of an open window has its distinct values with their counts, which merge.
+    """
     timed, span = _windowed(rows, length, delay=delay)
     return timed.groupBy(span, "label").agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"), F.percentile_approx(value, 0.5).alias("median"),
+        F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, 0.5).alias("median"),
     ).select(*_ends(), "label", "n", "mean", "std", "min", "max", "median")
 
 
@@ -161,24 +164,23 @@ def frozen_reference(rows: DataFrame, value: str = "value", bins: int = 30) -> D
 
 def stream_window_drift(
     rows: DataFrame, reference: DataFrame, value: str = "value", length: str = "1 day", delay: str = "1 hour",
-    thr: float = 0.2, js_thr: float = 0.05, kl_thr: float = 0.1, bins: int = 30,
+    thr: float = 0.2, js_thr: float = 0.05, kl_thr: float = 0.1, wasserstein_thr: float = 0.1, bins: int = 30,
 ) -> DataFrame:
-    """Every window and label against a frozen reference: statistic shifts, KL and JS on the reference bins.
+    """Every window and label against a frozen reference: statistic shifts, KL, JS and Wasserstein on the reference bins.
 
-    The reference is one row per label (broadcast); all bins are counted in the one streaming aggregate.
+    Only the ends of a label's bins go with the rows; all bins are counted in the one streaming aggregate, and the rest of the
+    reference (one row per label) meets the aggregate's result. The Wasserstein distance is the area between the two running shares
+    over the bins, on the reference's range scaled to 1.
     """
-    known = rows.join(F.broadcast(reference), "label")
-    timed, span = _windowed(known, length, delay=delay)
-    hit = bin_number(F.col(value), F.col("ref_min"), F.col("ref_max"), bins)
-    carried = ["ref_n", "ref_mean", "ref_std", "ref_min", "ref_max", "ref_bins", "ref_inside"]
-    timed = timed.withColumn("_hit", hit)
+    ends = reference.select("label", "ref_min", "ref_max")
+    timed, span = _windowed(rows.join(F.broadcast(ends), "label"), length, delay=delay)
+    timed = timed.withColumn("_hit", bin_number(F.col(value), F.col("ref_min"), F.col("ref_max"), bins))
     agg = timed.groupBy(span, "label").agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"),
         F.array(*[F.count(F.when(F.col("_hit") == i, 1)) for i in range(bins)]).alias("bins"),
         F.count("_hit").alias("inside"),
-        *[F.first(c).alias(c) for c in carried],
-    )
+    ).join(F.broadcast(reference), "label")
     width = F.when(F.col("ref_min") == F.col("ref_max"), 1.0).otherwise(F.col("ref_max") - F.col("ref_min")) / bins
 
     def shares(c: str, inside: str) -> Column:
@@ -192,12 +194,37 @@ def stream_window_drift(
 
     kl = total_of(lambda p, q: p * F.log(p / q))
     js = total_of(lambda p, q: (p * F.log(2 * p / (p + q)) + q * F.log(2 * q / (p + q))) / 2)
-    shifts = [relative_shift(F.col(f"ref_{s}"), F.col(s)).alias(f"{s}_shift") for s in ("mean", "std", "min", "max")]
-    out = shares_added.select(*_ends(), "label", "n", *shifts, kl.alias("kl"), js.alias("js"))
-    stat_drift = F.greatest(*[F.coalesce(F.col(f"{s}_shift") > thr, F.lit(False)) for s in ("mean", "std", "min", "max")])
-    return out.withColumn("stat_drift", stat_drift).withColumn(
-        "kl_drift", F.coalesce(F.col("kl") > kl_thr, F.lit(False))
-    ).withColumn("js_drift", F.coalesce(F.col("js") > js_thr, F.lit(False)))
+    gaps = F.zip_with("ref_bins", "bins", lambda p, q: p / F.col("ref_inside") - q / F.col("inside"))
+    start = F.struct(F.lit(0.0).alias("gap"), F.lit(0.0).alias("area"))
+    run = F.aggregate(gaps, start, lambda s, g: F.struct((s["gap"] + g).alias("gap"), (s["area"] + F.abs(s["gap"] + g)).alias("area")))
+    stats = ("mean", "std", "min", "max")
+    shifts = [relative_shift(F.col(f"ref_{s}"), F.col(s)).alias(f"{s}_shift") for s in stats]
+    out = shares_added.select(
+        *_ends(), "label", "n", *shifts, kl.alias("kl"), js.alias("js"),
+        F.when(F.col("inside") > 0, run["area"] / bins).alias("wasserstein"),
+    )
+    above = lambda c, t: F.coalesce(F.col(c) > t, F.lit(False))
+    return out.withColumns({
+        "stat_drift": F.greatest(*[above(f"{s}_shift", thr) for s in stats]),
+        "kl_drift": above("kl", kl_thr), "js_drift": above("js", js_thr), "wasserstein_drift": above("wasserstein", wasserstein_thr),
+    })
+
+
+def window_decisions(found: DataFrame, reference: DataFrame, thr: float = 0.2, decision_thr: float = 0.4) -> DataFrame:
+    """W3, on the finished windows of ``stream_window_drift``: adds the shift of each label's share (D4) and, per window, the share of
+    drifted statistics with the overall flag (D5).
+
+    A statistic (mean, deviation, minimum, maximum, class share) drifts in a window when it does for any label.
+    """
+    whole = Window.partitionBy("window_start", "window_end")
+    known = reference.select("label", (F.col("ref_n") / F.sum("ref_n").over(Window.partitionBy())).alias("_ref_share"))
+    shift = relative_shift(F.col("_ref_share"), F.col("n") / F.sum("n").over(whole))
+    out = found.join(F.broadcast(known), "label").withColumn("ratio_shift", shift)
+    flags = [F.coalesce(F.col(f"{s}_shift") > thr, F.lit(False)) for s in ("mean", "std", "min", "max", "ratio")]
+    share = sum(F.max(f).over(whole).cast("int") for f in flags) / F.lit(float(len(flags)))
+    return out.withColumn("imbalance_drift", flags[-1]).withColumn("drifted_share", share).drop("_ref_share").withColumn(
+        "drift", F.col("drifted_share") > decision_thr
+    )
 
 
 def stream_rolling_error(
@@ -211,47 +238,49 @@ def stream_rolling_error(
 
 
 class RaceStream:
-    """Prototypes of every finished window go to a table; the scores of new windows follow from it.
+    """Prototypes of every window go to a table; the scores of neighbouring windows follow from it.
 
-    A window is finished when a later one has begun. Rows of unfinished windows wait in a pending table, which holds
-    at most the rows of the newest windows. All tables are written per micro-batch id, so a repeated batch
-    overwrites its own output.
+    Rows may come in any order. Every micro-batch adds its rows to a table partitioned by window; the windows it touches are
+    selected anew from all their rows, and the newest selection of a window counts. With ``keep`` windows further than that
+    behind the newest one are closed: rows that come for them later are dropped. All tables are written per micro-batch id, so a
+    repeated batch overwrites its own output.
     """
 
-    def __init__(self, spark: SparkSession, select_prototypes, score_pairs, folder: str | None = None):
-        self.spark, self.select, self.score = spark, select_prototypes, score_pairs
+    def __init__(self, spark: SparkSession, select_prototypes, score_pairs, folder: str | None = None, keep: int | None = None):
+        self.spark, self.select, self.score, self.keep = spark, select_prototypes, score_pairs, keep
         self.folder = folder or work_path(spark, "race")
 
-    def _read(self, name: str, batch: int | None = None) -> DataFrame | None:
-        path = f"{self.folder}/{name}" + (f"/b={batch}" if batch is not None else "")
+    def _read(self, name: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(path)
+            return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}/b=*")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None  # nothing written yet
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        waiting = self._read("pending", batch_id - 1) if batch_id else None
-        rows = (batch if waiting is None else batch.unionByName(waiting)).persist()
-        newest = rows.agg(F.max("window_id")).first()[0]
-        if newest is None:
-            rows.unpersist()
-            return
-        rows.where(F.col("window_id") >= newest).write.mode("overwrite").parquet(f"{self.folder}/pending/b={batch_id}")
-        protos = self.select(rows.where(F.col("window_id") < newest))
-        protos.write.mode("overwrite").parquet(f"{self.folder}/protos/b={batch_id}")
-        rows.unpersist()
-
-    def finish(self, last_batch: int) -> None:
-        """Treat the waiting windows as complete."""
-        waiting = self._read("pending", last_batch)
-        if waiting is not None:
-            self.select(waiting).write.mode("overwrite").parquet(f"{self.folder}/protos/b={last_batch + 1}")
+        earlier = self._read("rows")
+        if self.keep is not None and earlier is not None:
+            newest = earlier.where(F.col("b") < batch_id).agg(F.max("window_id")).first()[0]
+            batch = batch if newest is None else batch.where(F.col("window_id") >= newest - self.keep)
+        batch.write.mode("overwrite").partitionBy("window_id").parquet(f"{self.folder}/rows/b={batch_id}")
+        stored = self._read("rows")
+        if stored is None or "window_id" not in stored.columns:
+            return  # an empty batch writes no partition
+        rows = stored.where(F.col("b") <= batch_id)
+        touched = rows.where(F.col("b") == batch_id).select("window_id").distinct()
+        kept = rows.join(touched, "window_id", "left_semi").select(*batch.columns)
+        self.select(kept).write.mode("overwrite").parquet(f"{self.folder}/protos/b={batch_id}")
+
+    def prototypes(self) -> DataFrame:
+        """The newest prototypes of every window."""
+        protos = self._read("protos")
+        newest = F.max("b").over(Window.partitionBy("window_id"))
+        return protos.withColumn("_newest", newest).where("b = _newest").drop("b", "_newest")
 
     def scores(self) -> DataFrame:
         """Scores of all neighbouring windows whose prototypes are known."""
-        return self.score(self._read("protos").drop("b"))
+        return self.score(self.prototypes())
 
     def run(self, stream: DataFrame) -> DataFrame:
         query = (
@@ -261,6 +290,4 @@ class RaceStream:
             .start()
         )
         query.awaitTermination()
-        last = query.lastProgress["batchId"] if query.lastProgress else 0
-        self.finish(last)
         return self.scores()
