@@ -107,20 +107,34 @@ def time_classifier(
     return fit_classifier(rows, used, "time", kind, params), rows
 
 
-def _partner(idx: Column, repeat: Column, n: int, seed: int) -> Column:
-    """Row that lends its value in a repeat: a fixed permutation of 0..n-1 per repeat (affine with a unit step)."""
-    rng = np.random.default_rng(seed)
-    steps = []
-    while len(steps) < 64:
-        a = int(rng.integers(1, max(2, n)))
-        if math.gcd(a, n) == 1:
-            steps.append((a, int(rng.integers(0, n))))
-    a = F.element_at(F.array(*[F.lit(s[0]).cast("long") for s in steps]), (repeat % len(steps)) + 1)
-    b = F.element_at(F.array(*[F.lit(s[1]).cast("long") for s in steps]), (repeat % len(steps)) + 1)
-    if n < 2_000_000_000:
-        return F.pmod(a * idx + b, F.lit(n))
-    wide = T.DecimalType(38, 0)
-    return F.pmod(a.cast(wide) * idx.cast(wide) + b, F.lit(n).cast(wide)).cast("long")
+ROUNDS, WALKS = 6, 32
+
+
+def shuffled(idx: Column, repeat: Column, n: int, seed: int) -> Column:
+    """A permutation of 0..n-1 per ``repeat``, as an expression of the position.
+
+    The position is split as ``left * wide + right`` on a grid of ``tall * wide`` cells, barely more than ``n``; Feistel rounds add
+    hashes of one half to the other, which is a bijection of the grid. A position that leaves 0..n-1 walks on until it is back:
+    at most as many cells are outside as the grid is tall, so for ``n`` up to a thousand ``WALKS`` walks always suffice, and beyond, more
+    are needed with a chance below ``n ** -16``.
+    """
+    tall = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    wide = max(1, -(-n // tall))
+
+    def turned(x: Column) -> Column:
+        start = F.struct(F.floor(x / wide).cast("long").alias("l"), F.pmod(x, F.lit(wide)).cast("long").alias("r"))
+
+        def one(acc: Column, k: Column) -> Column:
+            mixed = lambda half, m: F.pmod(F.xxhash64(F.lit(seed), repeat, k, half), F.lit(m))
+            even = k % 2 == 0
+            left = F.when(even, F.pmod(acc["l"] + mixed(acc["r"], tall), F.lit(tall))).otherwise(acc["l"])
+            right = F.when(even, acc["r"]).otherwise(F.pmod(acc["r"] + mixed(acc["l"], wide), F.lit(wide)))
+            return F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one, lambda acc: acc["l"] * wide + acc["r"])
+
+    walks = F.sequence(F.lit(1), F.lit(WALKS))
+    return F.aggregate(walks, turned(idx.cast("long")), lambda x, _: F.when(x < n, x).otherwise(turned(x)))
 
 
 def permutation_importance(
@@ -128,17 +142,17 @@ def permutation_importance(
 ) -> DataFrame:
     """``(feature, repeat, importance)`` = accuracy drop when a feature's values are shuffled.
 
-    A shuffle is a permutation of positions: every row meets its partner by an equi-join on the position, and all
-    features of the partner travel at once. Input rows need a unique ``order``.
+    A shuffle is a permutation of positions (``shuffled``), any number of them at any size: every row meets its partner by an
+    equi-join on the position, and all features of the partner travel at once. Input rows need a unique ``order``.
     """
-    if not 1 <= repeats <= 64:
-        raise ValueError("repeats must be between 1 and 64")
+    if repeats < 1:
+        raise ValueError("repeats must be positive")
     kept = rows.select(*order, *clf.features, F.col(label).cast("string").alias("_y"))
     placed = index_rows(kept.select(*dict.fromkeys([*order, *clf.features, "_y"])), order, name=ROW)
     n = placed.count()
     base = clf.predict(placed).agg(F.avg((F.col("predicted") == F.col("_y")).cast("double"))).first()[0]
     spread = placed.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    asked = spread.withColumn("_from", _partner(F.col(ROW), F.col("repeat"), n, seed))
+    asked = spread.withColumn("_from", shuffled(F.col(ROW), F.col("repeat"), n, seed))
     lent = placed.select(F.col(ROW).alias("_from"), F.struct(*clf.features).alias("_lent"))
     met = asked.join(lent, "_from")
     variants = F.array(
