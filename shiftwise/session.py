@@ -3,15 +3,39 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Gives this package to the session's Python workers, once per application: they need not be started where it lies.
+
+    Spark copies the archive to every executor, also to those that join later.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="shiftwise-")
+    try:
+        kept = shutil.ignore_patterns("__pycache__")
+        shutil.copytree(package, f"{folder}/zip/{package.name}", ignore=kept)
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/zip"))
+    finally:
+        shutil.rmtree(f"{folder}/zip", ignore_errors=True)
+    _sent.add(context.applicationId)
+
+
 def local_session(cpus: int | str = 8, name: str = "shiftwise") -> SparkSession:
-    """A local session for tests and bench; on a cluster the caller brings its own."""
-    return (
+    """A local session for tests and bench; on a cluster the caller brings its own and calls ``send_package``."""
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -23,6 +47,8 @@ def local_session(cpus: int | str = 8, name: str = "shiftwise") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    send_package(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
