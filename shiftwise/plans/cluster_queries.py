@@ -71,7 +71,7 @@ WEIGHT = ("CASE criterion WHEN 'cluster_count' THEN 0.4 WHEN 'stats' THEN 0.25 W
 @query("xmeans_per_class")
 def _xmeans(spark, sf):
     vectors = _scaled(spark, sf).withColumn("features", F.array(*FEATURES))
-    centres = clusters.xmeans_per_class(vectors, len(FEATURES), k_max=4, rounds=3)
+    centres = clusters.xmeans_per_class(vectors, len(FEATURES))
     return centres.select("side", "label", F.explode("centres").alias("c")).select(
         "side", "label", F.col("c.id").alias("cluster"), *[F.col("c.v")[i].alias(f) for i, f in enumerate(FEATURES)]
     )
@@ -121,7 +121,7 @@ def _ids(spark, sf):
 
 @query("cluster_drift_pipeline")
 def _pipeline(spark, sf):
-    found = cut_lineage(clusters.cluster_rows(_scaled(spark, sf), FEATURES, k_max=4, rounds=3))
+    found = cut_lineage(clusters.cluster_rows(_scaled(spark, sf), FEATURES))
     return clusters.cluster_drift_strength(clusters.cluster_flags(found, FEATURES))
 
 

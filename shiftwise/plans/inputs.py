@@ -107,11 +107,11 @@ VECTOR_WINDOWS = f"""vw AS (
          CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS features
   FROM embeddings)"""
 
-TREES = 16
+TREES = VECTOR_SIZE // 2
 
 
 def with_cell_leaves(rows: DataFrame) -> DataFrame:
-    """A given leaf table: 16 two-level trees, each splitting two coordinates at 0."""
+    """A given leaf table: two-level trees, each splitting two coordinates at 0; together they see all coordinates."""
     return rows.withColumn(
         "leaves",
         F.transform(

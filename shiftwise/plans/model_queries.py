@@ -8,7 +8,7 @@ from shiftwise.operators import boundary, importance, project
 from shiftwise.operators.prep import min_max_scale
 from shiftwise.operators.two_sample import feature_ranges
 from shiftwise.plans.catalog import query, rnd, rounded
-from shiftwise.plans.inputs import EVENT_FEATURES, LINE_SIDES, event_sides, line_sides, vector_windows
+from shiftwise.plans.inputs import EVENT_FEATURES, EVENT_SIDES, LINE_SIDES, VECTOR_SIZE, event_sides, line_sides, vector_windows
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 SMALL = {"max_iter": 20}
@@ -42,31 +42,31 @@ def _time(spark, sf):
 @query("permutation_importance")
 def _permutation(spark, sf):
     clf, rows = importance.time_classifier(_events(spark, sf), EVENT_FEATURES, False, "random_forest", TREES)
-    return rounded(importance.permutation_importance(clf, rows, "time", ["idx"], repeats=5))
+    return rounded(importance.permutation_importance(clf, rows, "time", ["idx"]))
 
 
 @query("kernel_shap")
 def _shap(spark, sf):
     clf, rows = importance.time_classifier(_events(spark, sf), EVENT_FEATURES, True, "random_forest", TREES)
-    return rounded(importance.kernel_shap(clf, rows, ["idx"], background=50, sample=100))
+    return rounded(importance.kernel_shap(clf, rows, ["idx"]))
 
 
 @query("lime_importance")
 def _lime(spark, sf):
     clf, rows = importance.time_classifier(_events(spark, sf), EVENT_FEATURES, True, "random_forest", TREES)
-    return rounded(importance.lime_importance(clf, rows, ["idx"], sample=50, perturbations=500))
+    return rounded(importance.lime_importance(clf, rows, ["idx"]))
 
 
 @query("drift_importance")
 def _drift(spark, sf):
     return rounded(importance.drift_importance(
-        _events(spark, sf), EVENT_FEATURES, ["idx"], kind="random_forest", params=TREES, repeats=5))
+        _events(spark, sf), EVENT_FEATURES, ["idx"], kind="random_forest", params=TREES))
 
 
 @query("predictive_importance_shift")
 def _predictive(spark, sf):
     return rounded(importance.predictive_importance_shift(
-        _events(spark, sf), EVENT_FEATURES, ["idx"], kind="random_forest", params=TREES, repeats=5))
+        _events(spark, sf), EVENT_FEATURES, ["idx"], kind="random_forest", params=TREES))
 
 
 @query("importance_ranking", """
@@ -108,14 +108,14 @@ def _models(spark, sf):
 def _grid(spark, sf):
     rows = min_max_scale(line_sides(spark, sf), FEATURES)
     plane = project.fit_pca(rows.where("side = 'after'"), FEATURES)
-    return rounded(boundary.projection_grid(rows.where("side = 'after'"), plane, grid=60))
+    return rounded(boundary.projection_grid(rows.where("side = 'after'"), plane))
 
 
 @query("grid_predictions")
 def _grid_predictions(spark, sf):
     old, _, after = _models(spark, sf)
     plane = project.fit_pca(after, EVENT_FEATURES)
-    points = boundary.projection_grid(after, plane, grid=40)
+    points = boundary.projection_grid(after, plane)
     return rounded(boundary.grid_predictions(old, points))
 
 
@@ -123,7 +123,7 @@ def _grid_predictions(spark, sf):
 def _table(spark, sf):
     old, new, after = _models(spark, sf)
     plane = project.fit_pca(after, EVENT_FEATURES)
-    points = boundary.projection_grid(after, plane, grid=40)
+    points = boundary.projection_grid(after, plane)
     raw = event_sides(spark, sf).where("side = 'before'")
     units = {r.feature: (r.m, r.c) for r in boundary.unscale_from_ranges(feature_ranges(raw, EVENT_FEATURES)).collect()}
     return rounded(boundary.disagreement_table(old, new, after, EVENT_FEATURES, points, units))
@@ -179,10 +179,10 @@ def _unscale_fitted(spark, sf):
 
 
 def _vectors(spark, sf):
-    return vector_windows(spark, sf).select("idx", "label", *[F.col("features")[i].alias(f"x{i + 1}") for i in range(8)])
+    return vector_windows(spark, sf).select("idx", "label", *[F.col("features")[i].alias(f"x{i + 1}") for i in range(VECTOR_SIZE)])
 
 
-VECTOR_FEATURES = [f"x{i + 1}" for i in range(8)]
+VECTOR_FEATURES = [f"x{i + 1}" for i in range(VECTOR_SIZE)]
 
 
 def _reduced(kind: str):
@@ -196,7 +196,8 @@ for _kind in ("pca", "lda", "fa", "ica"):
     _reduced(_kind)
 
 
-@query("feature_space_2d")
+@query("feature_space_2d", f"""WITH {EVENT_SIDES}
+SELECT value AS x, k AS y, side, label FROM ev""")
 def _space(spark, sf):
     rows = event_sides(spark, sf)
     return project.feature_space_2d(rows, EVENT_FEATURES, ["side", "label"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shiftwise.operators import prototypes, quality
 from shiftwise.plans.catalog import query, rnd, rounded
 from shiftwise.plans.inputs import (
-    VECTOR_SIZE, first_prototypes, l2_sql, shared_sql, tree_windows_sql, vector_windows, with_cell_leaves
+    TREES, VECTOR_SIZE, first_prototypes, l2_sql, shared_sql, tree_windows_sql, vector_windows, with_cell_leaves
 )
 
 BASE = tree_windows_sql()
@@ -24,11 +24,11 @@ def _protos(spark, sf):
 @query("forest_leaves")
 def _forest(spark, sf):
     rows = vector_windows(spark, sf)
-    return prototypes.forest_leaves(rows, trees=10, depth=5).select("window_id", "idx", "label", "model_label", "leaves")
+    return prototypes.forest_leaves(rows).select("window_id", "idx", "label", "model_label", "leaves")
 
 
 @query("tree_similarity", f"""WITH {BASE}
-SELECT a.window_id, a.label, a.idx, b.idx AS other, {rnd(shared_sql('a.leaves', 'b.leaves') + ' / 16.0', 'similarity')}
+SELECT a.window_id, a.label, a.idx, b.idx AS other, {rnd(shared_sql('a.leaves', 'b.leaves') + f' / {TREES}.0', 'similarity')}
 FROM tw a JOIN tw b ON a.window_id = b.window_id AND a.label = b.label""")
 def _similarity(spark, sf):
     m = prototypes.tree_similarity(_rows(spark, sf))
@@ -38,7 +38,7 @@ def _similarity(spark, sf):
 
 
 @query("tree_distance", f"""WITH {BASE}
-SELECT a.window_id, a.label, a.idx, {rnd('avg(1 - ' + shared_sql('a.leaves', 'b.leaves') + ' / 16.0)', 'mean_distance')}
+SELECT a.window_id, a.label, a.idx, {rnd('avg(1 - ' + shared_sql('a.leaves', 'b.leaves') + f' / {TREES}.0)', 'mean_distance')}
 FROM tw a JOIN tw b ON a.window_id = b.window_id AND a.label = b.label GROUP BY 1, 2, 3""")
 def _distance(spark, sf):
     d = prototypes.tree_distance(prototypes.tree_similarity(_rows(spark, sf)))
@@ -62,7 +62,7 @@ _select("prototypes_per_window", prototypes.prototypes_per_window)
 
 @query("kmeans_prototypes")
 def _kmeans(spark, sf):
-    return prototypes.kmeans_prototypes(vector_windows(spark, sf), VECTOR_SIZE, rounds=10).select("label", "proto_rank", "idx")
+    return prototypes.kmeans_prototypes(vector_windows(spark, sf), VECTOR_SIZE).select("label", "proto_rank", "idx")
 
 
 TREE_RANK = f"""{BASE},
@@ -202,7 +202,7 @@ def _mean_entropy(spark, sf):
 
 def _distribution(name: str, cond: str):
     @query(name, f"""WITH {TREE_RANK}
-SELECT window_id, CAST(proto_id AS INTEGER) AS proto_id, {rnd('avg(m / 16.0)', name)}
+SELECT window_id, CAST(proto_id AS INTEGER) AS proto_id, {rnd('avg(m / {TREES}.0)', name)}
 FROM rk WHERE {cond} GROUP BY 1, 2""")
     def _run(spark, sf):
         d = quality.distribution_similarity(_rows(spark, sf), _protos(spark, sf))
