@@ -164,11 +164,13 @@ def xmeans_per_class(
     """X-means for every (side, label) at once: ``(side, label, centres)``.
 
     The driver holds at most ``k_max`` centres per group. Every Lloyd round of all groups, and of all trial splits,
-    is one job over the rows; a split stays when it raises the information score of its parent.
+    is one job over the rows; a split stays when it raises the information score of its parent. Rows with a null or NaN
+    among their features take no part.
     """
     if not 1 <= k_init <= k_max:
         raise ValueError("need 1 <= k_init <= k_max")
     spark = rows.sparkSession
+    rows = rows.where(F.forall("features", lambda v: v.isNotNull() & ~F.isnan(v.cast("double"))))
     groups = [tuple(r) for r in rows.select(*GROUP).distinct().orderBy(*GROUP).collect()]  # classes x sides
     named = spark.createDataFrame([(*k, g) for g, k in enumerate(groups)], "side string, label string, g int")
     work = rows.join(F.broadcast(named), GROUP).select("g", "features").persist()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftwise.functions.columns import unpivot_stats
-from shiftwise.functions.numeric import anderson_darling_sigma
+from shiftwise.functions.numeric import anderson_darling_sigma, ks_exact_p
 from shiftwise.operators.ordered import index_rows, prefix_sums
 from shiftwise.operators.prep import min_max_value
 from shiftwise.operators.profile import bin_number, long_form
@@ -22,6 +22,8 @@ from shiftwise.session import cut_lineage
 
 GROUP = ["label", "feature"]
 EPS = 1e-10
+EXACT_ROWS = 500  # of the larger side, up to which KS p-values are exact
+# The names of the tests.
 ALL_TESTS = [
     "kolmogorov_smirnov", "kullback_leibler", "wasserstein", "jensen_shannon", "spearman", "anderson_darling"
 ]
@@ -84,10 +86,23 @@ def cdf_summary(cdfs: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.DoubleType())
+def _ks_exact(n1: pd.Series, n2: pd.Series, distance: pd.Series) -> pd.Series:
+    return pd.Series([ks_exact_p(int(a), int(b), float(d)) for a, b, d in zip(n1, n2, distance)], dtype=float)
+
+
 def ks_test(summary: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Largest distance of the two step functions; p from the limit distribution (asymptotic form)."""
+    """Largest distance of the two step functions.
+
+    The p-value is exact where no side has more than ``EXACT_ROWS`` rows, else from the limit distribution.
+    """
     size = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
-    out = summary.withColumn("stat", F.col("distance")).withColumn("p_value", kolmogorov_tail(size * F.col("stat")))
+    small = (F.greatest("n1", "n2") <= EXACT_ROWS) & (F.least("n1", "n2") > 0)
+    # Only small sides reach the exact count: the others come as empty ones.
+    exact = _ks_exact(*[F.when(small, F.col(c)).otherwise(0) for c in ("n1", "n2")], F.coalesce("distance", F.lit(0.0)))
+    out = summary.withColumn("stat", F.col("distance")).withColumn(
+        "p_value", F.when(small, exact).otherwise(kolmogorov_tail(size * F.col("stat")))
+    )
     return _result(out, "kolmogorov_smirnov", F.col("p_value") < alpha)
 
 

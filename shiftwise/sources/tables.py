@@ -29,8 +29,11 @@ def as_labelled(
     target: str,
     features: list[str] | None = None,
     keep: list[str] | None = None,
+    unlabelled: bool = True,
 ) -> DataFrame:
-    """Columns ``keep``, ``label string`` and the features as doubles; NaN becomes null, null labels are dropped.
+    """Columns ``keep``, ``label string`` and the features as doubles; NaN becomes null.
+
+    Rows without a label stay, with a null label, unless ``unlabelled`` is false.
 
     Where no features are named, all numeric columns are taken; named ones may also be text that holds numbers.
     """
@@ -41,7 +44,8 @@ def as_labelled(
     if features is None:
         candidates = [c for c in candidates if isinstance(df.schema[c].dataType, T.NumericType)]
     chosen = select_features(candidates, features)
-    return df.where(F.col(target).isNotNull()).select(
+    rows = df if unlabelled else df.where(F.col(target).isNotNull())
+    return rows.select(
         *keep, F.col(target).cast("string").alias("label"), *[clean_double(c).alias(c) for c in chosen]
     )
 
@@ -54,9 +58,10 @@ def load_labelled(
     keep: list[str] | None = None,
     fmt: str | None = None,
     schema: str | None = None,
+    unlabelled: bool = True,
 ) -> DataFrame:
     """Read a file and split off its label column."""
-    return as_labelled(read_table(spark, path, fmt, schema), target, features, keep)
+    return as_labelled(read_table(spark, path, fmt, schema), target, features, keep, unlabelled)
 
 
 def x_y_split_by_name(columns: list[str]) -> tuple[list[str], list[str]]:

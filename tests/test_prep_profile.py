@@ -188,11 +188,12 @@ def test_sources(spark, table, tmp_path):
     path = str(tmp_path / "t.csv")
     df.write.csv(path, header=True)
     got = load_labelled(spark, path, "cls", ["x", "nope"], ["id"])
-    assert got.columns == ["id", "label", "x"] and {r.id: r.x for r in got.collect()} == {1: None, 2: 2.0}
+    assert got.columns == ["id", "label", "x"] and {r.id: r.x for r in got.collect()} == {1: None, 2: 2.0, 3: 1.0}
     with pytest.raises(ValueError):
         as_labelled(df, "missing")
     typed = df.withColumn("day", F.current_date()).withColumn("at", F.current_timestamp().cast("timestamp_ntz"))
-    assert as_labelled(typed, "cls").columns == ["label", "id", "x"] and as_labelled(typed, "cls").count() == 2
+    assert as_labelled(typed, "cls").columns == ["label", "id", "x"] and as_labelled(typed, "cls").count() == 3
+    assert as_labelled(typed, "cls", unlabelled=False).count() == 2
     assert as_labelled(typed, "cls", ["y"]).orderBy("y").first().y == 3.0
     reg = DatasetRegistry(spark, str(tmp_path / "reg"))
     reg.save("my set", df, "cls", ["x"])

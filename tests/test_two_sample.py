@@ -131,3 +131,25 @@ def test_variance_term_is_one_formula_at_every_size():
     for n in (1_000_000, 5_000_000):
         at = [anderson_darling_sigma(n // 2 + k, n // 2) for k in (-2, -1, 0, 1, 2)]
         assert max(at) - min(at) < 1e-6
+
+
+def test_exact_ks():
+    """Equal sizes against the reflection formula, unequal ones against all orders of the joint sample."""
+    from itertools import combinations
+    from math import comb
+
+    from shiftwise.functions.numeric import ks_exact_p
+
+    for n in range(5, 21):
+        for k in range(1, n + 1):
+            want = 2 * sum((-1) ** (i - 1) * comb(2 * n, n - i * k) for i in range(1, n // k + 1)) / comb(2 * n, n)
+            assert abs(ks_exact_p(n, n, k / n) - want) < 1e-12
+    assert round(ks_exact_p(10, 10, 0.7), 4) == 0.0123 and round(ks_exact_p(5, 5, 0.8), 4) == 0.0794
+    for a, b in ((3, 5), (4, 6), (2, 7)):
+        found = []
+        for mine in combinations(range(a + b), a):
+            i = np.cumsum(np.isin(np.arange(a + b), mine))
+            found.append(np.abs(i / a - (np.arange(1, a + b + 1) - i) / b).max())
+        for d in {round(x, 12) for x in found}:
+            assert abs(ks_exact_p(a, b, d) - np.mean(np.array(found) >= d - 1e-9)) < 1e-12
+    assert abs(ks_exact_p(500, 500, 0.09) - 0.0347) < 0.002 and ks_exact_p(0, 4, 0.5) == 1.0
