@@ -230,6 +230,17 @@ def test_maxscore_against_brute_force(spark):
     assert maxscore.top_k(df.limit(0), "vec_id", "v", F.lit(True), 5).count() == 0
 
 
+def test_maxscore_of_huge_components(spark):
+    rows = [(i, [float(10 ** (i % 19)), -(10.0 ** (i % 7)), 3.0]) for i in range(60)] + [(60, [1e300, 1.0, 0.0]), (61, [-1e300, 2.0, 0.0])]
+    got = collections.defaultdict(list)
+    for r in maxscore.top_k(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v", F.col("vec_id") % 10 == 0, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 61, 10):
+        exact = {i: sum(int(a) * int(b) for a, b in zip(rows[q][1], v)) for i, v in rows if i != q}
+        want = sorted(exact, key=lambda i: (-exact[i], i))[:5]
+        assert got[q] == [(i, max(-(2**63), min(2**63 - 1, exact[i]))) for i in want]
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 64))
