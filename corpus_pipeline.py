@@ -31,8 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard.jaccard_components(docs, width=5, percent=80)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    one = kept.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    order = ["text", *(f"`{f.name}`" for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString())]
+    (number,) = unused(docs.columns, "place")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    one = kept.withColumn(number, place).where(F.col(number) == 1).select(*docs.columns)
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -47,7 +49,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: weights 5, 2, 1 in turn, 150 % of all words, at most twice each."""
-    return mixing.repeated(mixing.mix_sources(docs, weights=(5, 2, 1), share=1.5, cap=2.0))
+    # The mix orders rows by all their columns and adds some: maps go as their entries, and all under names of their own.
+    maps = {f.name for f in docs.schema if f.dataType.typeName() == "map"}
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[(F.map_entries(F.col(f"`{c}`")) if c in maps else F.col(f"`{c}`")).alias(n) for c, n in names.items()])
+    mixed = mixing.mix_sources(plain, weights=(5, 2, 1), share=1.5, cap=2.0, doc=names["doc_id"], text=names["text"], source=names["source"])
+    back = mixing.repeated(mixed)
+    return back.select(*[(F.map_from_entries(n) if c in maps else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
