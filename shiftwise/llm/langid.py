@@ -229,7 +229,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         return None
     share = min(docs_per_lang, max(1, docs_in_all // n)) / F.col("n")
     drawn = F.pmod("h", F.lit(1 << 30))
-    chosen = rows.join(counts, "lang").where((drawn / float(1 << 30) < share) | (drawn <= F.col("first.draw"))).select("lang", "text", "h")
+    # One row per language: no more than the model, which the driver holds as well. So no text is shuffled.
+    chosen = rows.join(F.broadcast(counts), "lang").where((drawn / float(1 << 30) < share) | (drawn <= F.col("first.draw"))).select("lang", "text", "h")
 
     def features(batches):
         for batch in batches:
