@@ -729,3 +729,27 @@ def test_pipeline(spark):
     assert mix.columns == df.columns and set(collections.Counter(r.doc_id for r in mix.collect()).values()) <= {1, 2}
     out = corpus_pipeline.tokens(spark, mix, "")
     assert out.count() == mix.count() and all(len(r.ids) == r.n_tokens for r in out.collect())
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """Columns named like those the stages add, one of them a map, come out as they went in."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    words_of = {"en": "the of and with river stone morning light".split(), "fr": "le la les avec été rivière pierre matin".split()}
+    extra = ["lang_rejected", "LANG_PRED", "pii_spans", "pii_text", "_place", "place", "_copies", "_size", "shard", "c0", "_k1"]
+    rows = []
+    for i in range(80):
+        lang = "en" if i % 2 else "fr"
+        body = " ".join(rng.choice(words_of[lang]) for _ in range(40)) + (f" a{i}@b.example.com" if i % 5 == 0 else "")
+        rows.append((i, body, lang, f"s{i % 3}", len(body), *[f"{c}{i}" for c in extra], {"k": i}))
+    fields = ", ".join(f"`{c}` string" for c in extra)
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {fields}, m map<string,int>")
+    at = df
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        at = stage(spark, at, "")
+        assert at.columns == df.columns, name
+        at = spark.createDataFrame(at.collect(), df.schema)
+    got = at.collect()
+    assert got and all(r.m == {"k": r.doc_id} and all(r[c] == f"{c}{r.doc_id}" for c in extra) for r in got)
+    assert not any("@" in r.text for r in got)
