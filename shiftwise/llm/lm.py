@@ -49,12 +49,12 @@ END, START = np.uint64(1), np.uint64(2)  # take the place of hashes
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers in the smallest type that holds them, compressed."""
+    """Arrays of whole numbers in the smallest type that holds them, all lowest bytes first, then the next ones, compressed."""
     out = []
     for a in arrays:
         top = int(a.max()) if len(a) else 0
         kind = next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 1 << (8 * int(t[2])))
-        body = a.astype(kind).tobytes()
+        body = a.astype(kind).view("u1").reshape(len(a), int(kind[2])).T.tobytes()
         out += [kind.encode(), len(body).to_bytes(8, "little"), body]
     return zstandard.compress(b"".join(out), 1)
 
@@ -63,11 +63,25 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.decompress(data), 0, []
     while at < len(raw):
         kind, size = raw[at : at + 3].decode(), int.from_bytes(raw[at + 3 : at + 11], "little")
-        out.append(np.frombuffer(raw, kind, size // int(kind[2]), at + 11))
+        width = int(kind[2])
+        planes = np.frombuffer(raw, "u1", size, at + 11).reshape(width, size // width)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += 11 + size
     return out
 
 
+def gaps(a: np.ndarray) -> np.ndarray:
+    """Steps of an ascending sequence, the first value in front: small numbers, which pack well. ``np.cumsum`` undoes it."""
+    return np.diff(a.astype(np.int64), prepend=0)
+
+
+def after_gaps(steps: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Sequences one after the other, each from its own steps."""
+    total = np.cumsum(steps, dtype=np.int64)
+    first = np.cumsum(runs, dtype=np.int64) - runs
+    return total - np.repeat(total[first] - steps[first].astype(np.int64), runs)
+
+
 class EliasFano:
     """Monotone sequence: the low bits packed, the high bits in unary; ``store`` places an array in the trie's file."""
 
@@ -185,11 +199,14 @@ class Trie:
         return out, at
 
 
-BLOCK = "block long, ids array<long>, sizes binary, train binary, codes binary, order binary, hashes binary, n_words long, n_pairs long"
+BLOCK = (
+    "block long, ids array<long>, sizes binary, train binary, codes binary, order binary, hashes binary, counts binary, n_words long, n_pairs long, kind string"
+)
 
 
 def tokenised(df: DataFrame, text: str, ident: str, train: str) -> DataFrame:
-    """Blocks of documents; the numbers of words and distinct pairs are for sizing the shards."""
+    """Two rows a block, by ``kind``: the ``text`` of its documents, with the numbers of words and pairs for sizing the shards, and its
+    ``words``, hashes in order with training counts (starts count once a document), which are needed only until they are counted."""
     slim = df.select(F.col(ident).alias("id"), F.col(text).alias("text"), F.col(train).alias("train"))
 
     def run(batches):
@@ -208,16 +225,18 @@ def tokenised(df: DataFrame, text: str, ident: str, train: str) -> DataFrame:
                 rank[by] = np.arange(len(by))
                 hashed = hashed[by]
                 order = np.argsort(hashed)
+                learn = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+                times = np.bincount(seq[np.repeat(learn, sizes + 1)], minlength=len(hashed))
+                times[1] = learn.sum()
+                number = (TaskContext.get().partitionId() << 32) + made
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([(TaskContext.get().partitionId() << 32) + made], pa.int64()),
-                        pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
-                        pa.array([packed(sizes)], pa.binary()), pa.array([packed(part.column("train").to_numpy(zero_copy_only=False))], pa.binary()),
-                        pa.array([packed(rank[seq])], pa.binary()), pa.array([packed(order)], pa.binary()),
-                        pa.array([packed(hashed[order])], pa.binary()),
-                        pa.array([len(hashed)], pa.int64()), pa.array([len(seq)], pa.int64()),
+                        pa.array([number, number], pa.int64()), pa.array([part.column("id").to_pylist(), None], pa.list_(pa.int64())),
+                        *(pa.array([packed(a), None], pa.binary()) for a in (sizes, learn, rank[seq], order)),
+                        *(pa.array([None, packed(a)], pa.binary()) for a in (hashed[order], times[by][order])),
+                        pa.array([len(hashed), None], pa.int64()), pa.array([len(seq), None], pa.int64()), pa.array(["text", "words"]),
                     ],
-                    names=["block", "ids", "sizes", "train", "codes", "order", "hashes", "n_words", "n_pairs"],
+                    names=["block", "ids", "sizes", "train", "codes", "order", "hashes", "counts", "n_words", "n_pairs", "kind"],
                 )
                 made += 1
 
@@ -248,30 +267,27 @@ class Block:
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes.astype(np.int64) + 1)
         self.learned = self.train[self.doc]
 
-    def train_counts(self) -> np.ndarray:
-        """In the order of the sorted hashes; starts count once a document."""
-        n = np.bincount(self.seq[self.learned], minlength=len(self.order))
-        n[self.order[1]] = self.train.sum()  # the start's hash is the second smallest
-        return n[self.order]
-
-    def numbered(self, shards: list) -> None:
+    def numbered(self, answers: list, shards: int) -> None:
         """Global word numbers and training counts, from the word shards' answers."""
         self.number, self.count = np.empty(len(self.order), np.int64), np.empty(len(self.order), np.int64)
-        got = [unpacked(s["answer"]) for s in sorted(shards, key=lambda s: s["shard"])]
-        self.number[self.order] = np.concatenate([g[0].astype(np.int64) for g in got])
-        self.count[self.order] = np.concatenate([g[1].astype(np.int64) for g in got])
+        got = [(s["shard"], *unpacked(s["answer"])) for s in sorted(answers, key=lambda s: s["shard"])]
+        self.number[self.order] = np.concatenate([np.cumsum(place, dtype=np.int64) * shards + shard for shard, place, _ in got])
+        self.count[self.order] = np.concatenate([count.astype(np.int64) for _, _, count in got])
 
     def climb(self, prior: float, tokens: int, types: int) -> None:
         """Order one: each token's log-probability, and the number and count of the n-gram that ends there."""
         self.prior = prior
-        self.begins = int(self.count[self.order[1]])
+        self.begins = int(self.count[self.order[1]])  # the start's hash is the second smallest
         self.log10 = np.log10(unigram(self.count, tokens, types)).astype(np.float32)[self.seq]
         self.gram = np.where(self.count > 0, self.number + BEGIN + 1, 0)[self.seq]
         self.times = small(self.count)[self.seq]
 
     def pairs(self, shards: int):
-        """Distinct pairs of a learned context and a word, ordered by shard, context and word; the first place of each shard."""
+        """Distinct pairs of a learned context and a word, ordered by shard, context and the word's number; the first place of each shard."""
         size = len(self.order)
+        by_number = np.argsort(self.number, kind="stable")
+        place = np.empty(size, np.int32)
+        place[by_number] = np.arange(size, dtype=np.int32)
         first = np.cumsum(self.sizes.astype(np.int64) + 1) - self.sizes.astype(np.int64) - 1
         context, self.above = np.roll(self.gram, 1), np.roll(self.times, 1)
         context[first], self.above[first] = BEGIN if self.begins else 0, self.begins
@@ -279,13 +295,13 @@ class Block:
         heads, h = np.unique(context[self.rows], return_inverse=True)
         del context
         h *= size
-        h += self.seq[self.rows]
+        h += place[self.seq[self.rows]]
         key, at = np.unique(h, return_inverse=True)
         del h
         at = small(at)
         one = np.empty(len(key), np.int32)
         one[at] = np.arange(len(at), dtype=np.int32)  # a token of each pair: they share what is known of the pair
-        h, w = heads[key // size], key % size
+        h, w = heads[key // size], by_number[key % size]
         mixed = words.mix(words.mix(h.astype(np.uint64)) + self.number[w].astype(np.uint64))
         shard = words.part_of(mixed, shards)
         by = np.argsort(shard, kind="stable")
@@ -294,9 +310,18 @@ class Block:
         self.at = place[at]
         return h[by], w[by], self.rows[one[by]], np.searchsorted(shard[by], np.arange(shards + 1))
 
-    def answered(self, shards: list) -> None:
+    def answered(self, answers: list, shards: int) -> None:
         """The next order's log-probabilities, numbers and counts from the shards' answers to ``pairs``; at the top order only the first."""
-        got = [unpacked(s["answer"]) for s in sorted(shards or [], key=lambda s: s["shard"])]
+        got = []
+        for s in sorted(answers or [], key=lambda s: s["shard"]):
+            code, *more = unpacked(s["answer"])
+            if more:  # of the learned pairs
+                found, place, total = code != ABSENT, *more
+                number, times = np.zeros(len(code), np.int64), np.zeros(len(code), total.dtype)
+                number[found] = np.cumsum(place, dtype=np.int64) * shards + s["shard"] + BEGIN + 1
+                times[found] = total
+                more = number, times
+            got.append((code, *more))
         self.gram, self.times = np.zeros(len(self.seq), np.int64), np.zeros(len(self.seq), np.int32)
         if not got:
             return
@@ -308,21 +333,20 @@ class Block:
             self.gram[self.rows], self.times[self.rows] = more
 
 
-def climbed(row: dict, level: int, shards: int, prior: float, tokens: int, types: int) -> Block:
+def climbed(row: dict, level: int, word_shards: int, shards: int, prior: float, tokens: int, types: int) -> Block:
     """A block that knows all orders up to ``level``."""
     b = Block(row)
-    b.numbered(row["known"])
+    b.numbered(row["known"], word_shards)
     b.climb(prior, tokens, types)
     for k in range(2, level + 1):
         b.pairs(shards)
-        b.answered(row[f"found{k}"])
+        b.answered(row[f"found{k}"], shards)
     return b
 
 
 def sent_words(shards: int, batches):
     for row in one_by_one(batches):
-        hashed, = unpacked(row["hashes"])
-        counts = Block(row).train_counts()
+        (hashed,), (counts,) = unpacked(row["hashes"]), unpacked(row["counts"])
         cut = np.searchsorted(words.part_of(hashed, shards), np.arange(shards + 1))
         at = np.flatnonzero(np.diff(cut))
         yield pa.RecordBatch.from_arrays(
@@ -334,15 +358,16 @@ def sent_words(shards: int, batches):
         )
 
 
-def counted_words(shards: int, key, table):
+def counted_words(key, table):
+    """Each block gets its words' places in the shard and their counts; ``place * shards + shard`` is a word's number."""
     shard = key[0].as_py()
     blocks = table.column("block").to_pylist()
     data = [unpacked(d) for d in table.column("data").to_pylist()]
     distinct, at = np.unique(np.concatenate([d[0].astype(np.uint64) for d in data]), return_inverse=True)
     total = np.bincount(at, np.concatenate([d[1] for d in data]).astype(float), len(distinct)).astype(np.int64)
-    number, cuts = np.arange(len(distinct)) * shards + shard, np.cumsum([0, *(len(d[0]) for d in data)])
+    cuts = np.cumsum([0, *(len(d[0]) for d in data)])
     ordinary = distinct != START
-    answers = [packed(number[at[a:b]], total[at[a:b]]) for a, b in zip(cuts, cuts[1:])]
+    answers = [packed(gaps(at[a:b]), total[at[a:b]]) for a, b in zip(cuts, cuts[1:])]
     n = len(blocks)
     once = lambda v: pa.array([int(v)] + [0] * (n - 1), pa.int64())
     return pa.table({
@@ -355,10 +380,10 @@ def unigram(count: np.ndarray, tokens: int, types: int) -> np.ndarray:
     return (count + 0.5) / (tokens + 0.5 * (types + 1))
 
 
-def sent_pairs(level: int, first: int, last: int, shards: int, prior: float, tokens: int, types: int, batches):
+def sent_pairs(level: int, first: int, last: int, word_shards: int, shards: int, prior: float, tokens: int, types: int, batches):
     """The pairs of shards ``first`` up to before ``last``."""
     for row in one_by_one(batches):
-        b = climbed(row, level - 1, shards, prior, tokens, types)
+        b = climbed(row, level - 1, word_shards, shards, prior, tokens, types)
         h, w, one, cut = b.pairs(shards)
         seen = np.bincount(b.at[b.learned[b.rows]], minlength=len(h))
         lower = np.where(seen > 0, coded(b.log10[one]), 0)
@@ -369,7 +394,10 @@ def sent_pairs(level: int, first: int, last: int, shards: int, prior: float, tok
             part = slice(cut[s], cut[s + 1])
             change = np.flatnonzero(np.diff(h[part], prepend=-1))
             runs = np.diff(np.append(change, cut[s + 1] - cut[s]))
-            out.append(packed(h[part][change], runs, b.above[one[part]][change], b.number[w[part]], seen[part], lower[part]))
+            number = b.number[w[part]]
+            step = gaps(number)
+            step[change] = number[change]  # every context begins afresh
+            out.append(packed(gaps(h[part][change]), runs, b.above[one[part]][change], step, seen[part], lower[part]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(kept, pa.int32()), pa.array([row["block"]] * len(kept), pa.int64()), pa.array(out, pa.binary())],
             names=["shard", "block", "data"],
@@ -380,13 +408,16 @@ def coded(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, ABSENT - 1).astype(np.int64)
 
 
-def scored_pairs(last: bool, shards: int, prior: float, key, table):
+def scored_pairs(last: bool, prior: float, key, table):
+    """Each block gets its pairs' codes and, below the top order, the places and counts of the learned ones; ``place * shards + shard``,
+    after the numbers taken, is a learned pair's number."""
     shard = key[0].as_py()
     blocks = table.column("block").to_pylist()
     data = [unpacked(d) for d in table.column("data").to_pylist()]
     cat = lambda i: np.concatenate([d[i] for d in data]).astype(np.int64)
     runs = cat(1)
-    context, above, word, seen = np.repeat(cat(0), runs), np.repeat(cat(2), runs), cat(3), cat(4)
+    heads = np.concatenate([np.cumsum(d[0], dtype=np.int64) for d in data])
+    context, above, word, seen = np.repeat(heads, runs), np.repeat(cat(2), runs), after_gaps(cat(3), runs), cat(4)
     lower = 10 ** (-STEP * cat(5))
     learned = np.flatnonzero(seen > 0)
     learned = learned[np.lexsort((word[learned], context[learned]))]
@@ -396,22 +427,22 @@ def scored_pairs(last: bool, shards: int, prior: float, key, table):
     one = learned[first]
     trie = Trie(context[one], word[one], np.log10((total + prior * lower[one]) / (above[one] + prior)))
     codes, place = trie.find(context, word)
-    answer = [codes]
-    if not last:
-        answer += [np.where(place < 0, 0, place * shards + shard + BEGIN + 1), np.append(total, 0)[place]]
     cuts = np.cumsum([0, *(len(d[3]) for d in data)])
+    answers = []
+    for a, b in zip(cuts, cuts[1:]):
+        found = place[a:b][place[a:b] >= 0]
+        answers.append(packed(codes[a:b]) if last else packed(codes[a:b], gaps(found), total[found]))
     return pa.table({
-        "shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()),
-        "answer": pa.array([packed(*(x[a:b] for x in answer)) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+        "shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "answer": pa.array(answers, pa.binary()),
     })
 
 
 SCORES = "id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def document_scores(order: int, shards: int, prior: float, tokens: int, types: int, batches):
+def document_scores(order: int, word_shards: int, shards: int, prior: float, tokens: int, types: int, batches):
     for row in one_by_one(batches):
-        b = climbed(row, order, shards, prior, tokens, types)
+        b = climbed(row, order, word_shards, shards, prior, tokens, types)
         p = unigram(b.count, tokens, types)
         n = len(b.sizes)
         add = lambda v: np.bincount(b.doc, v, n)  # noqa: E731, B023
@@ -436,6 +467,11 @@ def shuffles_dropped(spark):
         spark.conf.set(name, before)
 
 
+def emptied(spark, path: str) -> None:
+    """A table that nothing reads any more gives its disk back."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+
+
 def by_block(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias(name))
 
@@ -456,32 +492,36 @@ def score_texts(
     root = work_path(spark, "lm")
     flagged = df.select(ident, text, F.coalesce(train, F.lit(False)).alias("_train"))
     with shuffles_dropped(spark):
-        tokenised(flagged, text, ident, "_train").write.parquet(f"{root}/blocks")
-        blocks = spark.read.parquet(f"{root}/blocks")
+        tokenised(flagged, text, ident, "_train").write.partitionBy("kind").parquet(f"{root}/blocks")
+        made = spark.read.schema(BLOCK).parquet(f"{root}/blocks")
+        blocks = made.where("kind = 'text'").drop("kind", "hashes", "counts")
         total = blocks.agg(F.sum("n_words"), F.sum("n_pairs")).first()
         word_shards = max(1, -(-(total[0] or 0) // words_per_shard))
         pair_shards = max(1, -(-(total[1] or 0) // pairs_per_shard))
         keyed = "shard int, block long, data binary"
-        sent = blocks.select("block", "sizes", "train", "codes", "order", "hashes").mapInArrow(words.tidy(partial(sent_words, word_shards)), keyed)
+        sent = made.where("kind = 'words'").select("block", "hashes", "counts").mapInArrow(words.tidy(partial(sent_words, word_shards)), keyed)
         counted = sent.groupBy("shard").applyInArrow(
-            partial(counted_words, word_shards), "shard int, block long, answer binary, types long, tokens long"
+            counted_words, "shard int, block long, answer binary, types long, tokens long"
         )
         counted.write.parquet(f"{root}/words")
+        emptied(spark, f"{root}/blocks/kind=words")
         counted = spark.read.parquet(f"{root}/words")
         types, tokens = (int(x or 0) for x in counted.agg(F.sum("types"), F.sum("tokens")).first())
         known = blocks.select("block", "ids", "sizes", "train", "codes", "order").join(by_block(counted, "known"), "block")
-        how = (pair_shards, prior, tokens, types)
+        how = (word_shards, pair_shards, prior, tokens, types)
         for level in range(2, order + 1):
             # Portions of the shards one after the other: only one portion's pairs are on disk as shuffle files.
             bounds = [pair_shards * i // portions for i in range(portions + 1)]
             for first, last in zip(bounds, bounds[1:]):
                 if first < last:
                     sent = known.drop("ids").mapInArrow(words.tidy(partial(sent_pairs, level, first, last, *how)), keyed)
-                    found = sent.groupBy("shard").applyInArrow(partial(scored_pairs, level == order, *how[:2]), "shard int, block long, answer binary")
+                    found = sent.groupBy("shard").applyInArrow(partial(scored_pairs, level == order, prior), "shard int, block long, answer binary")
                     found.write.mode("append").parquet(f"{root}/pairs{level}")
             # A block without a learned context has no answers.
             known = known.join(by_block(spark.read.parquet(f"{root}/pairs{level}"), f"found{level}"), "block", "left")
         known.mapInArrow(words.tidy(partial(document_scores, order, *how)), SCORES).write.parquet(f"{root}/scores")
+    for table in ("blocks", "words", *(f"pairs{level}" for level in range(2, order + 1))):
+        emptied(spark, f"{root}/{table}")
     scores = spark.read.parquet(f"{root}/scores")
     return scores.select(F.col("id").alias(ident), F.lit(tokens).cast("long").alias("train_tokens"), "n_tokens", "n_known", "base_score", "score")
 
