@@ -40,7 +40,7 @@ from shiftwise.session import work_path
 BLOCK_BYTES = 12 << 20
 WORDS_PER_SHARD, PAIRS_PER_SHARD = 1_000_000, 1_500_000
 ORDER = 3  # of the query
-PORTIONS = 2  # in which an order's pairs are exchanged
+PORTIONS = 1  # in which an order's pairs are exchanged
 PRIOR = 100.0
 STEP = 0.04  # of the quantised log10 probabilities
 ABSENT = 255
@@ -279,7 +279,7 @@ class Block:
         self.prior = prior
         self.begins = int(self.count[self.order[1]])  # the start's hash is the second smallest
         self.log10 = np.log10(unigram(self.count, tokens, types)).astype(np.float32)[self.seq]
-        self.gram = np.where(self.count > 0, self.number + BEGIN + 1, 0)[self.seq]
+        self.gram, self.numbers = self.seq, np.where(self.count > 0, self.number + BEGIN + 1, 0)
         self.times = small(self.count)[self.seq]
 
     def pairs(self, shards: int):
@@ -289,10 +289,12 @@ class Block:
         place = np.empty(size, np.int32)
         place[by_number] = np.arange(size, dtype=np.int32)
         first = np.cumsum(self.sizes.astype(np.int64) + 1) - self.sizes.astype(np.int64) - 1
-        context, self.above = np.roll(self.gram, 1), np.roll(self.times, 1)
-        context[first], self.above[first] = BEGIN if self.begins else 0, self.begins
-        self.rows = small(np.flatnonzero(context))  # tokens after a learned context
-        heads, h = np.unique(context[self.rows], return_inverse=True)
+        heads, rank = np.unique(np.append(self.numbers, BEGIN if self.begins else 0), return_inverse=True)
+        rank = small(rank)
+        context, self.above = np.roll(rank[self.gram], 1), np.roll(self.times, 1)
+        context[first], self.above[first] = rank[-1], self.begins
+        self.rows = small(np.flatnonzero(heads[context]))  # tokens after a learned context
+        h = context[self.rows].astype(np.int64)
         del context
         h *= size
         h += place[self.seq[self.rows]]
@@ -304,7 +306,7 @@ class Block:
         h, w = heads[key // size], by_number[key % size]
         mixed = words.mix(words.mix(h.astype(np.uint64)) + self.number[w].astype(np.uint64))
         shard = words.part_of(mixed, shards)
-        by = np.argsort(shard, kind="stable")
+        by = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         place = np.empty(len(by), np.int32)
         place[by] = np.arange(len(by), dtype=np.int32)
         self.at = place[at]
@@ -322,15 +324,18 @@ class Block:
                 times[found] = total
                 more = number, times
             got.append((code, *more))
-        self.gram, self.times = np.zeros(len(self.seq), np.int64), np.zeros(len(self.seq), np.int32)
+        self.gram, self.times, self.numbers = np.zeros(len(self.seq), np.int32), np.zeros(len(self.seq), np.int32), np.zeros(1, np.int64)
         if not got:
             return
-        code, *more = (np.concatenate(x)[self.at] for x in zip(*got))
+        code, *more = (np.concatenate(x) for x in zip(*got))
+        code = code[self.at]
         backed = np.log10(self.prior) + self.log10[self.rows] - np.log10(self.above[self.rows] + self.prior)
         self.log10[self.rows] = np.where(code == ABSENT, backed, -STEP * code.astype(np.float32))
         if more:
-            self.times = self.times.astype(np.int64) if more[1].dtype.itemsize > 4 else self.times
-            self.gram[self.rows], self.times[self.rows] = more
+            number, times = more
+            self.times = self.times.astype(np.int64) if times.dtype.itemsize > 4 else self.times
+            self.numbers = np.append(0, number)  # place 0 is for tokens that end no pair
+            self.gram[self.rows], self.times[self.rows] = self.at + 1, times[self.at]
 
 
 def climbed(row: dict, level: int, word_shards: int, shards: int, prior: float, tokens: int, types: int) -> Block:
