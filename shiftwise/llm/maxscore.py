@@ -51,13 +51,22 @@ def block_top_k(query: np.ndarray, columns: np.ndarray, low: np.ndarray, high: n
 LARGEST = np.iinfo(np.int64).max
 
 
+def sortable(x: int) -> bytes:
+    """Bytes that sort like whole numbers of any size."""
+    size = x.bit_length() // 8 + 1
+    body = size.to_bytes(4, "big") + abs(x).to_bytes(size, "big")
+    return b"\1" + body if x >= 0 else b"\0" + bytes(255 - b for b in body)
+
+
 def exact_top_k(query: np.ndarray, rows: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int):
-    """The same for components whose products don't fit 64 bits: whole numbers of any size. Scores beyond a long are held at its ends."""
+    """The same for components whose products don't fit 64 bits: whole numbers of any size. Scores beyond a long are held at its ends, with
+    bytes that sort like the number itself."""
     at = np.flatnonzero(allowed)
     whole = [int(x) for x in query]
     scores = [sum(a * int(b) for a, b in zip(whole, rows[r])) for r in at]
     best = sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]]))[:k]
-    return at[best], np.array([max(-LARGEST - 1, min(LARGEST, scores[i])) for i in best], np.int64)
+    held = np.array([max(-LARGEST - 1, min(LARGEST, scores[i])) for i in best], np.int64)
+    return at[best], held, [sortable(scores[i]) if not -LARGEST - 1 < scores[i] < LARGEST else None for i in best]
 
 
 def top_k(df: DataFrame, ident: str, vector: str, is_query, k: int, rows_per_block: int = vectors.ROWS_PER_BLOCK) -> DataFrame:
@@ -65,18 +74,18 @@ def top_k(df: DataFrame, ident: str, vector: str, is_query, k: int, rows_per_blo
 
     Rows with a null vector, null or non-finite components, or a null id take no part; a shorter vector counts as filled up
     with zeros; a query's own id is no candidate of it; repeated candidate rows are rows of their own, repeated query rows one query;
-    an empty table gives no rows. Scores are exact; those beyond a long are held at its ends, where smaller ids come first among blocks.
+    an empty table gives no rows. Scores are exact; those beyond a long are ranked by their true value and held at its ends.
     """
     rows = df.where(vectors.usable(F.col(vector)) & F.col(ident).isNotNull()).select(ident, vector)
 
     def find(qids, q, ids, c):
-        at, row, score = [], [], []
+        at, row, score, finer = [], [], [], []
         largest = np.abs(q).max(initial=0).astype(np.longdouble) * np.abs(c).sum(axis=1, dtype=np.longdouble).max(initial=0)
         if largest >= 2.0**61 or max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) >= 2.0**61:
             for i in range(len(q)):
-                r, s = exact_top_k(q[i], c, ids != qids[i], ids, k)
-                at.append(np.full(len(r), i)), row.append(r), score.append(s)
-            return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, row, score))
+                r, s, f = exact_top_k(q[i], c, ids != qids[i], ids, k)
+                at.append(np.full(len(r), i)), row.append(r), score.append(s), finer.extend(f)
+            return *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, row, score)), finer
         q, columns = q.astype(np.int64), np.ascontiguousarray(c.astype(np.int64).T)
         low, high = (columns.min(axis=1), columns.max(axis=1)) if columns.size else (np.zeros(len(columns), np.int64),) * 2
         for i in range(len(q)):

@@ -70,7 +70,8 @@ def search(
     """``(query_id, rank, <ident>, score)``: the ``k`` best candidates of each query, ties to the smaller id.
 
     ``find(query_ids, query_rows, ids, rows)`` returns the hits of a pair of blocks as query position, row position and
-    score; it leaves out a query's own id.
+    score; it leaves out a query's own id. A fourth item may hold bytes (or None) by which hits of equal score are ordered first,
+    largest first.
     """
     left, n = packed(candidates, ident, vector, rows_per_block)
     right, _ = packed(queries.dropDuplicates([ident, vector]), ident, vector, queries_per_block)
@@ -85,13 +86,14 @@ def search(
                 get = lambda c: batch.column(c)[r].as_py()  # noqa: E731, B023
                 qids, q = unpack(get("qids"), get("qflat"), get("qdims"))
                 ids, c = unpack(get("ids"), get("flat"), get("dims"))
-                at, row, value = find(qids, *widened(q, c)[:1], ids, widened(q, c)[1])
+                at, row, value, *finer = find(qids, *widened(q, c)[:1], ids, widened(q, c)[1])
+                finer = pa.array(finer[0] if finer else [None] * len(value), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[at]), pa.array(at + (get("qblock") << 20), pa.int64()), pa.array(ids[row]), pa.array(value)],
-                    names=["query_id", "_query", ident, "score"],
+                    [pa.array(qids[at]), pa.array(at + (get("qblock") << 20), pa.int64()), pa.array(ids[row]), pa.array(value), finer],
+                    names=["query_id", "_query", ident, "score", "_finer"],
                 )
 
-    hits = left.join(sent, "block").mapInArrow(run, f"query_id long, _query long, {ident} long, score {score}")
-    best = Window.partitionBy("query_id", "_query").orderBy(F.col("score").desc(), ident)
+    hits = left.join(sent, "block").mapInArrow(run, f"query_id long, _query long, {ident} long, score {score}, _finer binary")
+    best = Window.partitionBy("query_id", "_query").orderBy(F.col("score").desc(), F.col("_finer").desc(), ident)
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", ident, "score")
