@@ -23,14 +23,12 @@ from shiftwise.session import work_path
 
 
 def read_events(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """A parquet folder (or the one file ``name`` in it) as a stream; ``ts`` becomes a timestamp for watermarks."""
+    """The parquet file or folder ``name`` in ``folder`` as a stream; ``ts`` becomes a timestamp for watermarks.
+
+    A stream can't start at one file, but at a pattern: the last letter as a character class matches a file and a folder alike.
+    """
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    raw = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in raw.columns else raw
 
 
