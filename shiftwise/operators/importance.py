@@ -118,23 +118,45 @@ def shuffled(idx: Column, repeat: Column, n: int, seed: int) -> Column:
     at most as many cells are outside as the grid is tall, so for ``n`` up to a thousand ``WALKS`` walks always suffice, and beyond, more
     are needed with a chance below ``n ** -16``.
     """
+    walks = F.sequence(F.lit(1), F.lit(WALKS))
+    return F.aggregate(walks, _turned(idx.cast("long"), repeat, n, seed), lambda x, _: F.when(x < n, x).otherwise(_turned(x, repeat, n, seed)))
+
+
+def _grid(n: int) -> tuple[int, int]:
     tall = max(1, math.isqrt(max(n, 1) - 1) + 1)
-    wide = max(1, -(-n // tall))
+    return tall, max(1, -(-n // tall))
+
+
+def _mixed(half: Column, k: Column, repeat: Column, seed: int, m: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), repeat, k, half), F.lit(m))
+
+
+def _turned(x: Column, repeat: Column, n: int, seed: int) -> Column:
+    tall, wide = _grid(n)
+    start = F.struct(F.floor(x / wide).cast("long").alias("l"), F.pmod(x, F.lit(wide)).cast("long").alias("r"))
 
-    def turned(x: Column) -> Column:
-        start = F.struct(F.floor(x / wide).cast("long").alias("l"), F.pmod(x, F.lit(wide)).cast("long").alias("r"))
+    def one(acc: Column, k: Column) -> Column:
+        even = k % 2 == 0
+        left = F.when(even, F.pmod(acc["l"] + _mixed(acc["r"], k, repeat, seed, tall), F.lit(tall))).otherwise(acc["l"])
+        right = F.when(even, acc["r"]).otherwise(F.pmod(acc["r"] + _mixed(acc["l"], k, repeat, seed, wide), F.lit(wide)))
+        return F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
-        def one(acc: Column, k: Column) -> Column:
-            mixed = lambda half, m: F.pmod(F.xxhash64(F.lit(seed), repeat, k, half), F.lit(m))
-            even = k % 2 == 0
-            left = F.when(even, F.pmod(acc["l"] + mixed(acc["r"], tall), F.lit(tall))).otherwise(acc["l"])
-            right = F.when(even, acc["r"]).otherwise(F.pmod(acc["r"] + mixed(acc["l"], wide), F.lit(wide)))
-            return F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one, lambda acc: acc["l"] * wide + acc["r"])
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one, lambda acc: acc["l"] * wide + acc["r"])
 
+def with_shuffled(df: DataFrame, idx: str, repeat: str, n: int, seed: int, name: str) -> DataFrame:
+    """Add ``shuffled(idx, repeat, n, seed)``: the rounds of the first turn are plain columns, which Spark compiles; only the few
+    positions that it leaves outside 0..n-1 take the expression's walks."""
+    tall, wide = _grid(n)
+    at = F.col(idx).cast("long")
+    out = df.withColumns({"_left": F.floor(at / wide).cast("long"), "_right": F.pmod(at, F.lit(wide)).cast("long")})
+    for k in range(ROUNDS):
+        to, by, m = ("_left", "_right", tall) if k % 2 == 0 else ("_right", "_left", wide)
+        out = out.withColumn(to, F.pmod(F.col(to) + _mixed(F.col(by), F.lit(k), F.col(repeat), seed, m), F.lit(m)).cast("long"))
+    out = out.withColumn(name, F.col("_left") * wide + F.col("_right"))
     walks = F.sequence(F.lit(1), F.lit(WALKS))
-    return F.aggregate(walks, turned(idx.cast("long")), lambda x, _: F.when(x < n, x).otherwise(turned(x)))
+    back = F.aggregate(walks, F.col(name), lambda x, _: F.when(x < n, x).otherwise(_turned(x, F.col(repeat), n, seed)))
+    return out.withColumn(name, F.when(F.col(name) < n, F.col(name)).otherwise(back)).drop("_left", "_right")
 
 
 def permutation_importance(
@@ -148,25 +170,30 @@ def permutation_importance(
     if repeats < 1:
         raise ValueError("repeats must be positive")
     kept = rows.select(*order, *clf.features, F.col(label).cast("string").alias("_y"))
-    placed = index_rows(kept.select(*dict.fromkeys([*order, *clf.features, "_y"])), order, name=ROW)
+    indexed = index_rows(kept.select(*dict.fromkeys([*order, *clf.features, "_y"])), order, name=ROW)
+    placed = cut_lineage(indexed.select(ROW, "_y", *clf.features))
     n = placed.count()
     base = clf.predict(placed).agg(F.avg((F.col("predicted") == F.col("_y")).cast("double"))).first()[0]
-    spread = placed.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    asked = spread.withColumn("_from", shuffled(F.col(ROW), F.col("repeat"), n, seed))
-    lent = placed.select(F.col(ROW).alias("_from"), F.struct(*clf.features).alias("_lent"))
+    names = F.array(*[F.lit(c) for c in clf.classes])
+    known = F.coalesce(F.array_position(names, F.col("_y")), F.lit(0)).cast("int")  # from 1; 0: a class the model doesn't know
+    numbered = placed.select(ROW, F.when(F.col("_y").isNotNull(), known).alias("_y"), *clf.features)
+    spread = numbered.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    asked = with_shuffled(spread, ROW, "repeat", n, seed, "_from").drop(ROW)
+    lent = placed.select(F.col(ROW).alias("_from"), *[F.col(f).alias(f"_lent_{f}") for f in clf.features])
     met = asked.join(lent, "_from")
     variants = F.array(
         *[
             F.struct(
-                F.lit(f).alias("feature"),
-                *[(F.col("_lent")[g] if g == f else F.col(g)).cast("double").alias(g) for g in clf.features],
+                F.lit(i).alias("_feature"),
+                *[F.col(f"_lent_{g}" if g == f else g).cast("double").alias(g) for g in clf.features],
             )
-            for f in clf.features
+            for i, f in enumerate(clf.features)
         ]
     )
     flat = met.select("repeat", "_y", F.explode(variants).alias("_v")).select("repeat", "_y", "_v.*")
-    hit = F.avg((F.col("predicted") == F.col("_y")).cast("double"))
-    return clf.predict(flat).groupBy("feature", "repeat").agg((F.lit(base) - hit).alias("importance"))
+    hit = F.avg((F.col("predicted_no") + 1 == F.col("_y")).cast("double"))
+    feature = F.get(F.array(*[F.lit(f) for f in clf.features]), F.col("_feature")).alias("feature")
+    return clf.predict(flat).groupBy("_feature", "repeat").agg((F.lit(base) - hit).alias("importance")).select(feature, "repeat", "importance")
 
 
 def summarise(raw: DataFrame) -> DataFrame:
