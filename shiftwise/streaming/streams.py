@@ -6,8 +6,10 @@ Time comes from an event-time column. Rows behind the watermark are dropped in W
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -75,35 +77,47 @@ def stream_error_drift(
 
 
 class OnlineLogistic:
-    """Multiclass logistic regression trained one row at a time on running standardised features."""
+    """Multiclass logistic regression trained one row at a time on running standardised features.
+
+    A row is a handful of numbers: plain floats take a fraction of the time of array calls.
+    """
 
     def __init__(self, size: int, rate: float = 0.1):
         self.size, self.rate = size, rate
         self.classes: list[str] = []
-        self.weights = np.zeros((0, size + 1))
-        self.n, self.mean, self.spread = 0, np.zeros(size), np.zeros(size)
-
-    def _row(self, x: np.ndarray) -> np.ndarray:
-        sd = np.sqrt(self.spread / max(1, self.n))
-        return np.append((x - self.mean) / np.where(sd > 0, sd, 1.0), 1.0)
-
-    def test_then_train(self, x: np.ndarray, y: str) -> int:
+        self.weights: list[list[float]] = []
+        self.n, self.mean, self.spread = 0, [0.0] * size, [0.0] * size
+
+    def _row(self, x: list[float]) -> list[float]:
+        n, z = max(1, self.n), []
+        for v, m, s in zip(x, self.mean, self.spread):
+            sd = math.sqrt(s / n)
+            z.append((v - m) / (sd if sd > 0 else 1.0))
+        z.append(1.0)
+        return z
+
+    def test_then_train(self, x: list[float], y: str) -> int:
         """1 when the prediction made before learning is wrong; the first row counts as an error."""
         z = self._row(x)
-        scores = self.weights @ z
-        wrong = int(not self.classes or self.classes[int(np.argmax(scores))] != y)
+        scores = [sum(map(mul, w, z)) for w in self.weights]
+        odd = not math.isfinite(sum(scores))
+        best = (int(np.argmax(scores)) if odd else scores.index(max(scores))) if scores else -1
+        wrong = int(best < 0 or self.classes[best] != y)
         if y not in self.classes:
             self.classes.append(y)
-            self.weights = np.vstack([self.weights, np.zeros(self.size + 1)])
-            scores = np.append(scores, 0.0)
-        p = np.exp(scores - scores.max())
-        p /= p.sum()
-        p[self.classes.index(y)] -= 1
-        self.weights -= self.rate * np.outer(p, z)
+            self.weights.append([0.0] * (self.size + 1))
+            scores.append(0.0)
+        top = float(np.max(scores)) if odd else max(scores)
+        p = [math.exp(s - top) for s in scores]
+        total, own = sum(p), self.classes.index(y)
+        for k, w in enumerate(self.weights):
+            step = self.rate * (p[k] / total - (k == own))
+            self.weights[k] = [a - step * b for a, b in zip(w, z)]
         self.n += 1
-        gap = x - self.mean
-        self.mean = self.mean + gap / self.n
-        self.spread = self.spread + gap * (x - self.mean)
+        for j, v in enumerate(x):
+            gap = v - self.mean[j]
+            self.mean[j] += gap / self.n
+            self.spread[j] += gap * (v - self.mean[j])
         return wrong
 
 
@@ -115,7 +129,7 @@ def stream_prequential_error(rows: DataFrame, order: str, features: list[str], r
         learner = pickle.loads(state.get[0]) if state.exists else OnlineLogistic(len(features), rate)
         seen = pd.concat(list(batches)).sort_values(order)
         x = seen[features].to_numpy(dtype=float)
-        errors = [learner.test_then_train(np.nan_to_num(v), y) for v, y in zip(x, seen["label"])]
+        errors = [learner.test_then_train(v, y) for v, y in zip(np.nan_to_num(x).tolist(), seen["label"].tolist())]
         state.update((pickle.dumps(learner),))
         yield pd.DataFrame({"stream": key[0], order: seen[order], "error": errors})
 
