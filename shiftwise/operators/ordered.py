@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shiftwise.functions.columns import hash_uniform
 
-ROWS_PER_SLICE = 2_000_000
+ROWS_PER_SLICE = 250_000
 MAX_SLICES = 1 << 14
 
 
