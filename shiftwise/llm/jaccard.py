@@ -34,7 +34,7 @@ from shiftwise.llm.bpe import chunks
 from shiftwise.llm.components import components
 from shiftwise.session import work_path
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 SMALL, LEVELS = 32, 6
 GROUP = 4096  # members of a group that a task compares by their sketches; larger groups are split first
 BUFFER = 100_000  # rows read at a time
