@@ -2,20 +2,24 @@
 
 Rules find emails, ip addresses, card and phone numbers; what they accept always stays. High-recall generators propose
 further, overlapping spans (other separators, written-out "at" and "dot", every run of groups inside a number that a rule swallowed
-whole and dropped). Boosted trees score them by format and context. They learn from a bounded sample of the proposals of all documents:
+whole and dropped). Boosted trees score them by format and context. They learn from the proposals of all documents:
 one that overlaps an accepted span of its kind is positive, one that fails a test of its kind's rule which doesn't hang on the form
 is negative (also every "x at y" without a dot), any other is no evidence and left out. The features leave out what the rules test (a
-plus sign, an @, the check digit). Positives and negatives of each kind are sampled by their own rate and weigh its inverse, so rare
-positives are all taken. Every sampled proposal is scored once by trees that haven't seen its document (``FOLDS``); these scores
-calibrate the probabilities and give each kind the lowest threshold with the wanted precision, or none. A proposal without evidence
-above its threshold that touches no accepted span is added.
+plus sign, an @, the check digit). Every proposal with evidence is scored once by trees that haven't seen its document (``FOLDS``); all
+these scores calibrate the probabilities and give each kind the lowest threshold with the wanted precision, or none. A proposal
+without evidence above its threshold that touches no accepted span is added.
+
+The trees of all folds grow at once, a Spark job a level: tasks sum gradients by node, feature and bin over their blocks of proposals
+(alike ones are counted once and weigh their number), the driver sees the sums and picks the splits.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from functools import reduce
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial, reduce
 from itertools import accumulate
 
 import numpy as np
@@ -24,12 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftwise.llm.words import mix, tidy
+from shiftwise.llm.words import tidy
+from shiftwise.session import work_path
 
 KINDS = ("email", "ip", "card", "phone")  # fixed order of the contract
-SAMPLE_SPANS = 10_000  # of each kind and label, about
 PRECISION = 0.99
 FOLDS = 4
+TASK_ROWS = 25_000  # distinct proposals of a task that grows trees
+FAN = 32  # arrays that the driver adds up; more are added in tasks first
+REWALKED = 8  # trees that each job walks again before the scores are stored anew
+SCORE_STEPS = 1024  # log-odds are rounded to this part of one
+MOST = 20 * SCORE_STEPS  # and held within 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -166,54 +175,145 @@ class Boosted:
         self.depth, self.trees, self.rate, self.bins = depth, trees, rate, bins
         self.base, self.grown, self.cuts = 0.0, [], []
 
-    def _binned(self, x: np.ndarray) -> np.ndarray:
+    def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.cuts)], axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
-        w = np.ones(len(y)) if weight is None else weight / weight.mean()
-        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        b, share = self._binned(x), np.clip(np.average(y, weights=w), 1e-4, 1 - 1e-4)
-        self.base = float(np.log(share / (1 - share)))
-        score = np.full(len(y), self.base)
-        for _ in range(self.trees):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._grow(b, w * (p - y), w * p * (1 - p))
-            self.grown.append(tree)
-            score += self._walk(tree, b)
-        return self
-
-    def _grow(self, b: np.ndarray, grad: np.ndarray, hess: np.ndarray):
-        """Complete tree as arrays: ``(feature, cut)`` per inner node, a value per leaf."""
-        inner, place = [], np.zeros(len(b), np.int64)
-        for level in range(self.depth):
-            feature, cut = np.zeros(1 << level, np.int64), np.full(1 << level, self.bins)
-            best = np.full(1 << level, 1e-9)
-            for j in range(b.shape[1]):
-                key = place * (self.bins + 1) + b[:, j]
-                g = np.bincount(key, grad, (self.bins + 1) << level).reshape(-1, self.bins + 1).cumsum(axis=1)
-                h = np.bincount(key, hess, (self.bins + 1) << level).reshape(-1, self.bins + 1).cumsum(axis=1)
-                gt, ht = g[:, -1:], h[:, -1:]
-                gain = g**2 / (h + 1) + (gt - g) ** 2 / (ht - h + 1) - gt**2 / (ht + 1)
-                at = gain.argmax(axis=1)
-                top = gain[np.arange(len(at)), at]
-                better = top > best
-                best[better], feature[better], cut[better] = top[better], j, at[better]
-            inner.append((feature, cut))
-            place = place * 2 + (b[np.arange(len(b)), feature[place]] > cut[place])
-        n = 1 << self.depth
-        value = -self.rate * np.bincount(place, grad, n) / (np.bincount(place, hess, n) + 1)
-        return inner, value
+    def split(self, grad: np.ndarray, hess: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """``(feature, cut)`` per node of a level, and a value per node below, from sums by feature, node and bin."""
+        grad, hess = grad.cumsum(axis=2), hess.cumsum(axis=2)
+        nodes = grad.shape[1]
+        feature, cut = np.zeros(nodes, np.int64), np.full(nodes, self.bins)
+        best = np.full(nodes, 1e-9)
+        for j, (g, h) in enumerate(zip(grad, hess)):
+            gt, ht = g[:, -1:], h[:, -1:]
+            gain = g**2 / (h + 1) + (gt - g) ** 2 / (ht - h + 1) - gt**2 / (ht + 1)
+            at = gain.argmax(axis=1)
+            top = gain[np.arange(nodes), at]
+            better = top > best
+            best[better], feature[better], cut[better] = top[better], j, at[better]
+        low = [a[feature, np.arange(nodes), cut] for a in (grad, hess)]
+        g, h = (np.stack([x, a[0, :, -1] - x], axis=1).ravel() for x, a in zip(low, (grad, hess)))
+        return (feature, cut), -self.rate * g / (h + 1)
 
     @staticmethod
-    def _walk(tree, b: np.ndarray) -> np.ndarray:
+    def place(inner: list, b: np.ndarray) -> np.ndarray:
+        """Node of each row below the levels of ``inner``."""
         place, rows = np.zeros(len(b), np.int64), np.arange(len(b))
-        for feature, cut in tree[0]:
+        for feature, cut in inner:
             place = place * 2 + (b[rows, feature[place]] > cut[place])
-        return tree[1][place]
+        return place
+
+    @staticmethod
+    def walked(trees: list, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+        return reduce(lambda s, t: s + t[1][Boosted.place(t[0], b)], trees, score)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        b = self._binned(x)
-        return 1 / (1 + np.exp(-reduce(lambda s, t: s + self._walk(t, b), self.grown, np.full(len(b), self.base))))
+        """Log-odds in whole steps."""
+        return steps(self.walked(self.grown, self.binned(x), np.full(len(x), self.base)))
+
+
+def steps(score: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(score * SCORE_STEPS), -MOST, MOST).astype(np.int64)
+
+
+BLOCK = {"bins": np.uint8, "fold": np.int8, "kind": np.int8, "y": np.int8, "w": np.float64, "n": np.int64, "score": np.float64}
+BLOCKS = ", ".join(f"{c} binary" for c in BLOCK)
+
+
+def in_blocks(models: dict[int, Boosted], batches) -> Iterator[pa.RecordBatch]:
+    """Distinct proposals as columns of numbers, a row a batch: bins and scores for each model, features in a row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.column("x").flatten().to_numpy().reshape(-1, FEATURES)
+        cols = {c: batch.column(c).to_numpy() for c in ("fold", "y", "w", "n")} | {"kind": x[:, 0]}
+        cols["bins"] = np.stack([m.binned(x).T for m in models.values()])
+        cols["score"] = np.repeat([m.base for m in models.values()], len(x))
+        yield stored(cols)
+
+
+def stored(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([cols[c].astype(t).tobytes()], pa.binary()) for c, t in BLOCK.items()], names=list(BLOCK))
+
+
+def blocks(batches) -> Iterator[dict[str, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            b = {c: np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in BLOCK.items()}
+            rows = len(b["fold"])
+            yield b | {"bins": b["bins"].reshape(-1, FEATURES, rows), "score": b["score"].reshape(-1, rows)}
+
+
+def rescored(trees: list[list], batches) -> Iterator[pa.RecordBatch]:
+    """The blocks with scores by these trees of each model."""
+    for b in blocks(batches):
+        score = [Boosted.walked(t, x.T, s) for t, x, s in zip(trees, b["bins"], b["score"])]
+        yield stored(b | {"score": np.stack(score)})
+
+
+def level_sums(models: list[int], scale: list[float], cells: int, fresh: list[list], inner: list[list], batches) -> Iterator[pa.RecordBatch]:
+    """Gradients and curvatures of a task by model, feature, node and bin; whole numbers, so that their sums don't hang on the order."""
+    sums = np.zeros((len(models), 2, FEATURES, cells << len(inner[0])))
+    for b in blocks(batches):
+        for i, m in enumerate(models):
+            use = b["fold"] != m
+            x, y = b["bins"][i][:, use], b["y"][use]
+            p = 1 / (1 + np.exp(-Boosted.walked(fresh[i], x.T, b["score"][i][use])))
+            w = b["w"][use] * b["n"][use] * scale[i]
+            parts = np.rint(w * (p - y)), np.rint(w * p * (1 - p))
+            place = Boosted.place(inner[i], x.T) * cells
+            for j in range(FEATURES):
+                for k, part in enumerate(parts):
+                    sums[i, k, j] += np.bincount(place + x[j], part, sums.shape[3])
+    yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+
+def added_up(batches) -> Iterator[pa.RecordBatch]:
+    total = reduce(np.add, (np.frombuffer(s.as_buffer()) for batch in batches for s in batch.column("sums")), np.zeros(1))
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+def summed(sums: DataFrame, parts: int) -> np.ndarray:
+    """Sum of the arrays of ``parts`` tasks."""
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        sums = sums.repartition(parts).mapInArrow(added_up, "sums binary")
+    return reduce(np.add, (np.frombuffer(r["sums"]) for r in sums.collect()))
+
+
+def boost(start: DataFrame, models: dict[int, Boosted], rows: list[float], weight: list[float], parts: int) -> None:
+    """Grows the trees of all models on the blocks ``start``; ``rows`` and ``weight`` are the totals each model learns from."""
+    some = next(iter(models.values()))
+    exact = [2.0 ** (51 - int(np.ceil(np.log2(n + 1)))) for n in rows]  # sums of whole numbers stay below 2^52
+    scale = [e * n / w for e, n, w in zip(exact, rows, weight)]  # the mean weight is one
+    work, fresh = start, [[] for _ in models]
+    for _ in range(some.trees):
+        inner: list[list] = [[] for _ in models]
+        for level in range(some.depth):
+            task = partial(level_sums, list(models), scale, some.bins + 1, fresh, inner)
+            sums = summed(work.mapInArrow(task, "sums binary"), parts).reshape(len(models), 2, FEATURES, 1 << level, some.bins + 1)
+            found = [m.split(*(s / e)) for m, s, e in zip(models.values(), sums, exact)]
+            inner = [[*i, at] for i, (at, _) in zip(inner, found)]
+        for m, f, i, (_, value) in zip(models.values(), fresh, inner, found):
+            m.grown.append((i, value))
+            f.append((i, value))
+        if len(fresh[0]) == REWALKED:
+            if work is not start:
+                work.unpersist()
+            work = start.mapInArrow(tidy(partial(rescored, [m.grown for m in models.values()])), BLOCKS).persist()
+            fresh = [[] for _ in models]
+    if work is not start:
+        work.unpersist()
+
+
+def held_out(models: list[int], trees: list[list], batches) -> Iterator[pa.RecordBatch]:
+    """Number of proposals by kind, score of the trees that haven't seen them, label and weight."""
+    for b in blocks(batches):
+        z = np.zeros(len(b["fold"]), np.int64)
+        for i, m in enumerate(models):
+            own = b["fold"] == m
+            z[own] = steps(Boosted.walked(trees[i], b["bins"][i][:, own].T, b["score"][i][own]))
+        yield pa.RecordBatch.from_arrays([pa.array(b["kind"], pa.int32()), pa.array(z), pa.array(b["y"], pa.int32()), pa.array(b["w"]), pa.array(b["n"])], names=["kind", "z", "y", "w", "n"])
 
 
 class Detector:
@@ -224,7 +324,7 @@ class Detector:
         self.report = report  # per kind: held-out positives, negatives, precision above the threshold, threshold
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.slope * log_odds(self.trees.predict(x)) - self.shift))
+        return probability(self.trees.predict(x), self.slope, self.shift)
 
     def spans(self, texts: list[str]) -> list[tuple[list, list]]:
         """Per text the accepted spans and the added ones."""
@@ -247,9 +347,8 @@ class Detector:
         return list(zip(base, map(sorted, extra)))
 
 
-def log_odds(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-9, 1 - 1e-9)
-    return np.log(p / (1 - p))
+def probability(z: np.ndarray, slope: float, shift: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-slope * (z / SCORE_STEPS) - shift))
 
 
 class Taken:
@@ -295,63 +394,72 @@ def labelled_proposals(text: str) -> list[tuple[tuple[int, int, int], float]]:
     return out
 
 
-def fit(df: DataFrame, text: str = "text", key: str = "doc_id", spans: int = SAMPLE_SPANS, precision: float = PRECISION) -> Detector:
-    """Learn from about ``spans`` hash-chosen proposals of each kind and label, out of all texts; they reach the driver as numbers."""
+def evidence(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(fold, y, w, x, n)``: distinct labelled proposals of all texts with fold, weight and features, and how many are alike."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(F.lit(5), F.struct(key)).alias("h"))
 
-    def count(batches):
-        n = np.zeros((len(KINDS), 2), np.int64)
-        for batch in batches:
-            for t in batch.column("text"):
-                for (_, kind, _), y in labelled_proposals(t.as_py()):
-                    n[kind, int(y)] += 1
-        at = np.argwhere(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(n[n > 0], pa.int64())], names=["kind", "y", "n"])
-
-    counted = rows.mapInArrow(tidy(count), "kind int, y int, n long").groupBy("kind", "y").agg(F.sum("n").alias("n")).collect()
-    if not counted:
-        return Detector()
-    rate = {(r["kind"], r["y"]): min(1.0, spans / r["n"]) for r in counted}
+    def out(seen):
+        cols = zip(*((*k, n) for k, n in seen.items()))
+        kinds = pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.int64()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["fold", "y", "w", "x", "n"])
 
     def learn(batches):
         for batch in batches:
-            out = []
+            seen = Counter()
             for t, h in zip(batch.column("text"), batch.column("h").to_pylist()):
                 value = t.as_py()
                 for (s, kind, e), y in labelled_proposals(value):
-                    r = rate.get((kind, int(y)), 0.0)
-                    draw = int(mix(np.array([(h + s * 0x9E3779B97F4A7C15 + e * 4 + kind) % (1 << 64)], np.uint64))[0])
-                    if draw < r * 2**64:
-                        out.append((h % FOLDS, features(value, s, kind, e), y, likely(value, s, kind, e, y) / r))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64()))],
-                    names=["fold", "x", "y", "w"],
-                )
-
-    got = rows.mapInArrow(tidy(learn), "fold long, x array<double>, y double, w double").collect()
-    got.sort(key=lambda r: (r["x"], r["y"]))
-    if not got:
-        return Detector()
-    x, y, w = (np.array([r[c] for r in got]) for c in ("x", "y", "w"))
-    fold = np.array([r["fold"] for r in got])
-    p = np.zeros(len(y))
-    for f in range(FOLDS):
-        held = fold == f
-        if not held.any():
-            continue
-        if not 0 < y[~held].sum() < (~held).sum():
+                    x = tuple(map(int, features(value, s, kind, e)))
+                    seen[h % FOLDS, int(y), likely(value, s, kind, e, y), x] += 1
+                    if len(seen) >= 10_000:
+                        yield out(seen)
+                        seen.clear()
+            if seen:
+                yield out(seen)
+
+    found = rows.mapInArrow(tidy(learn), "fold int, y int, w double, x array<int>, n long")
+    return found.groupBy("fold", "y", "w", "x").agg(F.sum("n").alias("n"))
+
+
+def fit(df: DataFrame, text: str = "text", key: str = "doc_id", precision: float = PRECISION, task_rows: int = TASK_ROWS) -> Detector:
+    """Learn from every proposal of all texts for which there is evidence; totals, quantiles, sums and counts by score reach the driver."""
+    path = work_path(df.sparkSession, "pii-evidence")
+    evidence(df, text, key).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    totals = rows.groupBy("fold", "y", "w").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()
+    folds = sorted({r["fold"] for r in totals})
+    models = {m: Boosted() for m in [*folds, FOLDS]}  # the last leaves no fold out
+    count, weight = [], []
+    for m, model in models.items():
+        of = [r for r in totals if r["fold"] != m]
+        right = [r for r in of if r["y"]]
+        if not 0 < len(right) < len(of):
             return Detector()
-        p[held] = Boosted().fit(x[~held], y[~held], w[~held]).predict(x[held])
-    slope, shift = calibrated(log_odds(p), y, w)
-    p = 1 / (1 + np.exp(-slope * log_odds(p) - shift))
+        count.append(sum(r["n"] for r in of))
+        weight.append(sum(r["n"] * r["w"] for r in sorted(of)))
+        share = np.clip(sum(r["n"] * r["w"] for r in sorted(right)) / weight[-1], 1e-4, 1 - 1e-4)
+        model.base = float(np.log(share / (1 - share)))
+    shares = [float(q) for q in np.linspace(0, 1, next(iter(models.values())).bins + 1)[1:-1]]
+    at = [F.percentile(F.col("x")[j], shares, F.col("n")).alias(f"x{j}") for j in range(FEATURES)]  # a task keeps counts of distinct values only
+    each = rows.withColumn("m", F.explode(F.lit(list(models)))).where("m <> fold")
+    for r in each.groupBy("m").agg(*at).collect():
+        models[r["m"]].cuts = [np.unique(r[f"x{j}"]) for j in range(FEATURES)]
+    parts = -(-sum(r["distinct"] for r in totals) // task_rows)
+    start = rows.repartition(parts).mapInArrow(tidy(partial(in_blocks, models)), BLOCKS).persist()
+    boost(start, models, count, weight, parts)
+    scored = start.mapInArrow(tidy(partial(held_out, folds, [models[f].grown for f in folds])), "kind int, z long, y int, w double, n long")
+    got = sorted(scored.groupBy("kind", "z", "y", "w").agg(F.sum("n")).collect())
+    start.unpersist()
+    kind, z, y, w, n = (np.array(c) for c in zip(*got))
+    slope, shift = calibrated(z / SCORE_STEPS, y, w * n)
+    p = probability(z, slope, shift)
     thresholds, report = [], []
     for k in range(len(KINDS)):
-        of = x[:, 0] == k
-        thresholds.append(lowest_threshold(p[of], y[of], precision, weight=w[of]))
+        of = kind == k
+        thresholds.append(lowest_threshold(p[of], y[of], precision, weight=w[of], count=n[of]))
         above = of & (p >= thresholds[-1])
-        report.append((KINDS[k], int(y[of].sum()), int((1 - y[of]).sum()), float(np.average(y[above], weights=w[above])) if above.any() else None, thresholds[-1]))
-    return Detector(Boosted().fit(x, y, w), tuple(thresholds), slope, shift, report)
+        report.append((KINDS[k], int(n[of] @ y[of]), int(n[of] @ (1 - y[of])), float(np.average(y[above], weights=(w * n)[above])) if above.any() else None, thresholds[-1]))
+    return Detector(models[FOLDS], tuple(thresholds), slope, shift, report)
 
 
 def calibrated(z: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -372,12 +480,12 @@ def calibrated(z: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50) ->
     return max(float(a), 1e-3), float(b)
 
 
-def lowest_threshold(p: np.ndarray, y: np.ndarray, precision: float, least: int = 20, weight: np.ndarray | None = None) -> float:
+def lowest_threshold(p: np.ndarray, y: np.ndarray, precision: float, least: int = 20, weight: np.ndarray | None = None, count: np.ndarray | None = None) -> float:
     """Smallest probability, itself at least ``precision``, from which on the held-out precision (one error added) is reached; 2 if
-    there is none or fewer than ``least`` rows reach it."""
-    w = np.ones(len(p)) if weight is None else weight
+    there is none or fewer than ``least`` rows reach it. A row may stand for a ``count`` of them."""
+    w, c = (np.ones(len(p)) if a is None else a for a in (weight, count))
     order = np.argsort(-p, kind="stable")
-    right, n, total = np.cumsum((w * y)[order]), np.arange(1, len(p) + 1), np.cumsum(w[order])
+    right, n, total = np.cumsum((c * w * y)[order]), np.cumsum(c[order]), np.cumsum((c * w)[order])
     one = max(w[y == 0], default=1.0)
     last_of_score = np.append(np.diff(p[order]) != 0, True) if len(p) else np.zeros(0, bool)
     good = np.flatnonzero(last_of_score & (right / (total + one) >= precision) & (n >= least))

@@ -517,6 +517,58 @@ def test_unproven_spans_do_not_count_as_wrong(spark):
     assert all([(s.kind, s.start, s.end) for s in r.pii_spans] == [("phone", 12, 26)] for r in got)
 
 
+def test_every_labelled_proposal_is_learned_from(spark, monkeypatch):
+    """Counts of all proposals, not of 10,000 a label; tasks, order and copies of rows don't change trees, calibration or thresholds."""
+    rng = random.Random(14)
+    phone = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    lot = lambda: "-".join(str(rng.randint(0, 10 ** rng.randint(2, 4))) for _ in range(3))
+    rows = [(i, f"please call +1 {phone()} now or lot {lot()} b, ask me at home") for i in range(6000)]
+    want = collections.Counter((kind, int(y)) for _, t in rows for (_, kind, _), y in pii.labelled_proposals(t))
+    assert want[3, 1] > 10_500 and want[3, 0] > 1000 and want[0, 0] == 6000
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(right, wrong) for _, right, wrong, *_ in model.report] == [(want[k, 1], want[k, 0]) for k in range(4)]
+    assert model.thresholds[3] <= 1
+
+    few = rows[:80]
+    monkeypatch.setattr(pii, "FAN", 2)  # arrays of three tasks are added in tasks first
+    distinct = pii.evidence(spark.createDataFrame(few, "doc_id long, text string")).count()
+    two = [pii.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), task_rows=size) for r, n, size in ((few, 1, 10**6), (few[::-1], 7, distinct // 3 + 1))]
+    plain = lambda m: repr((m.trees.base, [c.tolist() for c in m.trees.cuts], m.trees.grown, m.thresholds, m.slope, m.shift, m.report))
+    assert plain(two[0]) == plain(two[1])
+
+
+def test_trees_against_rows_in_memory(spark):
+    """The distributed trees score like trees grown on all rows in one place."""
+    rng = random.Random(15)
+    lot = lambda n: "-".join(str(rng.randint(10**k, 10 ** (k + 1))) for k in range(n))
+    rows = [(i, f"call +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} or lot {lot(rng.randint(2, 4))} {lot(2)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df, task_rows=100).trees
+    every = [r for r in pii.evidence(df).collect() for _ in range(r.n)]
+    x, y, w = np.array([r.x for r in every], float), np.array([r.y for r in every]), np.array([r.w for r in every])
+    w /= w.mean()
+    slow = pii.Boosted()
+    slow.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, slow.bins + 1)[1:-1])) for c in x.T]
+    assert all(np.allclose(a, b) for a, b in zip(slow.cuts, model.cuts))
+    share = np.average(y, weights=w)
+    score, b = np.full(len(y), np.log(share / (1 - share))), slow.binned(x)
+    assert math.isclose(model.base, score[0])
+    for inner, value in model.grown:  # each tree: its gains and values from the rows themselves
+        p = 1 / (1 + np.exp(-score))
+        grad, hess, place = w * (p - y), w * p * (1 - p), np.zeros(len(y), int)
+        for feature, cut in inner:
+            for node in range(len(feature)):
+                at = place == node
+                gain = lambda low: sum(grad[s].sum() ** 2 / (hess[s].sum() + 1) for s in (at & low, at & ~low))  # noqa: B023, E731
+                best = max(gain(b[:, j] <= c) for j in range(pii.FEATURES) for c in np.unique(b[at, j])) if at.any() else 0
+                assert gain(b[:, feature[node]] <= cut[node]) >= best - 1e-6
+            place = place * 2 + (b[np.arange(len(b)), feature[place]] > cut[place])
+        low = np.array([-0.3 * grad[place == k].sum() / (hess[place == k].sum() + 1) for k in range(16)])
+        assert np.allclose(low, value, atol=1e-6)
+        score += low[place]
+    assert np.abs(model.predict(x) / pii.SCORE_STEPS - score).max() < 1e-2
+
+
 # 10: sharding
 
 
