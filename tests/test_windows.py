@@ -1,7 +1,11 @@
+import math
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from shiftwise.functions import numeric
 from shiftwise.operators import recurrence as R
 from shiftwise.operators import windows as W
 
@@ -226,3 +230,55 @@ def test_race_p(table):
     assert down == got
     by_class = df.withColumn("label", F.lit("a")).unionByName(df.withColumn("label", F.lit("b")).withColumn("score", F.lit(1.0)))
     assert {r.window_id: r.drift for r in R.race_p(by_class, grace=6).collect()} == got
+
+
+def odd_windows(table, kind, windows=9, seed=4):
+    """Windows of uneven size; on the grid many distances tie, far from 0 single precision can't tell them."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for w in range(windows):
+        for _ in range(int(rng.integers(3, 30))):
+            v = rng.normal(size=3) if kind == "real" else rng.integers(0, 3, 3) + (1e6 if kind == "far" else 0.0)
+            out.append((w, len(out), "abc"[int(rng.integers(0, 3))], [float(z) for z in v]))
+    rows = table("window_id long, idx long, label string, features array<double>", out)
+    place = {}
+    ranked = [(w, lab, place.setdefault((w, lab), []).append(1) or len(place[w, lab]) - 1, i, v) for w, i, lab, v in out]
+    return rows, table(PROTO, [r for r in ranked if r[2] < 3])
+
+
+@pytest.mark.parametrize("kind", ["real", "grid", "far"])
+def test_nearest_of_many_sets_is_that_of_the_distances(kind):
+    rng = np.random.default_rng(1)
+    draw = lambda n: rng.normal(size=(n, 5)) if kind == "real" else rng.integers(0, 3, (n, 5)) + (1e6 if kind == "far" else 0.0)
+    points = [draw(n) for n in (4, 1, 9, 9, 200)]
+    frames = [pd.DataFrame({"v": list(p), "label": ["a"] * len(p)}) for p in points]
+    x = draw(3000)
+    at, some = W._Sets(frames, "l2").nearest(x)
+    assert some.all() and at.shape == (5, 3000)
+    for found, p in zip(at, points):
+        assert (found == W._far(x, p, "l2").argmin(axis=1)).all()
+    x[7, 1], x[8, 2] = np.nan, 1e200  # products can't be used
+    at, _ = W._Sets(frames, "l2").nearest(x)
+    assert all((found == W._far(x, p, "l2").argmin(axis=1)).all() for found, p in zip(at, points))
+
+
+def test_mutual_information_is_made_in_the_task(table):
+    """A pair cost milliseconds of Python: tables of cells, and the expected value overlap by overlap."""
+    rows, protos = odd_windows(table, "grid")
+    assigned = W.assignment_pairs(W.window_pairs(rows), protos, rows)
+    key = lambda df: {(r.window_a, r.window_b): r.score for r in df.collect()}
+    made = W.adjusted_mutual_info(W.contingency(assigned))
+    assert "in_a" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = key(W.adjusted_mutual_info(W.contingency(assigned.select("*"))))
+    assert len(want) == 36 and key(made) == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("a,b", [([2, 3, 5], [1, 9]), ([1] * 40, [20, 20]), ([7, 7, 286], [100, 100, 100]), ([300], [1] * 300)])
+def test_expected_information_by_sizes(a, b):
+    """The sum over all overlaps, each with its hypergeometric chance in whole numbers; tables of over 256 rows aren't kept."""
+    n = sum(a)
+    want = [sum(k / n * math.log(n * k / (x * y)) * (math.comb(y, k) * math.comb(n - y, x - k) / math.comb(n, x))
+                for y in b for k in range(max(1, x + y - n), min(x, y) + 1)) for x in a]
+    assert numeric.expected_by_sizes(np.array(a), np.array(b)) == pytest.approx(want, abs=1e-12)
+    small = numeric._expected_terms(np.array(a), np.array(b), n, most=5)  # a few overlaps at once
+    assert small == pytest.approx(numeric._expected_terms(np.array(a), np.array(b), n))
