@@ -298,3 +298,38 @@ def test_expected_information_by_sizes(a, b):
     assert numeric.expected_by_sizes(np.array(a), np.array(b)) == pytest.approx(want, abs=1e-12)
     small = numeric._expected_terms(np.array(a), np.array(b), n, most=5)  # a few overlaps at once
     assert small == pytest.approx(numeric._expected_terms(np.array(a), np.array(b), n))
+
+
+@pytest.mark.parametrize("kind", ["real", "grid", "far"])
+def test_impact_of_all_sets_of_a_block(table, kind, monkeypatch):
+    """Distances were computed pair by pair; now once a window, and products with all sets of the block."""
+    rows, protos = odd_windows(table, kind)
+    x = rows.where("window_id = 8").toPandas().sort_values("idx")
+    of = {w: g.rename(columns={"features": "v"}).sort_values(["label", "proto_rank"]) for w, g in protos.toPandas().groupby("window_id")}
+    v, y, own = np.stack(x["features"].to_numpy()), x["label"].to_numpy().astype(str), of[8]
+    mine, label = np.stack(own["v"].to_numpy()), own["label"].to_numpy().astype(str)
+
+    def one_way(p, names, q, others):
+        """Accuracy with each of ``q`` beside all ``p``, row by row."""
+        gaps = []
+        for z, other in zip(q, others):
+            change = 0
+            for row, true in zip(v, y):
+                d = [np.sqrt(((row - c) ** 2).sum()) for c in p]
+                was, far = names[int(np.argmin(d))], np.sqrt(((row - z) ** 2).sum())
+                now = other if far < min(d) or (far == min(d) and other < was) else was
+                change += int(now == true) - int(was == true)
+            gaps.append(abs(change) / len(v))
+        return np.mean(gaps)
+
+    want = []
+    for w in range(8):
+        p, names = np.stack(of[w]["v"].to_numpy()), of[w]["label"].to_numpy().astype(str)
+        want.append((one_way(mine, label, p, names) + one_way(p, names, mine, label)) / 2)
+    calls, far = [], W._far
+    monkeypatch.setattr(W, "_far", lambda *a: calls.append(1) or far(*a))
+    got = W._impacts(v, y, mine, label, W._Sets([of[w] for w in range(8)], "l2"))
+    assert got == pytest.approx(want, abs=1e-12) and len(calls) == 1
+    pairs = table("window_a long, window_b long", [(w, 8) for w in range(8)])
+    score = {r.window_a: r.score for r in W.reassignment_impact(pairs, protos, rows).collect()}
+    assert [score[w] for w in range(8)] == pytest.approx(want, abs=1e-12)
